@@ -7,7 +7,7 @@ section's node hashes its paragraphs, the root hashes the sections.
 
 Written form: ``root|section:paragraph.leaf.leaf,paragraph.leaf,;section:...``. Equal texts have
 equal fingerprints, roots test equality, differing nodes locate edits, and likeness is the
-Jaccard similarity of the leaves.
+Dice similarity of the distinct leaves (shared ones over the mean number).
 
 Nulls: a null text is empty; an empty text has a root and no leaf (likeness 1 to another empty
 one, else 0). A null id sorts first. Rows that repeat an id are fingerprinted one by one; all
@@ -49,12 +49,12 @@ def root(fingerprint: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Jaccard similarity of two fingerprints' leaves; 1 where the roots are equal."""
+    """Dice similarity of two fingerprints' distinct leaves; 1 where the roots are equal."""
     leaves = lambda x: F.array_distinct(F.regexp_extract_all(x, F.lit("[.]([0-9A-F]+)"), F.lit(1)))
     pair = F.struct(leaves(a).alias("a"), leaves(b).alias("b"))
     found = F.transform(F.array(pair), lambda p: F.struct(F.size(F.array_intersect(p["a"], p["b"])).alias("n"), (F.size(p["a"]) + F.size(p["b"])).alias("m")))[0]
     return F.when(root(a) == root(b), F.lit(1.0)).otherwise(
-        F.transform(F.array(found), lambda x: F.when(x["m"] == 0, F.lit(0.0)).otherwise(x["n"] / (x["m"] - x["n"])))[0].cast("double")
+        F.transform(F.array(found), lambda x: F.when(x["m"] == 0, F.lit(0.0)).otherwise(2 * x["n"] / x["m"]))[0].cast("double")
     )
 
 
