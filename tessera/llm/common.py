@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows in one Arrow batch; at a mean of a few KB a text this keeps a batch at a few MB.
@@ -52,7 +52,7 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def texts(df: DataFrame, *keep: str, text: str = "text") -> DataFrame:
+def texts(df: DataFrame, *keep: Column | str, text: str = "text") -> DataFrame:
     """``keep`` and the text, with null texts as empty ones."""
     return df.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("text"))
 

@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import avi, bpe, html, merkle, mixing, secrets, warc
+from . import avi, bpe, html, jaccard, merkle, mixing, quality, secrets, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_co_training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op2_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One epoch's worth of tokens, at 95 % of the largest entropy, no source more than four times."""
     docs = table(spark, sf_dir, "documents")
@@ -32,6 +37,10 @@ def op5_merkle_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.digests(table(spark, sf_dir, "documents"))
 
 
+def op6_jaccard_heavy_light(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes(table(spark, sf_dir, "documents"))
+
+
 def op7_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -47,10 +56,12 @@ def op9_secret_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_co_training": op1_co_training,
     "op2_temperature_mix": op2_temperature_mix,
     "op3_avi_mjpeg": op3_avi_mjpeg,
     "op4_html_main_text": op4_html_main_text,
     "op5_merkle_tree": op5_merkle_tree,
+    "op6_jaccard_heavy_light": op6_jaccard_heavy_light,
     "op7_warc_zstd": op7_warc_zstd,
     "op8_sentencepiece_byte_bpe": op8_sentencepiece_byte_bpe,
     "op9_secret_automaton": op9_secret_automaton,
