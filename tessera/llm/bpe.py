@@ -20,7 +20,7 @@ import regex
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from .common import map_rows, small_batches, texts
+from .common import fresh, kinds, map_rows, small_batches, texts
 
 #: Distinct pre-tokens a worker remembers; beyond it the memory is emptied and refilled.
 CACHE_WORDS = 400_000
@@ -154,6 +154,22 @@ def encode(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text: st
     return map_rows(texts(df, key, text=text), run, f"`{key}` {kind}, ids array<int>")
 
 
+def encode_rows(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
+    """All rows and columns with ``n_tokens``, ``ids`` and ``exact`` (decoding gives the text's bytes); names in use get an underscore."""
+    small_batches(df.sparkSession)
+    at = df.columns.index(text)
+    names = [fresh(n, df.columns) for n in ("n_tokens", "ids", "exact")]
+
+    def run(*cols: list) -> list[tuple]:
+        c = coder(path, pattern)
+        items = [x or "" for x in cols[at]]
+        ids = c.encode_batch(items)
+        exact = [c.decode_bytes(i) == x.encode("utf-8", "surrogatepass") for i, x in zip(ids, items, strict=True)]
+        return list(zip(*cols, map(len, ids), ids, exact, strict=True))
+
+    return map_rows(df, run, f"{kinds(df)}, `{names[0]}` long, `{names[1]}` array<int>, `{names[2]}` boolean")
+
+
 def decode(df: DataFrame, path: str, pattern: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
     """Rows (key, text, data): the bytes of each id list, and as UTF-8."""
     kind = df.schema[key].dataType.simpleString()

@@ -57,6 +57,18 @@ def texts(df: DataFrame, *keep: Column | str, text: str = "text") -> DataFrame:
     return df.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("text"))
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """``name``, with underscores until no column is called that."""
+    while name.lower() in {x.lower() for x in taken}:
+        name += "_"
+    return name
+
+
+def kinds(df: DataFrame, *names: str) -> str:
+    """Columns and types as a schema string."""
+    return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in names or df.columns)
+
+
 def map_rows(df: DataFrame, fn: Callable[[list], list[tuple]], schema: str) -> DataFrame:
     """Apply ``fn`` (columns as Python lists -> output tuples) to each Arrow batch."""
     from pyspark.sql.pandas.types import to_arrow_schema

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import avi, bpe, html, jaccard, merkle, mixing, quality, secrets, warc
+from . import avi, bpe, html, jaccard, merkle, mixing, quality, repeats, secrets, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,10 @@ def op9_secret_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(table(spark, sf_dir, "documents"))
 
 
+def op10_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_co_training": op1_co_training,
     "op2_temperature_mix": op2_temperature_mix,
@@ -65,6 +69,7 @@ QUERIES = {
     "op7_warc_zstd": op7_warc_zstd,
     "op8_sentencepiece_byte_bpe": op8_sentencepiece_byte_bpe,
     "op9_secret_automaton": op9_secret_automaton,
+    "op10_repeated_strings": op10_repeated_strings,
 }
 
 ORACLE_SQL: dict[str, str] = {}
