@@ -295,3 +295,18 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", ngram: int =
         F.col("id").alias(key), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.coalesce("comp", "id")).otherwise(F.col("id")).alias("component_id")
     )
     return out
+
+
+def representatives(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``df`` without near copies: of each class the row with the smallest key stays.
+
+    An id goes if one of its rows has a linked smaller id; of rows that repeat an id and text one stays.
+    """
+    found = classes(df, key, text)
+    gone = written(found.where(f"component_id <> `{key}`").select(F.col(key).alias("gone")).distinct(), "gone")
+    kept = df.join(gone, df[key] == gone["gone"], "left_anti")
+    twice = written(df.groupBy(F.col(key).alias("twice")).count().where("count > 1 and twice is not null").select("twice"), "twice")
+    if twice.isEmpty():
+        return kept
+    again = kept.join(twice, kept[key] == twice["twice"], "left_semi").dropDuplicates([key, text])
+    return kept.join(twice, kept[key] == twice["twice"], "left_anti").unionByName(again)
