@@ -10,7 +10,7 @@ equal fingerprints, roots test equality, differing nodes locate edits, and liken
 Dice similarity of the distinct leaves (shared ones over the mean number).
 
 Nulls: a null text is empty; an empty text has a root and no leaf (likeness 1 to another empty
-one, else 0). A null id sorts first. Rows that repeat an id are fingerprinted one by one; all
+one, else 0). A null id sorts first (it takes the place of the smallest 64-bit id). Rows that repeat an id are fingerprinted one by one; all
 of them precede the next id, of which the row with the smallest text head counts.
 """
 
@@ -85,10 +85,11 @@ def _before(ids: DataFrame) -> DataFrame:
     dealt = written(ids.repartitionByRange("k").withColumn("pid", F.spark_partition_id()), "ids")
     own = Window.partitionBy("pid").orderBy("k")
     last = dealt.groupBy("pid").agg(F.max_by(F.struct("k", "n"), "k").alias("last"))
-    everywhere = last.agg(F.max_by("last", "pid").alias("end"))
-    edge = last.crossJoin(F.broadcast(everywhere)).select(  # one row: the last id of all
-        "pid", F.coalesce(F.lag("last").over(Window.orderBy("pid")), "end").alias("edge")
-    )
+    end = last.agg(F.max_by("last", "pid").alias("end")).first()["end"]  # one row: the last id of all
+    if end is None:
+        return dealt.select("k", F.col("k").alias("prev"), F.col("n").alias("prev_n"))
+    wrap = F.struct(F.lit(end["k"]).cast("long").alias("k"), F.lit(end["n"]).cast("long").alias("n"))
+    edge = last.select("pid", F.coalesce(F.lag("last").over(Window.orderBy("pid")), wrap).alias("edge"))
     row = dealt.withColumn("p", F.lag(F.struct("k", "n")).over(own)).join(edge, "pid")
     row = row.withColumn("p", F.coalesce("p", "edge"))
     return row.select("k", F.col("p.k").alias("prev"), F.col("p.n").alias("prev_n"))
@@ -99,21 +100,21 @@ def digests(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
 
     The edited text has its last quarter replaced by as many first code points of the next text.
     """
-    rows = df.select(F.col(key).alias("id"), F.coalesce(F.col(key).cast("long"), F.lit(_FIRST)).alias("k"), F.coalesce(text, F.lit("")).alias("t"))
-    rows = rows.withColumn("n", F.length("t").cast("long"))
-    before = _before(rows.groupBy("k").agg(F.max("n").alias("n")))
+    # both branches below read these two columns, so that one exchange of the texts serves them
+    rows = df.select(F.coalesce(F.col(key).cast("long"), F.lit(_FIRST)).alias("k"), F.coalesce(text, F.lit("")).alias("t"))
+    before = written(_before(rows.groupBy("k").agg(F.max(F.length("t").cast("long")).alias("n"))), "before")
     placed = rows.join(before, "k")
     heads = with_fingerprint(placed, "t", "fp").select(
         F.col("prev").alias("k"), F.struct(F.left("t", F.floor(F.col("prev_n") / 4).cast("int")).alias("head"), F.col("fp").alias("next_fp")).alias("v")
     )
     heads = heads.groupBy("k").agg(F.min("v").alias("v"))
+    both = with_fingerprint(rows.join(heads, "k").withColumn("n", F.length("t")), "t", "fingerprint")
     quarter = F.floor(F.col("n") / 4).cast("int")
-    both = with_fingerprint(placed.select("k", "id", "t", "n"), "t", "fingerprint").join(heads, "k")
     both = both.select(
-        "id", "n", "fingerprint", F.col("v.next_fp").alias("next_fp"), F.concat(F.left("t", F.col("n").cast("int") - quarter), F.left("v.head", quarter)).alias("edited")
+        "k", "n", "fingerprint", F.col("v.next_fp").alias("next_fp"), F.concat(F.left("t", F.col("n") - quarter), F.left("v.head", quarter)).alias("edited")
     )
     both = with_fingerprint(both, "edited", "edited_fingerprint")
     return both.select(
-        F.col("id").alias(key), F.col("n").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
+        F.nullif("k", F.lit(_FIRST)).cast(df.schema[key].dataType).alias(key), F.col("n").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_fp")).alias("near_next"),
     )
