@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, small_batches, texts, written
+from .common import forget, map_rows, small_batches, texts, written
 from .graph import components
 
 NGRAM, PER_CENT = 5, 80
@@ -265,16 +265,18 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", ngram: int =
             out.append((i, n, hashlib.blake2b(a.tobytes(), digest_size=16).digest(), head))
         return out
 
-    base = map_rows(rows, first, "id long, n int, sig binary, head array<long>").withColumn("rid", F.monotonically_increasing_id())
-    base = written(base, "sets")
+    hashed = map_rows(rows, first, "id long, n int, sig binary, head array<long>").withColumn("rid", F.monotonically_increasing_id())
+    hashed = written(hashed, "sets")
+    base = written(hashed.drop("head"), "base")
     known = base.where("n > 0 and id is not null")
     equal = written(known.groupBy("sig").agg(F.min(F.struct("id", "rid")).alias("rep"), F.count("*").alias("copies")), "equal")
     again = written(known.select("rid", "sig").join(equal.where("copies > 1"), "sig").where("rid <> rep.rid").select("rid"), "copies")
-    heads = known.join(again, "rid", "left_anti").select("id", "rid", "n", F.explode("head").alias("token"))
+    heads = hashed.where("n > 0 and id is not null").join(again, "rid", "left_anti").select("id", "rid", "n", F.explode("head").alias("token"))
     shared = heads.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").select("token")
     # a linked set has at least per_cent of the shingles, so its own head shares as many with this one
     count = heads.join(shared, "token").groupBy("id", "n").agg(F.count("*").alias("shared"), F.max("rid").alias("rid"))
     count = written(count.withColumn("least", F.floor(F.ceil(F.col("n") * per_cent / 100) / 10) + 1), "shares")
+    forget(spark, hashed)  # nothing reads the heads again
     alive = count.where("shared >= least")
 
     def whole(ids: list, items: list) -> list[tuple]:
