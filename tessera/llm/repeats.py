@@ -114,6 +114,11 @@ def _bitmap(names: DataFrame) -> np.ndarray:
     return out
 
 
+def _place(i: int, at: np.ndarray) -> np.ndarray:
+    """A hash of (id, position)."""
+    return _mix(_mix(np.full(1, i, np.int64).view(np.uint64)) + at.astype(np.uint64))
+
+
 def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
@@ -144,26 +149,27 @@ def removed(df: DataFrame, key: str = "doc_id", text: str = "text", size: int =
             for s in samples(data, size, gram):
                 hit = np.flatnonzero(_has(repeated.value, s.gram))
                 if len(hit):
-                    out.append((i, m, _signed(s.gram[hit]), _signed(s.context[hit]), s.at[hit], s.first[hit], s.last[hit]))
+                    out.append((i, m, _signed(s.gram[hit]), _signed(s.context[hit]), _signed(_place(i, s.at[hit])), s.at[hit], s.first[hit], s.last[hit]))
         return out
 
-    lists = "names array<long>, contexts array<long>, at array<int>, first array<int>, last array<int>"
+    lists = "names array<long>, contexts array<long>, places array<long>, at array<int>, first array<int>, last array<int>"
     found = map_rows(rows, contexts, f"id long, mark long, {lists}")
     found = written(found, "contexts")
-    flat = found.select("id", "mark", F.explode(F.arrays_zip("names", "contexts", "at", "first", "last")).alias("x")).select(
-        "id", "mark", F.col("x.names").alias("name"), F.col("x.contexts").alias("context"), F.col("x.at").alias("at"), F.col("x.first").alias("first"), F.col("x.last").alias("last")
+    flat = found.select("id", "mark", F.explode(F.arrays_zip("names", "contexts", "places", "at", "first", "last")).alias("x")).select(
+        "id", "mark", F.col("x.names").alias("name"), F.col("x.contexts").alias("context"), F.col("x.places").alias("place"), F.col("x.at").alias("at"), F.col("x.first").alias("first"), F.col("x.last").alias("last")
     )
-    classes = written(flat.groupBy("name", "context").agg(F.min(F.struct("id", "at")).alias("head"), F.count("*").alias("members")), "classes")
+    classes = written(flat.groupBy("name", "context").agg(F.min(F.struct("id", "at", "place")).alias("head"), F.count("*").alias("members")), "classes")
     again = flat.join(classes.where("members > 1"), ["name", "context"]).where("id > head.id or (id = head.id and at > head.at)").select("id", "mark", "first", "last")
 
     several = classes.groupBy("name").agg(F.count("*").alias("k")).where("k > 1").select("name")
-    split = spark.sparkContext.broadcast(_bitmap(classes.join(several, "name").select(F.col("context").alias("name"))))
+    # the first member of each class that its name does not settle; the other members are marked already
+    split = spark.sparkContext.broadcast(_bitmap(classes.join(several, "name").select(F.col("head.place").alias("name"))))
 
     def windows(ids: list, marks: list, items: list) -> list[tuple]:
         out = []
         for i, m, data in zip(ids, marks, items, strict=True):
             for s in samples(data, size, gram):
-                runs = np.flatnonzero(_has(repeated.value, s.gram) & _has(split.value, s.context))
+                runs = np.flatnonzero(_has(repeated.value, s.gram) & _has(split.value, _place(i, s.at)))
                 if not len(runs):
                     continue
                 n = s.last[runs] - s.first[runs] + 1
@@ -173,6 +179,7 @@ def removed(df: DataFrame, key: str = "doc_id", text: str = "text", size: int =
 
     parts = map_rows(rows, windows, "id long, mark long, names array<long>, at array<int>")
     parts = parts.select("id", "mark", F.explode(F.arrays_zip("names", "at")).alias("x")).select("id", "mark", F.col("x.names").alias("name"), F.col("x.at").alias("at"))
+    parts = written(parts, "windows")
     heads = parts.groupBy("name").agg(F.min(F.struct("id", "at")).alias("head"), F.count("*").alias("members")).where("members > 1")
     merged = parts.join(heads, "name").where("id > head.id or (id = head.id and at > head.at)").select("id", "mark", F.col("at").alias("first"), F.col("at").alias("last"))
     spans = again.unionByName(merged).groupBy("id", "mark").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("spans"))
