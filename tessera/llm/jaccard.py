@@ -218,10 +218,13 @@ def _large_links(sets: DataFrame, small: DataFrame, x: int, per_cent: int) -> Da
     def labelled() -> DataFrame:
         return lists.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
 
-    for last in [False] * HUB_ROUNDS + [True]:
-        now = labelled()
+    for step in range(HUB_ROUNDS + 1):
+        now, last = labelled(), step == HUB_ROUNDS
+        # the most central set first, then others: a hub is of use once
+        rank = F.col("score") if step == 0 else F.xxhash64("id", F.lit(step)).cast("double")
+        now = now.withColumn("rank", rank)
         # lists of one component have nothing left to verify
-        open_ = now.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct("score", "id", "n", "comp", "pos")).alias("hub")).where("lo <> hi")
+        open_ = now.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct("rank", "id", "n", "comp", "pos")).alias("hub")).where("lo <> hi")
         if last:
             size = now.groupBy("token", "comp").agg(F.count("*").alias("m"))
             main = size.groupBy("token").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"), F.count("*").alias("k")).where("k > 1").drop("k")
@@ -244,8 +247,6 @@ def _large_links(sets: DataFrame, small: DataFrame, x: int, per_cent: int) -> Da
         new = not found.where("link").isEmpty()
         if new:
             comps = components(found.where("link").select("u", "v").unionByName(comps.where("id <> comp").select(F.col("id").alias("u"), F.col("comp").alias("v"))))
-        elif not last and found.isEmpty():
-            return comps
     return comps
 
 
