@@ -106,6 +106,8 @@ def frames(data: bytes) -> Iterator[bytes]:
             raise BadArchive("rest is no frame")
         magic, size = struct.unpack_from("<II", data, at)
         if magic & 0xFFFFFFF0 == 0x184D2A50:
+            if at + 8 + size > len(data):
+                raise BadArchive("a skippable frame is cut off")
             if at == 0 and magic == SKIPPABLE:
                 raw = data[8 : 8 + size]
                 if raw[:4] == struct.pack("<I", FRAME):
