@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch; at a mean of a few KB a text this keeps a batch at a few MB.
-BATCH_ROWS = 512
+#: Rows in one Arrow batch; at a mean of a few KB a text this keeps a batch at about half a MB.
+BATCH_ROWS = 128
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -38,7 +38,7 @@ HUB_ROUNDS = 3
 #: Cost of a subset key, a posting and a verified shingle, in one unit; boundaries to choose from.
 KEY_COST, POST_COST, TOKEN_COST, BOUNDARIES = 1.0, 4.0, 0.05, (4, 9, 14, 19)
 
-_CHUNK = 1 << 20
+_CHUNK = 1 << 18
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
