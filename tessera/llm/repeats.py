@@ -11,7 +11,7 @@ third byte. Then
 2. sampled suffixes with equal names are compared by their whole context, all windows that the
    sample stands for: equal contexts form one class, whose earliest member is kept;
 3. where a name has several contexts, the remaining suffixes (windows) of those are merged by
-   their own 100 bytes, and each that has an earlier equal one is marked.
+   their own 100 bytes (in blocks whose common bytes recur), and each that has an earlier equal one is marked.
 
 Hot strings are aggregated per class before any join, and a class is never gathered in a task.
 Strings never cross texts. "Earlier" is a smaller id, or the same id and a smaller start.
@@ -30,13 +30,15 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, small_batches, written
+from .common import forget, map_rows, small_batches, written
 from .jaccard import _mix
 
 SIZE, GRAM = 100, 50
+#: Windows of one sample that are first compared together.
+BLOCK = 13
 #: Bits of a bitmap of names (a power of two); a fuller bitmap only lets more suffixes through.
 BITS = 1 << 26
-_CHUNK = 1 << 19
+_CHUNK = 1 << 17
 _LOW = (1 << 20) - 1
 _FIRST = -(1 << 63)
 
@@ -56,7 +58,7 @@ class _Powers:
 class Samples:
     """The samples of one chunk of a text: for each run of windows with one sample, where it is and what it stands for."""
 
-    __slots__ = ("at", "first", "last", "gram", "context", "_total", "_inverse", "_base", "_size")
+    __slots__ = ("at", "first", "last", "gram", "_total", "_inverse", "_base", "_size", "_end", "_span")
 
     def __init__(self, data: bytes, start: int, size: int = SIZE, gram: int = GRAM) -> None:
         power, inverse, code = _Powers.get()
@@ -81,16 +83,25 @@ class Samples:
         self.first = start + edge  # first and last window of the run
         self.last = start + np.r_[edge[1:], n] - 1
         self.gram = grams[self.at]
-        left, right = np.minimum(self.at, span - 1), np.minimum(len(b) - self.at, size)
-        self.context = _mix(self._hash(self.at - left, self.at + right) ^ (left * 1000 + right).astype(np.uint64))
+        self._end = len(b)
         self.at = self.at + begin
+        self._span = span
+
+    @property
+    def context(self) -> np.ndarray:
+        """The hash of all bytes of the windows that each sample can stand for."""
+        at = self.at - self._base
+        left, right = np.minimum(at, self._span - 1), np.minimum(self._end - at, self._size)
+        return _mix(self._hash(at - left, at + right) ^ (left * 1000 + right).astype(np.uint64) ^ self.gram)
 
     def _hash(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return _mix((self._total[b] - self._total[a]) * self._inverse[a])
 
+    def between(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return self._hash(begin - self._base, end - self._base)
+
     def windows(self, starts: np.ndarray) -> np.ndarray:
-        a = starts - self._base
-        return self._hash(a, a + self._size)
+        return self.between(starts, starts + self._size)
 
 
 def samples(data: bytes, size: int = SIZE, gram: int = GRAM) -> Iterator[Samples]:
@@ -126,7 +137,7 @@ def _signed(x: np.ndarray) -> np.ndarray:
 def removed(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE, gram: int = GRAM) -> DataFrame:
     """(id, mark, spans): of each text that loses bytes, the starts (first, last) of its repeated windows. ``mark`` is the text's hash."""
     spark = df.sparkSession
-    small_batches(spark)
+    small_batches(spark, 128)
     spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "0")
     rows = _rows(df, key, text).where(F.octet_length("data") >= size)
 
@@ -149,7 +160,8 @@ def removed(df: DataFrame, key: str = "doc_id", text: str = "text", size: int =
             for s in samples(data, size, gram):
                 hit = np.flatnonzero(_has(repeated.value, s.gram))
                 if len(hit):
-                    out.append((i, m, _signed(s.gram[hit]), _signed(s.context[hit]), _signed(_place(i, s.at[hit])), s.at[hit], s.first[hit], s.last[hit]))
+                    context = s.context
+                    out.append((i, m, _signed(s.gram[hit]), _signed(context[hit]), _signed(_place(i, s.at[hit])), s.at[hit], s.first[hit], s.last[hit]))
         return out
 
     lists = "names array<long>, contexts array<long>, places array<long>, at array<int>, first array<int>, last array<int>"
@@ -158,32 +170,55 @@ def removed(df: DataFrame, key: str = "doc_id", text: str = "text", size: int =
     flat = found.select("id", "mark", F.explode(F.arrays_zip("names", "contexts", "places", "at", "first", "last")).alias("x")).select(
         "id", "mark", F.col("x.names").alias("name"), F.col("x.contexts").alias("context"), F.col("x.places").alias("place"), F.col("x.at").alias("at"), F.col("x.first").alias("first"), F.col("x.last").alias("last")
     )
-    classes = written(flat.groupBy("name", "context").agg(F.min(F.struct("id", "at", "place")).alias("head"), F.count("*").alias("members")), "classes")
-    again = flat.join(classes.where("members > 1"), ["name", "context"]).where("id > head.id or (id = head.id and at > head.at)").select("id", "mark", "first", "last")
+    classes = written(flat.groupBy("context").agg(F.min(F.struct("id", "at", "place")).alias("head"), F.count("*").alias("members"), F.first("name").alias("name")), "classes")
+    again = flat.drop("name", "place").join(classes.where("members > 1").select("context", "head.id", "head.at").toDF("context", "hid", "hat"), "context").where("id > hid or (id = hid and at > hat)").select("id", "mark", "first", "last")
+
+    again = written(again, "again")
+    forget(spark, found)
 
     several = classes.groupBy("name").agg(F.count("*").alias("k")).where("k > 1").select("name")
     # the first member of each class that its name does not settle; the other members are marked already
     split = spark.sparkContext.broadcast(_bitmap(classes.join(several, "name").select(F.col("head.place").alias("name"))))
 
     def windows(ids: list, marks: list, items: list) -> list[tuple]:
+        """Of each such member: its windows in blocks of neighbours, each with the hash of the bytes that all of the block have."""
         out = []
         for i, m, data in zip(ids, marks, items, strict=True):
             for s in samples(data, size, gram):
                 runs = np.flatnonzero(_has(repeated.value, s.gram) & _has(split.value, _place(i, s.at)))
                 if not len(runs):
                     continue
-                n = s.last[runs] - s.first[runs] + 1
-                starts = np.repeat(s.first[runs], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                out.append((i, m, _signed(s.windows(starts)), starts))
+                # windows that start r bytes before the sample; a block holds those of r // BLOCK
+                low, high = (s.at[runs] - s.last[runs]) // BLOCK, (s.at[runs] - s.first[runs]) // BLOCK
+                n = high - low + 1
+                block = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                at, first, last = (np.repeat(x[runs], n) for x in (s.at, s.first, s.last))
+                begin, end = at - block * BLOCK, at - np.minimum(block * BLOCK + BLOCK - 1, size - gram) + size
+                names = _mix(s.between(begin, end) ^ block.astype(np.uint64))
+                first, last = np.maximum(first, at - block * BLOCK - BLOCK + 1), np.minimum(last, begin)
+                count = last - first + 1
+                starts = np.repeat(first, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+                hashes = _signed(s.windows(starts))
+                out += zip([i] * len(first), [m] * len(first), _signed(names).tolist(), first.tolist(), np.split(hashes, np.cumsum(count)[:-1]), strict=True)
         return out
 
-    parts = map_rows(rows, windows, "id long, mark long, names array<long>, at array<int>")
-    parts = parts.select("id", "mark", F.explode(F.arrays_zip("names", "at")).alias("x")).select("id", "mark", F.col("x.names").alias("name"), F.col("x.at").alias("at"))
-    parts = written(parts, "windows")
+    parts = written(map_rows(rows, windows, "id long, mark long, name long, first int, hashes array<long>"), "windows")
+    shared = parts.groupBy("name").agg(F.count("*").alias("members")).where("members > 1").select("name")
+    alike = spark.sparkContext.broadcast(_bitmap(shared))
+
+    def open_blocks(ids: list, marks: list, names: list, firsts: list, lists: list) -> list[tuple]:
+        hit = _has(alike.value, np.array(names, np.int64).view(np.uint64))
+        return [(i, m, h, a + j) for i, m, a, hs, ok in zip(ids, marks, firsts, lists, hit, strict=True) if ok for j, h in enumerate(hs)]
+
+    opened = written(map_rows(parts, open_blocks, "id long, mark long, name long, at int"), "open")
+    forget(spark, classes, parts)
+    parts = opened
     heads = parts.groupBy("name").agg(F.min(F.struct("id", "at")).alias("head"), F.count("*").alias("members")).where("members > 1")
     merged = parts.join(heads, "name").where("id > head.id or (id = head.id and at > head.at)").select("id", "mark", F.col("at").alias("first"), F.col("at").alias("last"))
     spans = again.unionByName(merged).groupBy("id", "mark").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("spans"))
-    return written(spans, "spans")
+    spans = written(spans, "spans")
+    forget(spark, again, opened)
+    return spans
 
 
 def _rows(df: DataFrame, key: str, text: str) -> DataFrame:
