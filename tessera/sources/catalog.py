@@ -161,6 +161,16 @@ class Catalog:
         return sorted(got)
 
 
+#: Schemas by file, so that opening a folder again reads no footers; a table's file keeps its schema.
+_SCHEMAS: dict[str, StructType] = {}
+
+
+def read_table(spark: SparkSession, file: str) -> DataFrame:
+    if file not in _SCHEMAS:
+        _SCHEMAS[file] = spark.read.parquet(file).schema
+    return spark.read.schema(_SCHEMAS[file]).parquet(file)
+
+
 class Engine:
     """A session with a folder of Parquet tables under one catalog."""
 
@@ -170,7 +180,7 @@ class Engine:
     @classmethod
     def folder(cls, spark: SparkSession, path: str, keys: dict[str, tuple[str, ...]], foreign_keys: Iterable[ForeignKey], stored: dict[str, set[str]] | None = None, sales_root: str | None = None, only: Iterable[str] | None = None) -> Engine:
         names = list(only) if only is not None else sorted(set(keys) | {k.table for k in foreign_keys})
-        frames = {n: spark.read.parquet(f"{path}/{n}.parquet") for n in names}
+        frames = {n: read_table(spark, f"{path}/{n}.parquet") for n in names}
         tables = {n: Table(n, df.schema, keys.get(n, ()), frozenset((stored or {}).get(n, ()))) for n, df in frames.items()}
         return cls(spark, frames, Catalog(tables, tuple(k for k in foreign_keys if k.table in tables and k.parent in tables), sales_root))
 
