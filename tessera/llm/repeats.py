@@ -1,17 +1,17 @@
 """Repeated byte strings, removed where a string of ``size`` bytes starts earlier as well.
 
-All suffixes are compared by their first ``size`` (100) bytes through a cover of sampled
-suffixes. The cover is content-defined: a suffix is sampled where its ``GRAM``-byte prefix has
-the smallest hash among the grams of some window of ``size`` bytes, so that any two equal
-windows hold a sample at the same offset, as a difference cover modulo 3 would give every
-third byte. Then
+All suffixes are compared by their first ``size`` (100) bytes in a distributed difference-cover
+suffix sort (``suffix.py``). Suffixes that cannot have an equal neighbour there, and copies of whole
+neighbourhoods, are set aside first, by anchors: a position is one where its ``GRAM``-byte gram has
+the smallest hash among the grams of some window of ``size`` bytes, so that any two equal windows
+have an anchor at the same offset. Then
 
-1. sampled suffixes are named by their grams; a name that occurs once ends the comparison there
+1. anchors are named by the hashes of their grams; windows at a name that occurs once are unique
    (names are counted over all texts; a bitmap of fixed size carries the repeated ones);
-2. sampled suffixes with equal names are compared by their whole context, all windows that the
-   sample stands for: equal contexts form one class, whose earliest member is kept;
-3. where a name has several contexts, the remaining suffixes (windows) of those are merged by
-   their own 100 bytes (in blocks whose common bytes recur), and each that has an earlier equal one is marked.
+2. anchors with equal names are compared by their whole context, all windows that the anchor
+   stands for: equal contexts form one class, whose earliest member alone goes on;
+3. where a name has several contexts, the suffixes that start in them are sorted, and neighbours
+   with equal first ``size`` bytes found.
 
 Hot strings are aggregated per class before any join, and a class is never gathered in a task.
 Strings never cross texts. "Earlier" is a smaller id, or the same id and a smaller start.
@@ -30,12 +30,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import suffix
 from .common import forget, map_rows, small_batches, written
 from .jaccard import _mix
 
 SIZE, GRAM = 100, 50
-#: Windows of one sample that are first compared together.
-BLOCK = 13
 #: Bits of a bitmap of names (a power of two); a fuller bitmap only lets more suffixes through.
 BITS = 1 << 26
 _CHUNK = 1 << 17
@@ -97,12 +96,6 @@ class Samples:
     def _hash(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return _mix((self._total[b] - self._total[a]) * self._inverse[a])
 
-    def between(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return self._hash(begin - self._base, end - self._base)
-
-    def windows(self, starts: np.ndarray) -> np.ndarray:
-        return self.between(starts, starts + self._size)
-
 
 def samples(data: bytes, size: int = SIZE, gram: int = GRAM) -> Iterator[Samples]:
     for start in range(0, len(data) - size + 1, _CHUNK):
@@ -180,44 +173,25 @@ def removed(df: DataFrame, key: str = "doc_id", text: str = "text", size: int =
     # the first member of each class that its name does not settle; the other members are marked already
     split = spark.sparkContext.broadcast(_bitmap(classes.join(several, "name").select(F.col("head.place").alias("name"))))
 
-    def windows(ids: list, marks: list, items: list) -> list[tuple]:
-        """Of each such member: its windows in blocks of neighbours, each with the hash of the bytes that all of the block have."""
-        out = []
+    def undecided(ids: list, marks: list, items: list) -> Iterator[tuple]:
+        """The strings around such members, neighbours put together."""
         for i, m, data in zip(ids, marks, items, strict=True):
+            held: list[list[int]] = []
             for s in samples(data, size, gram):
                 runs = np.flatnonzero(_has(repeated.value, s.gram) & _has(split.value, _place(i, s.at)))
-                if not len(runs):
-                    continue
-                # windows that start r bytes before the sample; a block holds those of r // BLOCK
-                low, high = (s.at[runs] - s.last[runs]) // BLOCK, (s.at[runs] - s.first[runs]) // BLOCK
-                n = high - low + 1
-                block = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                at, first, last = (np.repeat(x[runs], n) for x in (s.at, s.first, s.last))
-                begin, end = at - block * BLOCK, at - np.minimum(block * BLOCK + BLOCK - 1, size - gram) + size
-                names = _mix(s.between(begin, end) ^ block.astype(np.uint64))
-                first, last = np.maximum(first, at - block * BLOCK - BLOCK + 1), np.minimum(last, begin)
-                count = last - first + 1
-                starts = np.repeat(first, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                hashes = _signed(s.windows(starts))
-                out += zip([i] * len(first), [m] * len(first), _signed(names).tolist(), first.tolist(), np.split(hashes, np.cumsum(count)[:-1]), strict=True)
-        return out
-
-    parts = written(map_rows(rows, windows, "id long, mark long, name long, first int, hashes array<long>"), "windows")
-    shared = parts.groupBy("name").agg(F.count("*").alias("members")).where("members > 1").select("name")
-    alike = spark.sparkContext.broadcast(_bitmap(shared))
-
-    def open_blocks(ids: list, marks: list, names: list, firsts: list, lists: list) -> list[tuple]:
-        hit = _has(alike.value, np.array(names, np.int64).view(np.uint64))
-        return [(i, m, h, a + j) for i, m, a, hs, ok in zip(ids, marks, firsts, lists, hit, strict=True) if ok for j, h in enumerate(hs)]
-
-    opened = written(map_rows(parts, open_blocks, "id long, mark long, name long, at int"), "open")
-    forget(spark, classes, parts)
-    parts = opened
-    heads = parts.groupBy("name").agg(F.min(F.struct("id", "at")).alias("head"), F.count("*").alias("members")).where("members > 1")
-    merged = parts.join(heads, "name").where("id > head.id or (id = head.id and at > head.at)").select("id", "mark", F.col("at").alias("first"), F.col("at").alias("last"))
-    spans = again.unionByName(merged).groupBy("id", "mark").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("spans"))
+                for first, last in zip(s.first[runs].tolist(), s.last[runs].tolist(), strict=True):
+                    if held and first <= held[-1][1] + size:
+                        held[-1][1] = last
+                    else:
+                        held.append([first, last])
+            yield from ((i, m, first, data[first : last + size]) for first, last in held)
+
+    strings = written(suffix.bundles(rows, undecided), "strings")
+    forget(spark, classes)
+    sorted_out = suffix.repeated(strings, size).select("id", "mark", F.col("at").alias("first"), F.col("at").alias("last"))
+    spans = again.unionByName(sorted_out).groupBy("id", "mark").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("spans"))
     spans = written(spans, "spans")
-    forget(spark, again, opened)
+    forget(spark, again, strings)
     return spans
 
 

@@ -13,7 +13,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import avi, bpe, common, graph, html, jaccard, merkle, mixing, quality, repeats, secrets, warc
+from tessera.llm import avi, bpe, common, graph, html, jaccard, merkle, mixing, quality, repeats, secrets, suffix, warc
 
 P = pytest.importorskip("public_tokenizers")
 RANKS = P.path("byte_bpe_50k.tiktoken")
@@ -397,6 +397,29 @@ def test_repeats(docs, none, spark):
     assert digests_of(spark.createDataFrame(list(texts.items()), "doc_id long, text string")) == brute_removed(texts)
 
 
+def test_suffix_sort_over_many_partitions(spark, monkeypatch):
+    rng = random.Random(11)
+    base = "".join(rng.choice("abcd") for _ in range(400))
+    texts = {}
+    for i in range(80):  # one passage among different neighbours, in a third of the texts; periods; single changes
+        around = ["".join(rng.choice("abcd") for _ in range(rng.randrange(90))) for _ in range(2)]
+        texts[i] = [around[0] + base[100:205] + around[1], "ab" * rng.randrange(120) + around[0], base[: rng.randrange(400)] + rng.choice("xyz") + base[rng.randrange(200) :]][i % 3]
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(suffix, "BUNDLE", 700)
+    monkeypatch.setattr(suffix, "PART", 400)
+    assert digests_of(df) == brute_removed(texts)
+
+    strings = suffix.bundles(repeats._rows(df, "doc_id", "text"), lambda i, m, d: ((a, b, 0, c) for a, b, c in zip(i, m, d, strict=True)))
+    strings = common.written(strings, "strings")
+    seen, want = {}, set()  # without any windows set aside
+    for i in sorted(texts):
+        for at in range(len(texts[i]) - 99):
+            if seen.setdefault(texts[i][at : at + 100], (i, at)) != (i, at):
+                want.add((i, at))
+    assert {(r["id"], r["at"]) for r in suffix.repeated(strings, 100).collect()} == want
+    assert suffix.repeated(strings.limit(0), 100).count() == 0
+
+
 def test_repeats_across_chunks(spark, monkeypatch):
     rng = random.Random(9)
     words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(40)]
