@@ -112,7 +112,7 @@ def _bitmap(names: DataFrame) -> np.ndarray:
     bit = F.col("name").bitwiseAND(F.lit(BITS - 1)) + 1  # Spark counts bits from 1
     blocks = names.select(bit.alias("b")).groupBy(F.bitmap_bucket_number("b").alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("bits"))
     out = np.zeros(BITS // 8, np.uint8)
-    for r in blocks.toLocalIterator():  # BITS / 8 bytes in all, at most
+    for r in blocks.collect():  # BITS / 8 bytes in all, at most
         at = (r["block"] - 1) * 4096
         out[at : at + 4096] = np.frombuffer(r["bits"], np.uint8)
     return out
@@ -131,6 +131,11 @@ def removed(df: DataFrame, key: str = "doc_id", text: str = "text", size: int =
     """(id, mark, spans): of each text that loses bytes, the starts (first, last) of its repeated windows. ``mark`` is the text's hash."""
     spark = df.sparkSession
     small_batches(spark, 128)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+    # every step is written: its exchanges are of no use afterwards
+    clean = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(clean)
+    spark.conf.set(clean, "true")
     spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "0")
     rows = _rows(df, key, text).where(F.octet_length("data") >= size)
 
@@ -192,6 +197,7 @@ def removed(df: DataFrame, key: str = "doc_id", text: str = "text", size: int =
     spans = again.unionByName(sorted_out).groupBy("id", "mark").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("spans"))
     spans = written(spans, "spans")
     forget(spark, again, strings)
+    spark.conf.set(clean, before)
     return spans
 
 

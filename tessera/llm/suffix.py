@@ -31,11 +31,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, written
+from .common import forget, kinds, written
 from .jaccard import _mix
 
 #: Bytes of one bundle, and suffixes of one range partition.
-BUNDLE, PART = 1 << 20, 1 << 20
+BUNDLE, PART = 1 << 19, 1 << 19
 #: Bounds are drawn from this many suffixes of each of at least this many bundles.
 DRAW, DRAWN = 256, 32
 
@@ -141,13 +141,14 @@ def merged(rows: dict[int, dict[str, np.ndarray]]) -> np.ndarray:
     return out
 
 
-def _draw(level: DataFrame, ranks: DataFrame | None, count: int, parts: int, fn) -> np.ndarray:
+def _draw(rows: DataFrame, count: int, parts: int, fn) -> np.ndarray:
     """Keys of a sample of suffixes, sorted: where range partitions may begin (about 32 keys a partition)."""
     if parts < 2:
         return np.zeros((0, 3), np.int64)
     step = max(1, count // max(DRAWN, 32 * parts // DRAW))
-    level, ranks = (df if df is None or step < 2 else df.where(F.pmod(F.xxhash64("bundle"), F.lit(step)) == 0) for df in (level, ranks))
-    got = _stream(level if ranks is None else level.join(ranks, "bundle"), fn, "keys binary").collect()
+    if step > 1:
+        rows = rows.where(F.pmod(F.xxhash64("bundle"), F.lit(step)) == 0)
+    got = _stream(rows, fn, "keys binary").collect()
     keys = np.concatenate([np.frombuffer(r["keys"], np.int64).reshape(-1, 3) for r in got]) if got else np.zeros((0, 3), np.int64)
     return np.unique(keys, axis=0)
 
@@ -193,7 +194,7 @@ def _named(level: DataFrame, dtype: str, count: int, total: int) -> tuple[DataFr
             yield {"keys": np.stack([sym[at], sym[at + 1], sym[at + 2]], axis=1).tobytes()}
 
     parts = -(-total // PART)
-    bounds = _bounds(_draw(level.select("bundle", "sym"), None, count, parts, draw), parts)
+    bounds = _bounds(_draw(level.select("bundle", "sym"), count, parts, draw), parts)
 
     def emit(r: dict) -> Iterator[dict]:
         keys, _ = _triples(r["sym"], dtype)
@@ -228,14 +229,12 @@ def _named(level: DataFrame, dtype: str, count: int, total: int) -> tuple[DataFr
     return out, kind, distinct == out.agg(F.sum("n")).first()[0]
 
 
-def _suffixes(level: DataFrame, dtype: str, ranks: DataFrame, kind: str, count: int, total: int, fn, extra: dict[str, str], more, schema: str) -> DataFrame:
+def _suffixes(rows: DataFrame, dtype: str, kind: str, count: int, total: int, fn, extra: dict[str, str], more, schema: str) -> DataFrame:
     """Range partitions of all suffixes, each merged and given to ``fn``.
 
-    ``ranks`` holds (bundle, rank): those of the samples, as in ``_sampled``, with one more between the residues.
+    ``rows`` hold the ranks of the samples, as in ``_sampled``, with one more between the residues.
     ``more`` (row) gives further columns of the suffixes and which of them are needed.
     """
-    rows = level.join(ranks.select("bundle", "rank"), "bundle")
-
     def spread(r: dict) -> tuple[np.ndarray, np.ndarray]:
         sym = _padded(r["sym"], dtype)
         n = len(sym) - 3
@@ -252,7 +251,7 @@ def _suffixes(level: DataFrame, dtype: str, ranks: DataFrame, kind: str, count:
             yield {"keys": np.stack([rank[at], sym[at], rank[at + 1]], axis=1).tobytes()}
 
     parts = -(-total // PART)
-    bounds = _bounds(_draw(level.select("bundle", "sym"), ranks.select("bundle", "rank"), count, parts, draw), parts)
+    bounds = _bounds(_draw(rows.select("bundle", "sym", "rank"), count, parts, draw), parts)
     columns = {"t0": dtype, "t1": dtype, "ra": kind, "rb": kind} | extra
 
     def emit(r: dict) -> Iterator[dict]:
@@ -282,8 +281,8 @@ def _suffixes(level: DataFrame, dtype: str, ranks: DataFrame, kind: str, count:
     return _grouped(_stream(rows, emit, "p int, bundle long, residue int, " + ", ".join(f"{k} binary" for k in columns)), merge, schema)
 
 
-def _ranked(level: DataFrame, dtype: str, reach: int, size: int) -> tuple[DataFrame, str]:
-    """(bundle, rank) of all suffixes of the level's strings."""
+def _ranked(level: DataFrame, dtype: str, reach: int, size: int, base: DataFrame) -> tuple[DataFrame, str]:
+    """``base`` with the ranks of all suffixes of the level's strings (stored together: no later join by bundle)."""
     samples, kind = _sample_ranks(level, dtype, reach, size)
     count, total = level.select(F.count("*"), F.sum(F.octet_length("sym"))).first()
     total //= np.dtype(dtype).itemsize
@@ -298,30 +297,32 @@ def _ranked(level: DataFrame, dtype: str, reach: int, size: int) -> tuple[DataFr
         cuts = np.cumsum([len(r["at"]) // 4 for r in found])[:-1]
         return [{"p": r["p"], "bundle": r["bundle"], "at": r["at"], "rank": x.astype(np.int32).tobytes(), "n": len(order)} for r, x in zip(found, np.split(rank, cuts), strict=True)]
 
-    out = written(_suffixes(level.select("bundle", "sym"), dtype, samples, kind, count, total, place, {"at": "<i4"}, more, "p int, bundle long, at binary, rank binary, n long"), "ranks")
+    out = written(_suffixes(samples, dtype, kind, count, total, place, {"at": "<i4"}, more, "p int, bundle long, at binary, rank binary, n long"), "ranks")
     forget(level.sparkSession, samples)
     offsets, number = _offsets(out)
-    wide = _kind(number)
+    wide, columns = _kind(number), base.columns
 
     def gather(r: dict) -> Iterator[dict]:
         at = np.concatenate([np.frombuffer(x["at"], "<i4") for x in r["parts"]])
         rank = np.empty(len(at), np.int64)
         rank[at] = np.concatenate([np.frombuffer(x["rank"], np.int32) + offsets[x["p"]] for x in r["parts"]])
-        yield {"bundle": r["bundle"], "rank": rank.astype(wide).tobytes()}
+        yield {c: r[c] for c in columns} | {"rank": rank.astype(wide).tobytes()}
 
     lists = out.groupBy("bundle").agg(F.collect_list(F.struct("p", "at", "rank")).alias("parts"))  # one bundle's suffixes
-    ranks = written(_stream(lists, gather, "bundle long, rank binary"), "ranked")
+    ranks = written(_stream(base.join(lists, "bundle"), gather, kinds(base) + ", rank binary"), "ranked")
     forget(level.sparkSession, out)
     return ranks, wide
 
 
 def _sample_ranks(level: DataFrame, dtype: str, reach: int, size: int) -> tuple[DataFrame, str]:
-    """(bundle, rank) of the sampled suffixes; a symbol stands for ``reach`` bytes."""
+    """The level with the ranks of its sampled suffixes; a symbol stands for ``reach`` bytes."""
     count, total = level.select(F.count("*"), F.sum(F.octet_length("sym"))).first()
     following, kind, distinct = _named(level, dtype, count, total // np.dtype(dtype).itemsize)
     if distinct or 3 * reach >= size:
-        return following.withColumnRenamed("sym", "rank"), kind
-    ranks, wide = _ranked(following, kind, 3 * reach, size)
+        ranks = written(level.join(following.select("bundle", F.col("sym").alias("rank")), "bundle"), "ranked")
+        forget(level.sparkSession, following)
+        return ranks, kind
+    ranks, wide = _ranked(following.select("bundle", "sym"), kind, 3 * reach, size, level)
     forget(level.sparkSession, following)
     return ranks, wide
 
@@ -380,7 +381,7 @@ def repeated(strings: DataFrame, size: int) -> DataFrame:
 
     schema = "p int, edge boolean, ids array<long>, marks array<long>, ats array<int>, hashes array<long>, heads array<struct<hash:long,id:long,at:int>>"
     extra = {"id": "<i8", "mark": "<i8", "at": "<i4", "hash": "<i8"}
-    out = written(_suffixes(strings, "<i2", samples, kind, count, total, compare, extra, more, schema), "compared")
+    out = written(_suffixes(samples, "<i2", kind, count, total, compare, extra, more, schema), "compared")
     forget(spark, samples)
     rows = out.select("edge", F.explode(F.arrays_zip("ids", "marks", "ats", "hashes")).alias("x")).select("edge", F.col("x.ids").alias("id"), F.col("x.marks").alias("mark"), F.col("x.ats").alias("at"), F.col("x.hashes").alias("hash"))
     # two runs of each range partition at most; a run over many partitions comes down to its earliest member
