@@ -133,9 +133,10 @@ def removed(df: DataFrame, key: str = "doc_id", text: str = "text", size: int =
     small_batches(spark, 128)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
     # every step is written: its exchanges are of no use afterwards
-    clean = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(clean)
-    spark.conf.set(clean, "true")
+    settings = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.parquet.compression.codec": "zstd"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
     spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "0")
     rows = _rows(df, key, text).where(F.octet_length("data") >= size)
 
@@ -193,11 +194,12 @@ def removed(df: DataFrame, key: str = "doc_id", text: str = "text", size: int =
 
     strings = written(suffix.bundles(rows, undecided), "strings")
     forget(spark, classes)
-    sorted_out = suffix.repeated(strings, size).select("id", "mark", F.col("at").alias("first"), F.col("at").alias("last"))
+    sorted_out = suffix.repeated(strings, size, keep=False).select("id", "mark", F.col("at").alias("first"), F.col("at").alias("last"))
     spans = again.unionByName(sorted_out).groupBy("id", "mark").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("spans"))
     spans = written(spans, "spans")
-    forget(spark, again, strings)
-    spark.conf.set(clean, before)
+    forget(spark, again)
+    for k, v in before.items():
+        spark.conf.set(k, v)
     return spans
 
 

@@ -344,14 +344,19 @@ def _hashes(sym: np.ndarray, size: int) -> np.ndarray:
     return full.view(np.int64)
 
 
-def repeated(strings: DataFrame, size: int) -> DataFrame:
-    """(id, mark, at) of the windows of ``size`` bytes that an earlier (id, at) has too; ``strings`` come from ``bundles``."""
+def repeated(strings: DataFrame, size: int, keep: bool = True) -> DataFrame:
+    """(id, mark, at) of the windows of ``size`` bytes that an earlier (id, at) has too.
+
+    ``strings`` come from ``bundles``, written; without ``keep`` they are deleted once their ranks are stored beside them.
+    """
     spark = strings.sparkSession
     empty = spark.createDataFrame([], "id long, mark long, at int")
     if strings.isEmpty():
         return empty
     samples, kind = _sample_ranks(strings, "<i2", 1, size)
     count, total = strings.select(F.count("*"), F.sum(F.octet_length("sym") / 2).cast("long")).first()
+    if not keep:
+        forget(spark, strings)
 
     def more(r: dict) -> tuple[dict, np.ndarray]:
         seg, sym = np.frombuffer(r["seg"], np.int64).reshape(-1, 4), np.frombuffer(r["sym"], "<i2")
