@@ -219,7 +219,7 @@ def _named(level: DataFrame, dtype: str, count: int, total: int) -> tuple[DataFr
 
     def follow(r: dict) -> Iterator[dict]:
         _, which = _triples(r["sym"], dtype)
-        names = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x["name"], np.int32) + offsets[x["p"]] for x in r["names"] or [])])[which]
+        names = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x["name"], np.int32).astype(np.int64) + offsets[x["p"]] for x in r["names"] or [])])[which]
         ones = len(range(1, len(r["sym"]) // np.dtype(dtype).itemsize, 3))
         yield {"bundle": r["bundle"], "sym": np.r_[names[:ones], 0, names[ones:]].astype(kind).tobytes(), "n": len(names)}
 
@@ -305,7 +305,7 @@ def _ranked(level: DataFrame, dtype: str, reach: int, size: int, base: DataFrame
     def gather(r: dict) -> Iterator[dict]:
         at = np.concatenate([np.frombuffer(x["at"], "<i4") for x in r["parts"]])
         rank = np.empty(len(at), np.int64)
-        rank[at] = np.concatenate([np.frombuffer(x["rank"], np.int32) + offsets[x["p"]] for x in r["parts"]])
+        rank[at] = np.concatenate([np.frombuffer(x["rank"], np.int32).astype(np.int64) + offsets[x["p"]] for x in r["parts"]])
         yield {c: r[c] for c in columns} | {"rank": rank.astype(wide).tobytes()}
 
     lists = out.groupBy("bundle").agg(F.collect_list(F.struct("p", "at", "rank")).alias("parts"))  # one bundle's suffixes

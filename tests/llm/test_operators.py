@@ -420,6 +420,30 @@ def test_suffix_sort_over_many_partitions(spark, monkeypatch):
     assert suffix.repeated(strings.limit(0), 100).count() == 0
 
 
+@pytest.mark.parametrize("start", [(1 << 31) - 50, (1 << 31) + 5, 5 << 31])
+def test_suffix_ranks_past_32_bits(spark, monkeypatch, start):
+    rng = random.Random(9)
+    piece = bytes(rng.randrange(97, 123) for _ in range(170)).decode()
+    data = [(1, piece), (2, "head " + piece), (3, "".join(rng.choice("abcdef") for _ in range(300))), (4, piece[:130] + "tail" + piece[20:])]
+    offsets = suffix._offsets
+
+    def late(df):
+        found, total = offsets(df)
+        return {p: n + start for p, n in found.items()}, total + start
+
+    monkeypatch.setattr(suffix, "BUNDLE", 300)
+    monkeypatch.setattr(suffix, "PART", 200)
+    monkeypatch.setattr(suffix, "_offsets", late)
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(2)
+    strings = suffix.bundles(repeats._rows(df, "doc_id", "text"), lambda i, m, d: ((a, b, 0, c) for a, b, c in zip(i, m, d, strict=True)))
+    strings = common.written(strings, "strings")
+    first, want = set(), set()
+    for i, t in data:
+        for at in range(len(t) - 99):
+            (want.add((i, at)) if t[at : at + 100] in first else first.add(t[at : at + 100]))
+    assert want and {(r["id"], r["at"]) for r in suffix.repeated(strings, 100).collect()} == want
+
+
 def test_repeats_across_chunks(spark, monkeypatch):
     rng = random.Random(9)
     words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(40)]
