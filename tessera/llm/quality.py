@@ -2,13 +2,14 @@
 
 A text view (character classes, word and line statistics, a lexicon of telling words) and a
 metadata view (hashed source and language, length) each get a logistic model of the labelled
-rows. In each round both score the unlabelled pool, and each hands its confident cases, in the
-labels' proportion, to the other as pseudo-labels. A held-out fold of the labels then calibrates
+rows. In each round both score all unlabelled documents, and each hands the most confident
+cases of them all, in the labels' proportion, to the other as pseudo-labels. A held-out fold of the labels then calibrates
 both views together (one logistic model of their two log-odds), and all documents are scored.
 Two heads are trained this way: ``quality`` and, where the labels have it, ``toxic``.
 
-The models are fitted on at most ``LABELLED`` labelled and ``POOL`` unlabelled rows, those with
-the smallest hashed ids; every document is scored. Nulls: a null text is empty; null sources and
+The models are fitted on at most ``LABELLED`` labelled rows, those with the smallest hashed ids, and on
+at most ``HANDED`` pseudo-labels a round from each view; every other document with an id is unlabelled, and
+all are scored. The features are computed once and written. Nulls: a null text is empty; null sources and
 languages are values of their own; null labels are left out; without labels (or with one class)
 a head's score is the share of that class, or 0.5. Rows that repeat an id are scored by
 themselves; a label that an id has several of is the smallest.
@@ -18,16 +19,18 @@ from __future__ import annotations
 
 import math
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_rows, small_batches
+from .common import forget, map_rows, small_batches, written
 
-#: Bounds of the sample that the models are fitted on.
-LABELLED, POOL = 8_000, 8_000
+#: Bounds of what the models are fitted on: labelled rows, and pseudo-labels that a view hands over in a round.
+LABELLED, HANDED = 8_000, 800
 ROUNDS, CONFIDENT, SHARE, LEXICON, LEAST_DF, HOLD_OUT = 4, 0.95, 0.1, 200, 5, 5
 #: A document is accepted with at least this quality and less than this toxicity.
 QUALITY_AT, TOXIC_AT = 0.5, 0.2
@@ -124,37 +127,96 @@ class Head:
         return chance(a), chance(b), chance(self.both.odds(np.stack([a, b], 1)))
 
 
-def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, fold: np.ndarray, pool_text: np.ndarray, pool_meta: np.ndarray) -> Head:
-    """Both views trained on the labelled rows outside ``fold`` 0, and on each other's confident cases; fold 0 calibrates."""
-    hold = fold == 0
-    if min(y.sum(), len(y) - y.sum()) < 4 or len(set(y[hold])) < 2 or len(set(y[~hold])) < 2:
-        return Head(constant=float(y.mean()) if len(y) else 0.5)
-    views = [(text[~hold], pool_text), (meta[~hold], pool_meta)]
-    base, prior = y[~hold], y[~hold].mean()
-    given: list[dict[int, float]] = [{}, {}]  # pseudo-labels each view has received
-    models = [Logistic().fit(x, base) for x, _ in views]
-    for _ in range(ROUNDS):
-        handed = 0
+class Pair:
+    """Both views of one head, trained on the labelled rows outside ``fold`` 0 and on each other's confident cases; fold 0 calibrates."""
+
+    def __init__(self, views: list[np.ndarray], y: np.ndarray, fold: np.ndarray) -> None:
+        hold = fold == 0
+        self.share = float(y.mean()) if len(y) else 0.5
+        self.taught = not (min(y.sum(), len(y) - y.sum()) < 4 or len(set(y[hold])) < 2 or len(set(y[~hold])) < 2)
+        if not self.taught:
+            return
+        self.base, self.prior, self.held_y = y[~hold], y[~hold].mean(), y[hold]
+        self.views, self.held = [x[~hold] for x in views], [x[hold] for x in views]
+        self.given: list[dict[tuple, float]] = [{}, {}]  # pseudo-labels each view has received
+        self.models = [Logistic().fit(x, self.base) for x in self.views]
+
+    def refit(self, features: list[dict[tuple, np.ndarray]]) -> None:
+        for k, x in enumerate(self.views):
+            if rows := list(self.given[k]):
+                both = np.vstack([x, [features[k][i] for i in rows]])
+                weight = np.r_[np.ones(len(x)), np.full(len(rows), 0.5)]
+                self.models[k] = Logistic().fit(both, np.r_[self.base, [self.given[k][i] for i in rows]], weight)
+
+    def head(self) -> Head:
+        if not self.taught:
+            return Head(constant=self.share)
+        odds = np.stack([m.odds(x) for m, x in zip(self.models, self.held, strict=True)], 1)
+        return Head(*self.models, Logistic().fit(odds, self.held_y, penalty=1.0), self.share)
+
+
+def _confident(pool: DataFrame, pairs: list[Pair], most: int) -> list:
+    """(pair, view, label, id, mark): of all rows of the pool, those that a view is surest of and has not handed over yet."""
+    wanted = []  # (pair, view, model, marks handed over, how many of each label)
+    for j, pair in enumerate(pairs):
         for k in (0, 1):
-            if not len(views[k][1]):
+            seen = np.array([mark for _, mark in pair.given[1 - k]], np.int64)
+            wanted.append((j, k, pair.models[k], seen, [max(1, int(most * part)) for part in (1 - pair.prior, pair.prior)]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, np.ndarray] = {}  # of each kind the surest of this task
+        for b in batches:
+            if not b.num_rows:
                 continue
-            p = chance(models[k].odds(views[k][1]))
-            most = max(1, int(SHARE * len(p)))
-            for label, sure, part in ((1.0, p, prior), (0.0, 1 - p, 1 - prior)):
-                rank = np.argsort(-sure, kind="stable")[: max(1, int(most * part))]
-                for i in rank[sure[rank] >= CONFIDENT].tolist():
-                    if i not in given[1 - k]:
-                        given[1 - k][i] = label
-                        handed += 1
+            ids, marks = (b.column(c).to_numpy() for c in (0, 1))
+            views = [np.frombuffer(b"".join(b.column(c).to_pylist()), "<f4").reshape(b.num_rows, -1).astype(np.float64) for c in (2, 3)]
+            for j, k, model, seen, counts in wanted:
+                p = chance(model.odds(views[k]))
+                for label, sure in ((0, 1 - p), (1, p)):
+                    at = np.flatnonzero(sure >= CONFIDENT)
+                    at = at[~np.isin(marks[at], seen)]
+                    if not len(at):
+                        continue
+                    own = (-sure[at], marks[at], ids[at])
+                    if (j, k, label) in held:
+                        own = tuple(map(np.concatenate, zip(held[j, k, label], own, strict=True)))
+                    if len(own[0]) > 4 * counts[label]:
+                        first = np.lexsort(own[::-1])[: counts[label]]
+                        own = tuple(x[first] for x in own)
+                    held[j, k, label] = own
+        for key, own in held.items():
+            same = [np.full(len(own[0]), x, np.int32) for x in key]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*same, *own)], names=["pair", "view", "label", "doubt", "mark", "id"])
+
+    found = pool.mapInArrow(run, "pair int, view int, label int, doubt double, mark long, id long")
+    found = found.withColumn("place", F.row_number().over(Window.partitionBy("pair", "view", "label").orderBy("doubt", "mark", "id")))
+    limits = {(j, k, label): n for j, k, _, _, counts in wanted for label, n in enumerate(counts)}
+    found = found.where(F.col("place") <= max(limits.values())).orderBy("pair", "view", "label", "place").collect()  # as many as are handed over
+    return [r for r in found if r["place"] <= limits[r["pair"], r["view"], r["label"]]]
+
+
+def co_train(pool: DataFrame, pairs: list[Pair]) -> None:
+    """Rounds in which the two views of each pair teach each other by their confident cases of the pool (id, mark, t, m)."""
+    pairs = [p for p in pairs if p.taught]
+    if not pairs:
+        return
+    most = min(HANDED, max(1, int(SHARE * pool.count())))
+    features: list[dict[tuple, np.ndarray]] = [{}, {}]
+    for _ in range(ROUNDS):
+        handed = set()
+        for r in _confident(pool, pairs, most):
+            given, case = pairs[r["pair"]].given[1 - r["view"]], (r["id"], r["mark"])
+            if case not in given:
+                given[case] = float(r["label"])
+                handed.add(case)
         if not handed:
             break
-        for k, (x, pool) in enumerate(views):
-            if rows := list(given[k]):
-                both = np.vstack([x, pool[rows]])
-                weight = np.r_[np.ones(len(x)), np.full(len(rows), 0.5)]
-                models[k] = Logistic().fit(both, np.r_[base, [given[k][i] for i in rows]], weight)
-    odds = np.stack([models[0].odds(text[hold]), models[1].odds(meta[hold])], 1)
-    return Head(models[0], models[1], Logistic().fit(odds, y[hold], penalty=1.0), float(y.mean()))
+        new = pool.sparkSession.createDataFrame(sorted(handed), "id long, mark long")
+        for r in pool.join(F.broadcast(new), ["id", "mark"]).dropDuplicates(["id", "mark"]).collect():  # the cases of one round
+            for k, c in enumerate("tm"):
+                features[k][r["id"], r["mark"]] = np.frombuffer(r[c], "<f4").astype(np.float64)
+        for p in pairs:
+            p.refit(features)
 
 
 @dataclass
@@ -189,32 +251,30 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     heads = [h for h in ("quality", "toxic") if h in labels.columns]
     known = labels.where(F.col(key).isNotNull()).groupBy(key).agg(*(F.min(h).cast("int").alias(f"y_{h}") for h in heads)).dropna(subset=[f"y_{h}" for h in heads])
     known = known.orderBy(F.xxhash64(key), key).limit(LABELLED)
-    others = docs.select(key).where(F.col(key).isNotNull()).join(labels.select(key), key, "left_anti").orderBy(F.xxhash64(key), key).limit(POOL)
-    chosen = known.select(F.col(key).alias("id"), *(f"y_{h}" for h in heads)).unionByName(
-        others.select(F.col(key).alias("id"), *(F.lit(None).cast("int").alias(f"y_{h}") for h in heads))
-    )
-    rows = docs.select(F.col(key).alias("id"), F.coalesce(text, F.lit("")).alias("text"), *(F.col(c).cast("string").alias(f"m{i}") for i, c in enumerate(meta)))
-    rows = rows.join(F.broadcast(chosen), "id")  # at most LABELLED + POOL ids
-    labelled = rows.where(F.col(f"y_{heads[0]}").isNotNull())
+    chosen = F.broadcast(known.select(F.col(key).alias("id"), *(f"y_{h}" for h in heads)))  # at most LABELLED ids
+    metas = [f"m{i}" for i in range(len(meta))]
+    rows = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.coalesce(text, F.lit("")).alias("text"), *(F.col(c).cast("string").alias(m) for c, m in zip(meta, metas, strict=True)))
+    labelled = rows.join(chosen, "id")
     lexicon = _lexicon(labelled.select(_bare().alias("words"), *(F.col(f"y_{h}").alias(h) for h in heads)), heads)
 
-    def run(ids: list, items: list, *rest: list) -> list[tuple]:
+    def run(ids: list, marks: list, items: list, *rest: list) -> list[tuple]:
         m, ys = rest[: len(meta)], rest[len(meta) :]
         return [
-            (i, text_features(t, lexicon).astype("<f4").tobytes(), meta_features([c[j] for c in m], len(t)).astype("<f4").tobytes(), *(c[j] for c in ys))
-            for j, (i, t) in enumerate(zip(ids, items, strict=True))
+            (i, mark, text_features(t, lexicon).astype("<f4").tobytes(), meta_features([c[j] for c in m], len(t)).astype("<f4").tobytes(), *(c[j] for c in ys))
+            for j, (i, mark, t) in enumerate(zip(ids, marks, items, strict=True))
         ]
 
-    got = map_rows(rows, run, "id long, t binary, m binary" + "".join(f", y_{h} int" for h in heads)).collect()  # as many rows as the sample has
+    rows = rows.join(chosen, "id", "left").select("id", F.xxhash64("id", "text", *metas).alias("mark"), "text", *metas, *(f"y_{h}" for h in heads))
+    features = written(map_rows(rows, run, "id long, mark long, t binary, m binary" + "".join(f", y_{h} int" for h in heads)), "features")
+    is_known = F.col(f"y_{heads[0]}").isNotNull()
+    got = features.where(is_known).collect()  # as many rows as the sample has
     got.sort(key=lambda r: (r["id"], r["t"]))
-    mark = np.array([r[f"y_{heads[0]}"] is not None for r in got], bool)
-    t = np.array([np.frombuffer(r["t"], "<f4") for r in got], np.float64).reshape(len(got), -1)
-    m = np.array([np.frombuffer(r["m"], "<f4") for r in got], np.float64).reshape(len(got), -1)
-    fold = np.array([zlib.crc32(str(r["id"]).encode()) % HOLD_OUT for r in got], int)[mark]
-    out = {}
-    for h in heads:
-        y = np.array([float(r[f"y_{h}"] > 0) for r in got if r[f"y_{h}"] is not None])
-        out[h] = co_train(t[mark], m[mark], y, fold, t[~mark], m[~mark])
+    views = [np.array([np.frombuffer(r[c], "<f4") for r in got], np.float64) for c in "tm"]
+    fold = np.array([zlib.crc32(str(r["id"]).encode()) % HOLD_OUT for r in got], int)
+    pairs = {h: Pair(views, np.array([float(r[f"y_{h}"] > 0) for r in got]), fold) for h in heads}
+    co_train(features.where(~is_known).select("id", "mark", "t", "m"), list(pairs.values()))
+    forget(docs.sparkSession, features)
+    out = {h: p.head() for h, p in pairs.items()}
     return Model(lexicon, out, meta)
 
 

@@ -366,6 +366,26 @@ def test_quality_held_out(spark):
     assert quality.score(d.limit(0), model).count() == 0
 
 
+def test_quality_pseudo_labels_come_from_all_documents(spark, monkeypatch):
+    monkeypatch.setattr(quality, "POOL", 1, raising=False)
+    rng = random.Random(3)
+    words = ["alpha", "beta", "river", "stone", "house", "green", "walks", "slowly", "under", "trees"]
+    docs, labels = [], []
+    for i in range(700):
+        bad = rng.random() < 0.4
+        w = [rng.choice(words) for _ in range(40)]
+        # two sources that no labelled row has, and that tell the quality
+        docs.append((i, " ".join(w).upper() if bad else " ".join(w), "en", "web" if i < 400 else "late_bad" if bad else "late_good"))
+        labels.append((i, int(not bad)))
+    d = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").repartition(3)
+    model = quality.fit(d, spark.createDataFrame(labels[:400], "doc_id long, quality int"))
+    sums = {}
+    for r in quality.score(d, model, keep=("source",)).collect():
+        sums.setdefault(r["source"], []).append(r["meta_score"])
+    mean = {k: sum(v) / len(v) for k, v in sums.items()}
+    assert mean["late_bad"] + 0.3 < mean["late_good"]
+
+
 # --- repeated strings
 
 
