@@ -5,7 +5,8 @@ Elements that are furniture by tag, role or class (menus, headers, footers, side
 adverts, forms, reader comments) are cut off first. Each paragraph block then gives points for
 its length and its commas to its ancestors (parent whole, grandparent half, further ones by
 distance), a container's points are discounted by its link density, and the best container is
-kept together with those siblings whose points or own text earn it. Character references are
+kept: the whole article or main element around it, or else the container together with its siblings
+that are headings, hold few links or have points. Character references are
 decoded, white space inside a block becomes one space, blocks are joined by an empty line.
 
 Nulls: a null html is empty; an empty page, and one without any text left, gives an empty text.
@@ -54,6 +55,7 @@ _WORDS = frozenset(
 )
 #: An element whose class or id has one of these as well is no furniture.
 _CONTENT = frozenset("article content body main entry post story text".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _CLOSES_P = _BLOCK - {"html", "body", "td", "th", "tr", "li", "dd", "dt", "caption", "tbody", "thead", "tfoot"} | {"p"}
 _SCOPE = {"li": {"ul", "ol", "menu"}, "dd": {"dl"}, "dt": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 _PEERS = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -221,7 +223,7 @@ def scored(root: Node) -> Node | None:
         x.linked = x.chars if x.tag == "a" else sum(k.linked for k in x.kids if not isinstance(k, str))
     touched: dict[int, Node] = {}
     for owner, text in blocks(root):
-        if owner.tag in ("h1", "h2", "h3", "h4", "h5", "h6", "th", "caption"):
+        if owner.tag in _HEADINGS or owner.tag in ("th", "caption"):
             continue
         points = 1 + min(len(text) / 100, 30) + min(text.count(",") + text.count("、") + text.count("，"), 30)
         holder, level = (owner if owner.tag in ("article", "div", "section", "main", "body", "td", "#root") else owner.parent or owner), 0
@@ -248,25 +250,21 @@ def main_text(html: str | None) -> str:
     best = scored(root)
     if best is None:
         return ""
-    # a block-level wrapper around the best container that adds no other container is the same article
-    while best.parent is not None and (best.tag in ("p", "b", "span", "i", "em", "strong", "font", "a", "u", "small") or best.parent.tag in ("article", "main")):
+    inline = ("p", "b", "span", "i", "em", "strong", "font", "a", "u", "small")
+    above = [best]
+    while above[-1].parent is not None:
+        above.append(above[-1].parent)
+    # an enclosing article or main, at any depth, is the article as a whole
+    best = next((x for x in reversed(above) if x.tag in ("article", "main")), best)
+    # a wrapper around the best container that adds no text is the same article
+    while best.parent is not None and (best.tag in inline or (best.tag not in ("article", "main") and best.parent.chars == best.chars)):
         best = best.parent
-    kept = [best]
-    if best.parent is not None:
-        need = max(10.0, best.score * 0.2)
-        kept = []
-        for x in best.parent.kids:
-            if x is best:
-                kept.append(x)
-            elif not isinstance(x, str) and x.chars:
-                density = x.linked / x.chars
-                if x.score >= need or (x.tag in ("p", "pre", "blockquote") and density < 0.25 and (x.chars > 80 or (density == 0 and re.search(r"[.!?]\s*$", _plain(x))))):
-                    kept.append(x)
-    return "\n\n".join(t for x in kept for _, t in blocks(x))
-
-
-def _plain(node: Node) -> str:
-    return " ".join(t for _, t in blocks(node))
+    if best.parent is None or best.tag in ("article", "main"):
+        return "\n\n".join(t for _, t in blocks(best))
+    # furniture is gone: of what stands beside the container only lists of links are left out
+    need, together = max(10.0, best.score * 0.2), Node(best.parent.tag, None)
+    together.kids = [x for x in best.parent.kids if x is best or isinstance(x, str) or x.tag == "br" or (x.chars and (x.score >= need or x.linked < 0.25 * x.chars or x.tag in _HEADINGS))]
+    return "\n\n".join(t for _, t in blocks(together))
 
 
 def extract(df: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:

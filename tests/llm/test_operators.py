@@ -142,6 +142,20 @@ def test_html_main_text(spark):
     assert html.extract(df.limit(0)).count() == 0
 
 
+def test_html_keeps_short_sections_and_headings():
+    long = "<p>" + "word, " * 330 + "end.</p>"
+    text = "word, " * 330 + "end."
+    links = "<ul><li><a href=x>Other page</a></li><li><a href=y>One more</a></li></ul>"
+    page = f"<body><article><div><section>{long * 3}</section><section><h2>Late</h2><p>Short one</p></section></div></article></body>"
+    assert html.main_text(page) == "\n\n".join([text] * 3 + ["Late", "Short one"])
+    page = f"<body><div><h1>Title</h1><div>{long * 2}</div>Loose <b>words</b><div>A note</div>{links}</div></body>"
+    assert html.main_text(page) == "\n\n".join(["Title", text, text, "Loose words", "A note"])
+    page = f"<body><h1>Title</h1><div><div>{long * 2}</div></div>{links}</body>"
+    assert html.main_text(page) == "\n\n".join(["Title", text, text])
+    page = f"<body><main><div><h1>Title</h1></div><div><div>{long * 2}</div><div>Few</div></div><nav>{links}</nav></main>{links}</body>"
+    assert html.main_text(page) == "\n\n".join(["Title", text, text, "Few"])
+
+
 def test_html_whole_pages_of_the_table(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     source = {r["page_id"]: r["html"] for r in pages.collect()}
