@@ -45,41 +45,73 @@ def indexed(df: DataFrame, key: str, vector: str, tables: int = 8, width: float
 
 
 class TfIdf:
-    """Term weights of a corpus, L2-normalised, optionally reduced by principal components."""
+    """Term weights of a corpus, L2-normalised, optionally reduced by principal components (off by default).
+
+    Search knows every term, by joins. Only vectors (``transform``, ``components``) hold a vocabulary of at
+    most ``terms``; a corpus with more of them is an error there, not cut.
+    """
 
     def __init__(self, corpus: DataFrame, text: str, components: int | None = None, terms: int = 1 << 16) -> None:
-        from pyspark.ml import Pipeline
-        from pyspark.ml.feature import IDF, PCA, CountVectorizer, Normalizer, RegexTokenizer, StopWordsRemover
-
-        stages = [
-            RegexTokenizer(inputCol=text, outputCol="__w", pattern=r"[^\p{L}\p{N}]+"), StopWordsRemover(inputCol="__w", outputCol="__t"),
-            CountVectorizer(inputCol="__t", outputCol="__c", vocabSize=terms), IDF(inputCol="__c", outputCol="__i"),
-        ]
-        last = "__i"
-        if components:
-            stages.append(PCA(k=components, inputCol="__i", outputCol="__p"))
-            last = "__p"
-        self.text = text
-        self.model = Pipeline(stages=[*stages, Normalizer(inputCol=last, outputCol="features")]).fit(corpus.where(F.col(text).isNotNull()))
+        self.text, self.components, self.terms = text, components, terms
+        self.corpus = corpus.where(F.col(text).isNotNull())
+        self.rows = self.corpus.count()
+        found = self._words(self.corpus.select(text)).select(F.explode(F.array_distinct("__t")).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+        self.weights = found.select("term", F.log((F.lit(self.rows) + 1) / (F.col("n") + 1)).alias("idf")).persist()
+        self._model = None
+
+    def _words(self, df: DataFrame) -> DataFrame:
+        from pyspark.ml.feature import RegexTokenizer, StopWordsRemover
+
+        df = df.withColumn(self.text, F.coalesce(self.text, F.lit("")))
+        df = RegexTokenizer(inputCol=self.text, outputCol="__w", pattern=r"[^\p{L}\p{N}]+").transform(df)
+        return StopWordsRemover(inputCol="__w", outputCol="__t").transform(df).drop("__w")
+
+    @property
+    def model(self):
+        if self._model is None:
+            from pyspark.ml import Pipeline
+            from pyspark.ml.feature import IDF, PCA, CountVectorizer, Normalizer
+
+            if (n := self.weights.count()) > self.terms:
+                raise ValueError(f"the corpus has {n} terms, vectors hold {self.terms}")
+            stages = [CountVectorizer(inputCol="__t", outputCol="__c", vocabSize=self.terms), IDF(inputCol="__c", outputCol="__i")]
+            last = "__i"
+            if self.components:
+                stages.append(PCA(k=self.components, inputCol="__i", outputCol="__p"))
+                last = "__p"
+            self._model = Pipeline(stages=[*stages, Normalizer(inputCol=last, outputCol="features")]).fit(self._words(self.corpus))
+        return self._model
 
     def transform(self, df: DataFrame) -> DataFrame:
-        out = self.model.transform(df.withColumn(self.text, F.coalesce(self.text, F.lit(""))))
-        return out.drop("__w", "__t", "__c", "__i", "__p")
+        return self.model.transform(self._words(df)).drop("__t", "__c", "__i", "__p")
 
     def search(self, df: DataFrame, query: str, key: str, k: int = TOP) -> DataFrame:
         """Rows nearest to a query text: (key, distance)."""
-        probe = self.transform(df.sparkSession.createDataFrame([(query,)], f"`{self.text}` string")).first()["features"]
-        weights = dict(zip(probe.indices.tolist(), probe.values.tolist(), strict=True)) if hasattr(probe, "indices") else dict(enumerate(probe.toArray().tolist()))
-        if not weights:
+        asked = df.sparkSession.createDataFrame([(query,)], f"`{self.text}` string")
+        if self.components:
+            return self._reduced(df, asked, key, k)
+        counts = self._words(asked).select(F.explode("__t").alias("term")).groupBy("term").agg(F.count("*").alias("tf"))
+        probe = {r["term"]: r["tf"] * r["idf"] for r in self.weights.join(F.broadcast(counts), "term").collect()}  # the query's own terms
+        if not probe:
             return df.select(key, F.lit(1.0).alias("distance")).limit(0)
-        from pyspark.ml.feature import VectorSlicer
+        norm = sum(w * w for w in probe.values()) ** 0.5
+        part = df.sparkSession.createDataFrame(sorted((t, w / norm if norm else 0.0) for t, w in probe.items()), "term string, probe double")
+        rows = df.select(F.col(key).alias("__k"), F.coalesce(self.text, F.lit("")).alias(self.text)).withColumn("__m", F.sha2(self.text, 256))
+        terms = self._words(rows.dropDuplicates(["__k", "__m"])).select("__k", "__m", F.explode("__t").alias("term")).groupBy("__k", "__m", "term").agg(F.count("*").alias("tf"))
+        weighted = terms.join(self.weights, "term").join(F.broadcast(part), "term", "left").withColumn("w", F.col("tf") * F.col("idf"))
+        dots = weighted.groupBy("__k", "__m").agg((F.sum(F.col("w") * F.coalesce("probe", F.lit(0.0))) / F.sqrt(F.nullif(F.sum(F.col("w") * F.col("w")), F.lit(0.0)))).alias("dot"))
+        a, b = rows.select("__k", "__m").alias("a"), dots.alias("b")
+        out = a.join(b, F.col("a.__k").eqNullSafe(F.col("b.__k")) & (F.col("a.__m") == F.col("b.__m")), "left")
+        return out.select(F.col("a.__k").alias(key), F.round(1 - F.coalesce("b.dot", F.lit(0.0)), 9).alias("distance")).orderBy("distance", key).limit(k)
+
+    def _reduced(self, df: DataFrame, asked: DataFrame, key: str, k: int) -> DataFrame:
         from pyspark.ml.functions import vector_to_array
 
-        # only the query's own terms are made dense
-        terms = sorted(weights)
-        part = VectorSlicer(inputCol="features", outputCol="__part", indices=terms).transform(self.transform(df))
-        dot = _dot(vector_to_array("__part"), F.array(*(F.lit(weights[i]) for i in terms)))
-        return part.select(key, F.round(1 - dot, 9).alias("distance")).orderBy("distance", key).limit(k)
+        probe = self.transform(asked).first()["features"].toArray().tolist()
+        if not any(probe):
+            return df.select(key, F.lit(1.0).alias("distance")).limit(0)
+        dot = _dot(vector_to_array("features"), F.array(*map(F.lit, probe)))
+        return self.transform(df).select(key, F.round(1 - dot, 9).alias("distance")).orderBy("distance", key).limit(k)
 
 
 def route(question: str) -> str:

@@ -13,7 +13,7 @@ from tessera.functions.language import MultilingualAgent, detect_language
 from tessera.operators import measures
 from tessera.operators.profile import Profile
 from tessera.operators.scoring import Case, Report, score_case
-from tessera.operators.vector import HybridAgent, indexed, route
+from tessera.operators.vector import HybridAgent, TfIdf, indexed, route
 from tessera.plans import repair, validate
 from tessera.plans.grain import classify_grains, measure_source, question_grain, root_and_detail
 from tessera.plans.spec import Agg, Bin, Col, Join, Lit, QuerySpec, Star
@@ -252,6 +252,23 @@ def test_hybrid_search(spark):
     assert unit.count() == 2
 
 
+def test_tfidf_knows_rare_words(spark):
+    data = [(i, f"common words w{i}") for i in range(30)] + [(30, None), (31, "common"), (32, "common words w7"), (32, "common words w7")]
+    df = spark.createDataFrame(data, "id long, label string").repartition(3)
+    found = TfIdf(df, "label", terms=2)
+    assert [r["id"] for r in found.search(df, "w7", "id", 3).collect()] == [7, 32, 32]
+    assert found.search(df, "nowhere", "id").count() == 0 and found.search(df, "w7", "id", 100).count() == len(data)
+    with pytest.raises(ValueError, match="32 terms"):
+        found.transform(df)
+    # the same distances as by vectors
+    whole = TfIdf(df, "label")
+    vectors = {(r["id"], r["label"]): r["features"] for r in whole.transform(df).collect()}
+    probe = whole.transform(spark.createDataFrame([("words w7",)], "label string")).first()["features"]
+    want = sorted((round(1 - float(vectors[i, t or ""].dot(probe)), 9), i) for i, t in data)
+    assert [(r["distance"], r["id"]) for r in whole.search(df, "words w7", "id", 100).collect()] == want
+    assert TfIdf(df, "label", components=2).search(df, "words w7", "id", 3).count() == 3
+
+
 def test_language(sales):
     assert [detect_language(t) for t in ("the cat and the dog", "le chat et la souris", "der Hund und die Katze", "el gato y la casa", "123")] == ["en", "fr", "de", "es", "en"]
 
