@@ -11,8 +11,8 @@ from ..errors import Failure, ValidationError
 from ..plans.spec import Agg, Col, QuerySpec, Star
 from ..sources.catalog import Catalog, Engine
 
-#: Rows above which distinct counts are estimated, and the estimate's relative deviation.
-EXACT_ROWS, ERROR = 100_000_000, 0.01
+#: The relative deviation of distinct counts where an estimate is asked for.
+ERROR = 0.01
 CONFIRMED = 1.5
 
 
@@ -68,11 +68,12 @@ class Profile:
     edges: dict[tuple[str, str], tuple[float, bool]] = field(default_factory=dict)
 
     @classmethod
-    def build(cls, engine: Engine) -> Profile:
+    def build(cls, engine: Engine, exact: bool = True) -> Profile:
+        """Distinct counts are exact at every size; estimated only if asked for."""
         out = cls()
         for t in engine.catalog.list_tables():
             out.rows[t] = engine.frame(t).count()
-            for r in profile_columns(engine, t, out.rows[t] <= EXACT_ROWS).collect():
+            for r in profile_columns(engine, t, exact).collect():
                 out.columns[t, r["column"]] = r.asDict()
         for k in engine.catalog.foreign_keys:
             ratio = round(out.rows[k.table] / out.rows[k.parent], 3) if out.rows[k.parent] else 0.0

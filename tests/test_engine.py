@@ -252,6 +252,14 @@ def test_hybrid_search(spark):
     assert unit.count() == 2
 
 
+def test_profile_counts_exactly_at_every_size(spark, monkeypatch):
+    monkeypatch.setattr("tessera.operators.profile.EXACT_ROWS", 0, raising=False)
+    ids = [(i, i * 7919 % 20011) for i in range(1, 20001)]
+    e = engine_of(spark, {"t": ("k int, v int", ids)}, {"t": ("k",)}, [])
+    assert Profile.build(e).columns["t", "v"]["ndistinct"] == len({v for _, v in ids})
+    assert abs(Profile.build(e, exact=False).columns["t", "v"]["ndistinct"] - 20000) < 2000
+
+
 def test_tfidf_knows_rare_words(spark):
     data = [(i, f"common words w{i}") for i in range(30)] + [(30, None), (31, "common"), (32, "common words w7"), (32, "common words w7")]
     df = spark.createDataFrame(data, "id long, label string").repartition(3)
