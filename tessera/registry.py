@@ -15,7 +15,7 @@ from .agent import Agent, LexiconPlanner
 from .errors import ValidationError
 from .functions.intent import Intent
 from .functions.language import language_column
-from .functions.verify import figure_column, preview
+from .functions.verify import figure_column, preview, stated_column
 from .operators import measures, profile, scoring, topn, vector
 from .plans import repair, validate
 from .plans.grain import classify_grains, question_grain
@@ -419,6 +419,12 @@ def figure_extraction(spark, sf_dir):
     return docs.select("doc_id", figure_column(F.col("text")).alias("f")).select("doc_id", F.size("f").cast("long").alias("n"), F.array_join("f", " ").alias("found"))
 
 
+@query()
+def stated_figures(spark, sf_dir):
+    docs = open_tables(spark, sf_dir).frame("documents")
+    return docs.select("doc_id", stated_column(F.col("text")).alias("f")).select("doc_id", F.size("f").cast("long").alias("n"), F.array_join("f", " ").alias("found"))
+
+
 @query()
 def language_of_documents(spark, sf_dir):
     docs = open_tables(spark, sf_dir).frame("documents")

@@ -252,6 +252,23 @@ def test_hybrid_search(spark):
     assert unit.count() == 2
 
 
+def test_stated_figures_equal_the_answer_check(spark):
+    from pyspark.sql import functions as F
+
+    from tessera import registry
+
+    texts = ["1,234.5 and -7 of x12, v2 and 3rd", "1. first 10\n 2) second 2.50\n3", "", None, "12,34 5,678,901 0.5. ٣ ½ U2", "no figure"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {r["i"]: r["f"] for r in df.select("i", verify.stated_column(F.col("t")).alias("f")).collect()}
+    assert got[0] == ["1234.5", "-7"] and got[1] == ["10", "2.50", "3"]
+    assert all([float(x) for x in got[i]] == verify.figures(t or "") for i, t in enumerate(texts))
+    sf = "/root/testdata/sf0.001"
+    docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    found = registry.QUERIES["stated_figures"](spark, sf).collect()
+    assert len(found) == len(docs)
+    assert all([float(x) for x in r["found"].split()] == verify.figures(docs[r["doc_id"]]) and r["n"] == len(r["found"].split()) for r in found)
+
+
 def test_profile_counts_exactly_at_every_size(spark, monkeypatch):
     monkeypatch.setattr("tessera.operators.profile.EXACT_ROWS", 0, raising=False)
     ids = [(i, i * 7919 % 20011) for i in range(1, 20001)]
