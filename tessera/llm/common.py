@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType
 
 #: Rows in one Arrow batch; at a mean of a few KB a text this keeps a batch at about half a MB.
 BATCH_ROWS = 128
@@ -17,16 +20,18 @@ BATCH_ROWS = 128
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (as in tests) a temporary folder is set.
+    Where the session names none, the context's own checkpoint folder is taken. Only a local session,
+    whose executors are threads of the driver, may do without either: it gets a temporary folder.
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if where:
         return where.rstrip("/")
-    found = spark.sparkContext.getCheckpointDir()
-    if not found:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
-        found = spark.sparkContext.getCheckpointDir()
-    return found.rstrip("/")
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
+    return context.getCheckpointDir().rstrip("/")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -47,9 +52,43 @@ def forget(spark: SparkSession, *frames: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound what one Arrow batch holds, for tables of long texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound what one Arrow batch holds, for tables of long texts.
+
+    Spark reads the bound when a frame runs, not when it is described: a lazy frame leaves the session
+    with this one value, which is the same for every operator here; a smaller one is left as it is.
+    """
+    if not 0 < int(spark.conf.get(_BATCH)) <= BATCH_ROWS:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+
+
+@contextmanager
+def settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    """Session settings (dots as double underscores) that hold for the steps run inside, and are put back after them."""
+    values = {k.replace("__", "."): v for k, v in values.items()}
+    before = {k: spark.conf.get(k, None) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def batches(spark: SparkSession, rows: int = BATCH_ROWS):
+    """Small Arrow batches for the steps run inside."""
+    return settings(spark, **{_BATCH.replace(".", "__"): str(rows)})
+
+
+def whole_key(df: DataFrame, key: str) -> Column:
+    """The key as 64-bit integer; a key of another kind is an error here rather than in a task."""
+    if not isinstance(df.schema[key].dataType, (ByteType, ShortType, IntegerType, LongType)):
+        raise TypeError(f"{key} is {df.schema[key].dataType.simpleString()}; an integer key is needed")
+    return F.col(key).cast("long")
 
 
 def texts(df: DataFrame, *keep: Column | str, text: str = "text") -> DataFrame:

@@ -1,18 +1,23 @@
 """Quality classifier by co-training of two views: text content and page metadata.
 
-A text view (character classes, word and line statistics, a lexicon of telling words) and a
-metadata view (hashed source and language, length) each get a logistic model of the labelled
-rows. In each round both score all unlabelled documents, and each hands the most confident
+A text view (shares of character classes, word and line statistics, a lexicon of telling words)
+and a metadata view (hashed source and language, the stated length) each get a logistic model of
+the labelled rows; the views share no feature, and the metadata view never reads the text. In each round both score all unlabelled documents, and each hands the most confident
 cases of them all, in the labels' proportion, to the other as pseudo-labels. A held-out fold of the labels then calibrates
 both views together (one logistic model of their two log-odds), and all documents are scored.
 Two heads are trained this way: ``quality`` and, where the labels have it, ``toxic``.
 
-The models are fitted on at most ``LABELLED`` labelled rows, those with the smallest hashed ids, and on
-at most ``HANDED`` pseudo-labels a round from each view; every other document with an id is unlabelled, and
-all are scored. The features are computed once and written. Nulls: a null text is empty; null sources and
-languages are values of their own; null labels are left out; without labels (or with one class)
-a head's score is the share of that class, or 0.5. Rows that repeat an id are scored by
-themselves; a label that an id has several of is the smallest.
+The models are fitted on at most ``LABELLED`` labelled rows that have a document, those with the
+smallest hashed ids, and on at most ``HANDED`` pseudo-labels a round from each view; every other
+document with an id is unlabelled, and all are scored. The features are computed once and written.
+
+Nulls: a null text is empty; null sources, languages and lengths are values of their own; a label
+is left out by itself where it is null, so that a row may teach one head only. Without labels (or
+with one class) a head's score is the share of that class, or 0.5; a table of labels without a
+``quality`` or ``toxic`` column leaves that score at 0.5 or 0. Rows that repeat an id are scored
+by themselves; a label that an id has several of is the smallest. Empty texts and very long ones
+are documents like others; of equally sure cases that with the smallest hash is handed over.
+An empty table of documents gives no rows. Columns of any name pass through.
 """
 
 from __future__ import annotations
@@ -27,13 +32,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import forget, map_rows, small_batches, written
+from .common import batches, forget, map_rows, small_batches, written
 
 #: Bounds of what the models are fitted on: labelled rows, and pseudo-labels that a view hands over in a round.
 LABELLED, HANDED = 8_000, 800
 ROUNDS, CONFIDENT, SHARE, LEXICON, LEAST_DF, HOLD_OUT = 4, 0.95, 0.1, 200, 5, 5
 #: A document is accepted with at least this quality and less than this toxicity.
 QUALITY_AT, TOXIC_AT = 0.5, 0.2
+#: Rows of a block in which a model is fitted: bounds the driver's memory.
+_ROWS = 1024
 _MARKS = "!*#$%&|.,;:?-()'\"<>{}[]/\\@^_~=+`"
 _TRIM = ".,;:!?\"'()[]{}*#$%&|<>"
 
@@ -50,8 +57,8 @@ def text_features(text: str, lexicon: dict[str, int]) -> np.ndarray:
     full = [x for x in lines if x]
     ended = sum(x[-1] in ".!?\"" for x in full)
     head = [
-        math.log1p(len(data)), upper / n, lower / n, hist[48:58].sum() / n, hist[32] / n, hist[128:].sum() / n, upper / max(1, upper + lower),
-        len(text) / count, len(distinct) / count, len(bare) / count, repeats / count, math.log1p(count), len(full) / count,
+        upper / n, lower / n, hist[48:58].sum() / n, hist[32] / n, hist[128:].sum() / n, upper / max(1, upper + lower),
+        len(text) / count, len(distinct) / count, len(bare) / count, repeats / count, len(full) / count,
         len(set(full)) / max(1, len(full)), ended / max(1, len(full)), math.log1p(count / max(1, len(full))),
         len(distinct) / math.sqrt(count), float(not words),
     ]
@@ -65,12 +72,13 @@ def text_features(text: str, lexicon: dict[str, int]) -> np.ndarray:
     return out
 
 
-def meta_features(values: list, chars: int) -> np.ndarray:
-    """One-hot hashes of the metadata values (64 cells each), and the length by powers of two."""
-    out = np.zeros(64 * len(values) + 24)
+def meta_features(values: list, length: float | None) -> np.ndarray:
+    """One-hot hashes of the metadata values (64 cells each), and the stated length by powers of two (a null one by itself)."""
+    out = np.zeros(64 * len(values) + 25)
     for i, v in enumerate(values):
         out[64 * i + zlib.crc32(repr(v).encode()) % 64] = 1.0
-    out[64 * len(values) + min(22, int(chars).bit_length())] = 1.0
+    chars = 0 if length is None else max(0, int(length))
+    out[64 * len(values) + (23 if length is None else min(22, chars.bit_length()))] = 1.0
     out[-1] = math.log1p(chars)
     return out
 
@@ -84,16 +92,22 @@ class Logistic:
     scale: np.ndarray = field(default_factory=lambda: np.ones(0))
 
     def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, penalty: float = 3.0) -> Logistic:
-        self.mean, spread = x.mean(axis=0), x.std(axis=0)
-        self.scale = np.where(spread > 1e-9, spread, np.inf)  # a constant column says nothing
-        z = np.hstack([np.ones((len(x), 1)), (x - self.mean) / self.scale])
-        ridge = np.full(z.shape[1], penalty)
+        """``x`` may be float32: sums and Newton steps go over it in blocks of ``_ROWS`` rows, in float64."""
+        n, parts = len(x), [slice(a, a + _ROWS) for a in range(0, len(x), _ROWS)]
+        self.mean = sum(x[p].sum(axis=0, dtype=np.float64) for p in parts) / n
+        spread = np.sqrt(sum(((x[p] - self.mean) ** 2).sum(axis=0) for p in parts) / n)
+        self.scale = np.where(spread > 1e-6, spread, np.inf)  # a constant column says nothing
+        ridge = np.full(x.shape[1] + 1, penalty)
         ridge[0] = 1e-6
-        w, c = np.zeros(z.shape[1]), np.ones(len(x)) if weight is None else weight
+        w, c = np.zeros(len(ridge)), np.ones(n) if weight is None else weight
         for _ in range(25):
-            p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-            g = z.T @ (c * (y - p)) - ridge * w
-            h = (z * (c * np.maximum(p * (1 - p), 1e-4))[:, None]).T @ z + np.diag(ridge)
+            g, h = -ridge * w, np.diag(ridge)
+            for p in parts:
+                z = np.empty((len(y[p]), len(w)))
+                z[:, 0], z[:, 1:] = 1.0, (x[p] - self.mean) / self.scale
+                q = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+                g += z.T @ (c[p] * (y[p] - q))
+                h += (z * (c[p] * np.maximum(q * (1 - q), 1e-4))[:, None]).T @ z
             step = np.linalg.solve(h, g)
             w = w + np.clip(step, -5, 5)
             if np.abs(step).max() < 1e-4:
@@ -144,7 +158,7 @@ class Pair:
     def refit(self, features: list[dict[tuple, np.ndarray]]) -> None:
         for k, x in enumerate(self.views):
             if rows := list(self.given[k]):
-                both = np.vstack([x, [features[k][i] for i in rows]])
+                both = np.vstack([x, np.array([features[k][i] for i in rows], np.float32)])
                 weight = np.r_[np.ones(len(x)), np.full(len(rows), 0.5)]
                 self.models[k] = Logistic().fit(both, np.r_[self.base, [self.given[k][i] for i in rows]], weight)
 
@@ -214,7 +228,7 @@ def co_train(pool: DataFrame, pairs: list[Pair]) -> None:
         new = pool.sparkSession.createDataFrame(sorted(handed), "id long, mark long")
         for r in pool.join(F.broadcast(new), ["id", "mark"]).dropDuplicates(["id", "mark"]).collect():  # the cases of one round
             for k, c in enumerate("tm"):
-                features[k][r["id"], r["mark"]] = np.frombuffer(r[c], "<f4").astype(np.float64)
+                features[k][r["id"], r["mark"]] = np.frombuffer(r[c], "<f4")
         for p in pairs:
             p.refit(features)
 
@@ -224,6 +238,7 @@ class Model:
     lexicon: dict[str, int]
     heads: dict[str, Head]
     meta: tuple[str, ...]
+    length: str | None = None
 
 
 def _bare(text: str = "text"):
@@ -232,75 +247,96 @@ def _bare(text: str = "text"):
 
 def _lexicon(rows: DataFrame, heads: list[str]) -> dict[str, int]:
     """The words whose presence tells a label best (by z-score of their share in either class), over the labelled sample."""
-    sums = [F.sum(F.col(h).cast("double")).alias(f"p_{h}") for h in heads]
-    total = rows.agg(F.count("*").alias("n"), *sums).first()
-    n = total["n"] or 1
+    sums = [x for h in heads for x in (F.sum(F.col(h).cast("double")).alias(f"p_{h}"), F.count(h).alias(f"n_{h}"))]
+    total = rows.agg(*sums).first()
     by = rows.select(F.explode("words").alias("w"), *heads).where("w <> ''").groupBy("w").agg(F.count("*").alias("n"), *sums).where(F.col("n") >= LEAST_DF)
-    best = None
+    scores = []
     for h in heads:
-        share = min(max((total[f"p_{h}"] or 0) / n, 1e-3), 1 - 1e-3)
-        z = F.abs(F.col(f"p_{h}") - F.col("n") * share) / F.sqrt(F.col("n") * share * (1 - share))
-        best = z if best is None else F.greatest(best, z)
-    found = by.select("w", best.alias("z")).where("z > 4").orderBy(F.desc("z"), "w").limit(LEXICON).collect()
+        share = min(max((total[f"p_{h}"] or 0) / (total[f"n_{h}"] or 1), 1e-3), 1 - 1e-3)
+        n = F.greatest(F.col(f"n_{h}"), F.lit(1))
+        scores.append(F.abs(F.coalesce(f"p_{h}", F.lit(0.0)) - n * share) / F.sqrt(n * share * (1 - share)))
+    found = by.select("w", F.greatest(*scores, F.lit(0.0), F.lit(0.0)).alias("z")).where("z > 4").orderBy(F.desc("z"), "w").limit(LEXICON).collect()
     return {r["w"]: i for i, r in enumerate(found)}
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", meta: tuple[str, ...] = ("source", "lang")) -> Model:
-    """Models of the documents whose ids ``labels`` has; the fold of a row comes from its hashed id."""
-    small_batches(docs.sparkSession)
+def _views(docs: DataFrame, key: str, text: str, meta: tuple[str, ...], length: str | None) -> list:
+    """What both views read, under names of our own: id, text, m0, m1, ..., size."""
+    size = F.col(length).cast("double") if length else F.lit(None).cast("double")
+    return [F.col(key).alias("id"), F.coalesce(text, F.lit("")).alias("text"), *(F.col(c).cast("string").alias(f"m{i}") for i, c in enumerate(meta)), size.alias("size")]
+
+
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", meta: tuple[str, ...] = ("source", "lang"), length: str | None = "n_chars") -> Model:
+    """Models of the documents whose ids ``labels`` has; the fold of a row comes from its hashed id. ``length``: a column with the stated length, or None."""
+    spark = docs.sparkSession
+    length = length if length in docs.columns else None
     heads = [h for h in ("quality", "toxic") if h in labels.columns]
-    known = labels.where(F.col(key).isNotNull()).groupBy(key).agg(*(F.min(h).cast("int").alias(f"y_{h}") for h in heads)).dropna(subset=[f"y_{h}" for h in heads])
-    known = known.orderBy(F.xxhash64(key), key).limit(LABELLED)
-    chosen = F.broadcast(known.select(F.col(key).alias("id"), *(f"y_{h}" for h in heads)))  # at most LABELLED ids
+    if not heads:
+        return Model({}, {}, meta, length)
+    ys = [f"y_{h}" for h in heads]
+    known = labels.where(F.col(key).isNotNull()).groupBy(key).agg(*(F.min(h).cast("int").alias(y) for h, y in zip(heads, ys, strict=True)))
+    known = known.where(F.coalesce(*ys).isNotNull()).select(F.col(key).alias("id"), *ys)
+    # ids without a document use up nothing of the sample
+    known = known.join(docs.select(F.col(key).alias("id")), "id", "left_semi").orderBy(F.xxhash64("id"), "id").limit(LABELLED)
     metas = [f"m{i}" for i in range(len(meta))]
-    rows = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.coalesce(text, F.lit("")).alias("text"), *(F.col(c).cast("string").alias(m) for c, m in zip(meta, metas, strict=True)))
-    labelled = rows.join(chosen, "id")
-    lexicon = _lexicon(labelled.select(_bare().alias("words"), *(F.col(f"y_{h}").alias(h) for h in heads)), heads)
-
-    def run(ids: list, marks: list, items: list, *rest: list) -> list[tuple]:
-        m, ys = rest[: len(meta)], rest[len(meta) :]
-        return [
-            (i, mark, text_features(t, lexicon).astype("<f4").tobytes(), meta_features([c[j] for c in m], len(t)).astype("<f4").tobytes(), *(c[j] for c in ys))
-            for j, (i, mark, t) in enumerate(zip(ids, marks, items, strict=True))
-        ]
-
-    rows = rows.join(chosen, "id", "left").select("id", F.xxhash64("id", "text", *metas).alias("mark"), "text", *metas, *(f"y_{h}" for h in heads))
-    features = written(map_rows(rows, run, "id long, mark long, t binary, m binary" + "".join(f", y_{h} int" for h in heads)), "features")
-    is_known = F.col(f"y_{heads[0]}").isNotNull()
-    got = features.where(is_known).collect()  # as many rows as the sample has
-    got.sort(key=lambda r: (r["id"], r["t"]))
-    views = [np.array([np.frombuffer(r[c], "<f4") for r in got], np.float64) for c in "tm"]
-    fold = np.array([zlib.crc32(str(r["id"]).encode()) % HOLD_OUT for r in got], int)
-    pairs = {h: Pair(views, np.array([float(r[f"y_{h}"] > 0) for r in got]), fold) for h in heads}
-    co_train(features.where(~is_known).select("id", "mark", "t", "m"), list(pairs.values()))
-    forget(docs.sparkSession, features)
-    out = {h: p.head() for h, p in pairs.items()}
-    return Model(lexicon, out, meta)
+    with batches(spark):
+        chosen = written(known, "labelled")
+        rows = docs.where(F.col(key).isNotNull()).select(*_views(docs, key, text, meta, length))
+        labelled = rows.join(F.broadcast(chosen), "id")  # at most LABELLED ids
+        lexicon = _lexicon(labelled.select(_bare().alias("words"), *(F.col(y).alias(h) for h, y in zip(heads, ys, strict=True))), heads)
+
+        def run(ids: list, marks: list, items: list, *rest: list) -> list[tuple]:
+            m, sizes, own = rest[: len(meta)], rest[len(meta)], rest[len(meta) + 1 :]
+            return [
+                (i, mark, text_features(t, lexicon).astype("<f4").tobytes(), meta_features([c[j] for c in m], sizes[j]).astype("<f4").tobytes(), *(c[j] for c in own))
+                for j, (i, mark, t) in enumerate(zip(ids, marks, items, strict=True))
+            ]
+
+        rows = rows.join(F.broadcast(chosen.withColumn("known", F.lit(1))), "id", "left").select("id", F.xxhash64("id", "text", *metas).alias("mark"), "text", *metas, "size", "known", *ys)
+        features = written(map_rows(rows, run, "id long, mark long, t binary, m binary, known int" + "".join(f", {y} int" for y in ys)), "features")
+        got = features.where("known = 1").orderBy("id", "mark").collect()  # as many rows as the sample has
+        fold = np.array([zlib.crc32(str(r["id"]).encode()) % HOLD_OUT for r in got], int)
+        views = [np.frombuffer(b"".join(r[c] for r in got), "<f4").reshape(len(got), -1 if got else 1) for c in "tm"]
+        marks = {y: np.array([np.nan if r[y] is None else float(r[y] > 0) for r in got]) for y in ys}
+        del got
+        pairs = {}
+        for h, y in zip(heads, ys, strict=True):
+            own = ~np.isnan(marks[y])
+            pairs[h] = Pair([x[own] for x in views], marks[y][own], fold[own])
+        del views
+        co_train(features.where("known is null").select("id", "mark", "t", "m"), list(pairs.values()))
+        forget(spark, features, chosen)
+    return Model(lexicon, {h: p.head() for h, p in pairs.items()}, meta, length)
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] | None = None) -> DataFrame:
     """``keep`` columns with text_score, meta_score, quality and toxic (calibrated), and ``accepted``."""
-    small_batches(docs.sparkSession)
     keep = (key,) if keep is None else keep
-    kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
+    out = _scored(docs, model, key, text, keep)
+    return out.toDF(*keep, *out.columns[len(keep) :])
+
+
+def _scored(docs: DataFrame, model: Model, key: str, text: str, keep: tuple[str, ...]) -> DataFrame:
+    """As ``score``, with the columns to keep named k0, k1, ...: names of the input cannot clash with it."""
+    small_batches(docs.sparkSession)
+    kinds = "".join(f"k{i} {docs.schema[c].dataType.simpleString()}, " for i, c in enumerate(keep))
 
     def run(*cols: list) -> list[tuple]:
-        own, items, metas = cols[: len(keep)], cols[len(keep)], cols[len(keep) + 1 :]
-        items = [x or "" for x in items]
+        own, items, metas, sizes = cols[: len(keep)], cols[len(keep) + 1], cols[len(keep) + 2 : -1], cols[-1]
+        if not items:
+            return []
         t = np.array([text_features(x, model.lexicon) for x in items])
-        m = np.array([meta_features([c[j] for c in metas], len(x)) for j, x in enumerate(items)])
+        m = np.array([meta_features([c[j] for c in metas], sizes[j]) for j in range(len(items))])
         got = {h: head.scores(t, m) for h, head in model.heads.items()}
-        a, b, q = got["quality"]
+        a, b, q = got["quality"] if "quality" in got else Head().scores(t, m)
         bad = got["toxic"][2] if "toxic" in got else np.zeros(len(items))
         fine = (q >= QUALITY_AT) & (bad < TOXIC_AT)
         return list(zip(*own, a.tolist(), b.tolist(), q.tolist(), bad.tolist(), fine.tolist(), strict=True))
 
-    rows = docs.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)), F.col(text), *(F.col(c).cast("string").alias(f"m{i}") for i, c in enumerate(model.meta)))
+    rows = docs.select(*(F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)), *_views(docs, key, text, model.meta, model.length))
     return map_rows(rows, run, f"{kinds}text_score double, meta_score double, quality double, toxic double, accepted boolean")
 
 
 def accepted(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents that the model accepts, with their own columns and no others."""
-    kept = score(docs, model, key, text, keep=tuple(docs.columns))
-    names = [f"c{i}" for i in range(len(docs.columns))] + ["a", "b", "q", "x", "ok"]
-    return kept.toDF(*names).where("ok").select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)))
+    kept = _scored(docs, model, key, text, tuple(docs.columns)).where("accepted")
+    return kept.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(docs.columns)))
