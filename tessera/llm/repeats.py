@@ -1,43 +1,52 @@
 """Repeated byte strings, removed where a string of ``size`` bytes starts earlier as well.
 
-All suffixes are compared by their first ``size`` (100) bytes in a distributed difference-cover
+Suffixes are compared by their first ``size`` (100) bytes in a distributed difference-cover
 suffix sort (``suffix.py``). Suffixes that cannot have an equal neighbour there, and copies of whole
 neighbourhoods, are set aside first, by anchors: a position is one where its ``GRAM``-byte gram has
 the smallest hash among the grams of some window of ``size`` bytes, so that any two equal windows
 have an anchor at the same offset. Then
 
 1. anchors are named by the hashes of their grams; windows at a name that occurs once are unique
-   (names are counted over all texts; a bitmap of fixed size carries the repeated ones);
+   (names are counted over all texts; a bitmap of bounded size carries the repeated ones);
 2. anchors with equal names are compared by their whole context, all windows that the anchor
-   stands for: equal contexts form one class, whose earliest member alone goes on;
+   stands for, through a 128-bit digest of its bytes: equal contexts form one class, whose earliest
+   member alone goes on;
 3. where a name has several contexts, the suffixes that start in them are sorted, and neighbours
-   with equal first ``size`` bytes found.
+   with an equal prefix of ``size`` bytes found.
 
 Hot strings are aggregated per class before any join, and a class is never gathered in a task.
 Strings never cross texts. "Earlier" is a smaller id, or the same id and a smaller start.
 
-Nulls: a null text is empty; a null id comes before all others. Rows that repeat an id count as
-one document for "earlier": of equal strings at one start neither is removed. Texts of under
-``size`` bytes lose nothing. Further columns are left aside.
+Nulls: a null text is empty; a null id comes before all others. Rows that repeat an id and a text
+are one document, so that they lose the same bytes; rows that repeat an id with other texts are
+documents of their own, in the order of their texts' hashes. Texts of under ``size`` bytes and an
+empty table lose nothing; very long texts are hashed in blocks. Further columns are left aside. The
+id has to be an integer.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import suffix
-from .common import forget, map_rows, small_batches, written
+from .common import batches, forget, map_rows, settings, small_batches, whole_key, written
 from .jaccard import _mix
 
 SIZE, GRAM = 100, 50
-#: Bits of a bitmap of names (a power of two); a fuller bitmap only lets more suffixes through.
-BITS = 1 << 26
-_CHUNK = 1 << 17
+#: Bits of a bitmap of names (powers of two, 32 and more for each name): a fuller bitmap only lets more suffixes through to the sort.
+FEWEST_BITS, MOST_BITS = 1 << 20, 1 << 30
+#: Bits of a bitmap's block, and names that are gathered at once.
+BLOCK, GATHER = 1 << 15, 1 << 20
+#: Bytes that are hashed at once.
+_CHUNK = 1 << 16
 _LOW = (1 << 20) - 1
 _FIRST = -(1 << 63)
 
@@ -48,164 +57,269 @@ class _Powers:
     @classmethod
     def get(cls):
         if cls.ready is None:
-            base, n = 0x2545F4914F6CDD1D, _CHUNK + 4 * SIZE + 2
+            base, n = 0x2545F4914F6CDD1D, 2 * _CHUNK + 8 * SIZE + 2
             make = lambda b: np.cumprod(np.r_[np.ones(1, np.uint64), np.full(n - 1, b, np.uint64)])
             cls.ready = make(np.uint64(base)), make(np.uint64(pow(base, -1, 1 << 64))), _mix(np.arange(256, dtype=np.uint64) + np.uint64(7 << 40))
         return cls.ready
 
 
 class Samples:
-    """The samples of one chunk of a text: for each run of windows with one sample, where it is and what it stands for."""
+    """The anchors of some pieces of texts: for each run of windows with one anchor, where it is and what it stands for.
 
-    __slots__ = ("at", "first", "last", "gram", "_total", "_inverse", "_base", "_size", "_end", "_span")
+    ``text`` is the text's number in ``items``; ``at``, ``first`` and ``last`` are positions in that text.
+    """
 
-    def __init__(self, data: bytes, start: int, size: int = SIZE, gram: int = GRAM) -> None:
+    __slots__ = ("text", "at", "first", "last", "gram", "_items", "_size", "_span")
+
+    def __init__(self, items: list[bytes], pieces: list[tuple[int, int, int, int, int]], size: int, gram: int) -> None:
         power, inverse, code = _Powers.get()
         span = size - gram + 1  # grams of a window
-        begin = max(0, start - (span - 1))
-        b = np.frombuffer(data, np.uint8)[begin : start + _CHUNK + size - 1 + span]
-        total = np.r_[np.zeros(1, np.uint64), np.cumsum(code[b] * power[: len(b)])]
-        self._total, self._inverse, self._base, self._size = total, inverse, begin, size
+        text, begin, end, start, n = np.array(pieces, np.int64).T
+        b = np.frombuffer(b"".join([items[d][a:z] for d, a, z, _, _ in pieces]), np.uint8)
+        base = np.cumsum(end - begin) - (end - begin)  # where each piece starts in the buffer
+        total = np.empty(len(b) + 1, np.uint64)
+        total[0] = 0
+        np.cumsum(code[b] * power[: len(b)], out=total[1:])
         grams = _mix((total[gram:] - total[:-gram]) * inverse[: len(b) - gram + 1])
-        n = min(start + _CHUNK, len(data) - size + 1) - start  # windows that start in this chunk
-        own = start - begin
-        key = (grams[own : own + n + span - 1] & np.uint64(~_LOW & (1 << 64) - 1)) | np.arange(own, own + n + span - 1, dtype=np.uint64)
-        width = 1
+        key = (grams & np.uint64(~_LOW & (1 << 64) - 1)) | np.arange(len(grams), dtype=np.uint64)
+        width, most = 1, len(b) - size + 1
         while 2 * width <= span:
             key = np.minimum(key[:-width], key[width:])
             width *= 2
         if width < span:
-            key = np.minimum(key[: n], key[span - width : span - width + n])
-        at = (key & np.uint64(_LOW)).astype(np.int64)
-        edge = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-        self.at = at[edge]
-        self.first = start + edge  # first and last window of the run
-        self.last = start + np.r_[edge[1:], n] - 1
-        self.gram = grams[self.at]
-        self._end = len(b)
-        self.at = self.at + begin
-        self._span = span
-
-    @property
-    def context(self) -> np.ndarray:
-        """The hash of all bytes of the windows that each sample can stand for."""
-        at = self.at - self._base
-        left, right = np.minimum(at, self._span - 1), np.minimum(self._end - at, self._size)
-        return _mix(self._hash(at - left, at + right) ^ (left * 1000 + right).astype(np.uint64) ^ self.gram)
-
-    def _hash(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return _mix((self._total[b] - self._total[a]) * self._inverse[a])
-
-
-def samples(data: bytes, size: int = SIZE, gram: int = GRAM) -> Iterator[Samples]:
-    for start in range(0, len(data) - size + 1, _CHUNK):
-        yield Samples(data, start, size, gram)
+            key = np.minimum(key[:most], key[span - width : span - width + most])
+        piece = np.repeat(np.arange(len(pieces)), n)
+        window = np.arange(len(piece)) + np.repeat(base + start - begin - (np.cumsum(n) - n), n)  # in the buffer
+        at = (key[window] & np.uint64(_LOW)).astype(np.int64)
+        edge = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (piece[1:] != piece[:-1])])
+        at, piece, shift = at[edge], piece[edge], (begin - base)[piece[edge]]
+        self.text, self.gram = text[piece], grams[at]
+        self.at = at + shift
+        self.first = window[edge] + shift  # first and last window of the run
+        self.last = window[np.r_[edge[1:], len(window)] - 1] + shift
+        self._items, self._size, self._span = items, size, span
+
+    def contexts(self, which: np.ndarray) -> np.ndarray:
+        """128-bit digests (two 64-bit numbers each) of all bytes of the windows that these anchors can stand for."""
+        out, before, after = bytearray(), self._span - 1, self._size
+        for d, at in zip(self.text[which].tolist(), self.at[which].tolist(), strict=True):
+            left = before if at > before else at
+            out += hashlib.blake2b(self._items[d][at - left : at + after] + bytes((left,)), digest_size=16).digest()
+        return np.frombuffer(bytes(out), np.int64).reshape(-1, 2)
+
+
+def samples(items: list[bytes], size: int = SIZE, gram: int = GRAM) -> Iterator[Samples]:
+    """The anchors of these texts, in blocks; long texts are cut, with the bytes on both sides that their windows need."""
+    span, pieces, held = size - gram + 1, [], 0
+    for d, data in enumerate(items):
+        for start in range(0, len(data) - size + 1, _CHUNK):
+            begin, end = max(0, start - (span - 1)), min(len(data), start + _CHUNK + size - 1 + span)
+            pieces.append((d, begin, end, start, min(start + _CHUNK, len(data) - size + 1) - start))
+            held += end - begin
+            if held >= _CHUNK:
+                yield Samples(items, pieces, size, gram)
+                pieces, held = [], 0
+    if pieces:
+        yield Samples(items, pieces, size, gram)
+
+
+def _probes(names: np.ndarray, bits: int) -> list[np.ndarray]:
+    """The two bits of each name, both in the block that the top of its hash picks."""
+    h = _mix(names ^ np.uint64(0x5851F42D4C957F2D))
+    base = (h >> np.uint64(64 - bits.bit_length() + 1)) & np.uint64(~(BLOCK - 1) & (1 << 64) - 1)
+    return [(base | h >> np.uint64(shift) & np.uint64(BLOCK - 1)).astype(np.int64) for shift in (0, 15)]
 
 
 def _has(bitmap: np.ndarray, names: np.ndarray) -> np.ndarray:
-    bit = (names & np.uint64(len(bitmap) * 8 - 1)).astype(np.int64)
-    return bitmap[bit >> 3] >> (bit & 7).astype(np.uint8) & 1 > 0
-
-
-def _bitmap(names: DataFrame) -> np.ndarray:
-    """A bitmap of fixed size of a column of names, put together by blocks of 32,768 bits."""
-    bit = F.col("name").bitwiseAND(F.lit(BITS - 1)) + 1  # Spark counts bits from 1
-    blocks = names.select(bit.alias("b")).groupBy(F.bitmap_bucket_number("b").alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("bits"))
-    out = np.zeros(BITS // 8, np.uint8)
-    for r in blocks.collect():  # BITS / 8 bytes in all, at most
-        at = (r["block"] - 1) * 4096
-        out[at : at + 4096] = np.frombuffer(r["bits"], np.uint8)
+    """Whether both bits of each name are set."""
+    a, b = (bitmap[bit >> 3] >> (bit & 7).astype(np.uint8) & 1 > 0 for bit in _probes(names, len(bitmap) * 8))
+    return a & b
+
+
+def _bitmap(df: DataFrame, names, least: int, expected: int) -> np.ndarray:
+    """A bitmap of the 64-bit names that occur ``least`` (1 or 2) times in what ``names`` (columns as lists -> array) gives for the rows.
+
+    Names are dealt out by hash, first counted within about ``GATHER`` of them, so that a hot name comes once from each such lot.
+    """
+    spark, parts = df.sparkSession, 1
+    while parts * GATHER < expected:
+        parts *= 2
+    top = np.uint64(64 - parts.bit_length() + 1)
+
+    def lot(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        own = np.sort(np.concatenate(held))
+        new = np.r_[True, own[1:] != own[:-1]]
+        start = np.flatnonzero(new)
+        twice = np.diff(np.r_[start, len(own)]) > 1
+        own = own[start]
+        # only the part is taken from the hash: 0 where there is one part
+        part = (_mix(own ^ np.uint64(0x5851F42D4C957F2D)) >> top).astype(np.int64) if parts > 1 else np.zeros(len(own), np.int64)
+        order = np.argsort(part.astype(np.int16) if parts < 1 << 15 else part, kind="stable")
+        own, twice, part = own[order], twice[order], part[order]
+        edge = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True])
+        rows = [(int(part[a]), own[a:b].tobytes(), own[a:b][twice[a:b]].tobytes()) for a, b in zip(edge[:-1], edge[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["p", "names", "twice"])
+
+    def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for b in batches_:
+            got = names(*[c.to_pylist() for c in b.columns])
+            held.append(got)
+            n += len(got)
+            if n >= GATHER:
+                yield from lot(held)
+                held, n = [], 0
+        if n:
+            yield from lot(held)
+
+    def count(t: pa.Table) -> pa.Table:
+        own = np.sort(np.frombuffer(b"".join(t["names"].to_pylist()), np.uint64))
+        if least == 1:
+            own = own[np.r_[True, own[1:] != own[:-1]]]
+        else:
+            twice = np.frombuffer(b"".join(t["twice"].to_pylist()), np.uint64)
+            own = np.unique(np.r_[own[1:][own[1:] == own[:-1]], twice])
+        return pa.table({"p": pa.array([t["p"][0].as_py()], pa.int32()), "names": pa.array([own.tobytes()], pa.binary()), "n": pa.array([len(own)], pa.int64())})
+
+    dealt = df.mapInArrow(run, "p int, names binary, twice binary").groupBy("p").applyInArrow(count, "p int, names binary, n long")
+    found = written(dealt, "names")
+    bits = min(MOST_BITS, max(FEWEST_BITS, 1 << (32 * (found.agg(F.sum("n")).first()[0] or 0)).bit_length()))
+    regions = min(parts, bits // BLOCK)  # of the bitmap, each of one or more parts
+    share, each = bits // regions, parts // regions
+
+    def fill(ps: list, lists: list) -> list[tuple]:
+        rows = []
+        for p, own in zip(ps, lists, strict=True):
+            out = np.zeros(share, np.uint8)
+            for bit in _probes(np.frombuffer(own, np.uint64), bits):
+                out[bit - p // each * share] = 1
+            rows.append((p // each, np.packbits(out, bitorder="little").tobytes()))
+        return rows
+
+    def either(t: pa.Table) -> pa.Table:
+        both = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in t["bits"].to_pylist()])
+        return pa.table({"p": t["p"][:1], "bits": pa.array([both.tobytes()], pa.binary())})
+
+    filled = map_rows(found.select("p", "names"), fill, "p int, bits binary")
+    if each > 1:
+        filled = filled.groupBy("p").applyInArrow(either, "p int, bits binary")
+    out = np.zeros(bits // 8, np.uint8)
+    for r in filled.toLocalIterator():  # MOST_BITS / 8 bytes in all, at most
+        out[r["p"] * (share // 8) : (r["p"] + 1) * (share // 8)] = np.frombuffer(r["bits"], np.uint8)
+    forget(spark, found)
     return out
 
 
-def _place(i: int, at: np.ndarray) -> np.ndarray:
-    """A hash of (id, position)."""
-    return _mix(_mix(np.full(1, i, np.int64).view(np.uint64)) + at.astype(np.uint64))
+def _place(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Hashes of (id, position)."""
+    return _mix(_mix(ids.view(np.uint64)) + at.astype(np.uint64))
 
 
-def _signed(x: np.ndarray) -> np.ndarray:
-    return x.view(np.int64)
+def _joined(first: np.ndarray, last: np.ndarray, size: int) -> list[tuple[int, int]]:
+    """Runs of windows (in order), those put together that are no further than ``size`` apart: few strings in all."""
+    if not len(first):
+        return []
+    new = np.flatnonzero(np.r_[True, first[1:] > np.maximum.accumulate(last)[:-1] + size])
+    return list(zip(first[new].tolist(), np.maximum.reduceat(last, new).tolist(), strict=True))
 
 
 def removed(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE, gram: int = GRAM) -> DataFrame:
     """(id, mark, spans): of each text that loses bytes, the starts (first, last) of its repeated windows. ``mark`` is the text's hash."""
     spark = df.sparkSession
-    small_batches(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
     # every step is written: its exchanges are of no use afterwards
-    settings = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.parquet.compression.codec": "zstd"}
-    before = {k: spark.conf.get(k) for k in settings}
-    for k, v in settings.items():
-        spark.conf.set(k, v)
-    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "0")
-    rows = _rows(df, key, text).where(F.octet_length("data") >= size)
-
-    def named(ids: list, marks: list, items: list) -> list[tuple]:
-        out = []
-        for data in items:
-            got = np.concatenate([np.stack([s.gram, s.at.astype(np.uint64)]) for s in samples(data, size, gram)], axis=1)
-            got = got[0][np.unique(got[1], return_index=True)[1]]  # a sample at a chunk's edge shows up in both
-            names, n = np.unique(got, return_counts=True)
-            out.append((_signed(names), np.minimum(n, 2).astype(np.int8)))
-        return out
+    with batches(spark), settings(
+        spark, spark__sql__execution__arrow__maxBytesPerBatch="8m", spark__sql__classic__shuffleDependency__fileCleanup__enabled="true",
+        spark__sql__parquet__compression__codec="zstd",
+    ):
+        return _removed(_rows(df, key, text).where(F.octet_length("data") >= size), size, gram)
+
+
+def _removed(rows: DataFrame, size: int, gram: int) -> DataFrame:
+    spark = rows.sparkSession
+    # within a text the earlier start is known; between texts the id decides, and the text's hash where an id repeats
+    twice = not rows.groupBy("id").count().where("count > 1").isEmpty()
+    earlier = F.struct("id", "mark") if twice else F.col("id")
+    expected = (rows.agg(F.sum(F.octet_length("data"))).first()[0] or 0) // ((size - gram + 2) // 2)
 
-    names = map_rows(rows, named, "names array<long>, times array<tinyint>").select(F.explode(F.arrays_zip("names", "times")).alias("x"))
-    names = names.select(F.col("x.names").alias("name"), F.col("x.times").cast("int").alias("n"))
-    repeated = spark.sparkContext.broadcast(_bitmap(names.groupBy("name").agg(F.sum("n").alias("n")).where("n > 1")))
+    def named(items: list) -> np.ndarray:
+        got = [(s.text, s.at, s.gram) for s in samples(items, size, gram)]
+        if not got:
+            return np.zeros(0, np.uint64)
+        d, at, names = (np.concatenate(x) for x in zip(*got, strict=True))
+        return names[np.r_[True, (d[1:] != d[:-1]) | (at[1:] != at[:-1])]]  # an anchor at a block's edge shows up in both
+
+    repeated = spark.sparkContext.broadcast(_bitmap(rows.select("data"), named, 2, expected))
 
     def contexts(ids: list, marks: list, items: list) -> list[tuple]:
+        held: dict[int, list] = {}
+        for s in samples(items, size, gram):
+            hit = np.flatnonzero(_has(repeated.value, s.gram))
+            if not len(hit):
+                continue
+            digest, text = s.contexts(hit), s.text[hit]
+            cut = np.flatnonzero(np.r_[True, text[1:] != text[:-1]]).tolist()
+            for lo, hi in zip(cut, [*cut[1:], len(hit)], strict=True):
+                own = hit[lo:hi]
+                held.setdefault(int(text[lo]), []).append((s.gram[own].view(np.int64), digest[lo:hi], s.at[own], s.first[own], s.last[own]))
         out = []
-        for i, m, data in zip(ids, marks, items, strict=True):
-            for s in samples(data, size, gram):
-                hit = np.flatnonzero(_has(repeated.value, s.gram))
-                if len(hit):
-                    context = s.context
-                    out.append((i, m, _signed(s.gram[hit]), _signed(context[hit]), _signed(_place(i, s.at[hit])), s.at[hit], s.first[hit], s.last[hit]))
+        for d, parts in held.items():
+            names, digest, at, first, last = (np.concatenate(x) for x in zip(*parts, strict=True))
+            new = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])  # the run of an anchor at a block's edge is in two parts
+            names, digest, at, first, last = names[new], digest[new], at[new], first[new], np.maximum.reduceat(last, new)
+            pieces = [{"start": a, "data": items[d][a : z + size]} for a, z in _joined(first, last, size)]
+            fresh = np.zeros(len(at), bool)
+            fresh[np.unique(np.ascontiguousarray(digest).view("S16")[:, 0], return_index=True)[1]] = True
+            own = [{"first": a, "last": z} for a, z in zip(first[~fresh].tolist(), last[~fresh].tolist(), strict=True)]
+            out.append((ids[d], marks[d], names[fresh], digest[fresh, 0], digest[fresh, 1], at[fresh], first[fresh], last[fresh], own, pieces))
         return out
 
-    lists = "names array<long>, contexts array<long>, places array<long>, at array<int>, first array<int>, last array<int>"
-    found = map_rows(rows, contexts, f"id long, mark long, {lists}")
-    found = written(found, "contexts")
-    flat = found.select("id", "mark", F.explode(F.arrays_zip("names", "contexts", "places", "at", "first", "last")).alias("x")).select(
-        "id", "mark", F.col("x.names").alias("name"), F.col("x.contexts").alias("context"), F.col("x.places").alias("place"), F.col("x.at").alias("at"), F.col("x.first").alias("first"), F.col("x.last").alias("last")
-    )
-    classes = written(flat.groupBy("context").agg(F.min(F.struct("id", "at", "place")).alias("head"), F.count("*").alias("members"), F.first("name").alias("name")), "classes")
-    again = flat.drop("name", "place").join(classes.where("members > 1").select("context", "head.id", "head.at").toDF("context", "hid", "hat"), "context").where("id > hid or (id = hid and at > hat)").select("id", "mark", "first", "last")
-
-    again = written(again, "again")
-    forget(spark, found)
+    lists = "names array<long>, c1 array<long>, c2 array<long>, at array<int>, first array<int>, last array<int>, own array<struct<first:int,last:int>>"
+    found = written(map_rows(rows, contexts, f"id long, mark long, {lists}, pieces array<struct<start:int,data:binary>>"), "contexts")
+    flat = found.select("id", "mark", F.explode(F.arrays_zip("names", "c1", "c2", "at", "first", "last")).alias("x"))
+    flat = flat.select("id", "mark", F.col("x.names").alias("name"), *(F.col(f"x.{c}").alias(c) for c in ("c1", "c2", "at", "first", "last")))
+    classes = flat.groupBy("c1", "c2").agg(F.min(earlier).alias("head"), F.min_by("at", earlier).alias("at"), F.count("*").alias("members"), F.min("name").alias("name"))
+    classes = written(classes, "classes")
+    again = flat.drop("name", "at").join(classes.where("members > 1").select("c1", "c2", "head"), ["c1", "c2"]).where(earlier > F.col("head"))
+    again = written(again.groupBy("id", "mark").agg(F.collect_list(F.struct("first", "last")).alias("spans")), "again")  # one text's windows
 
     several = classes.groupBy("name").agg(F.count("*").alias("k")).where("k > 1").select("name")
     # the first member of each class that its name does not settle; the other members are marked already
-    split = spark.sparkContext.broadcast(_bitmap(classes.join(several, "name").select(F.col("head.place").alias("name"))))
+    heads = classes.join(several, "name").select((F.col("head.id") if twice else F.col("head")).alias("id"), "at")
+    places = _bitmap(heads, lambda ids, ats: _place(np.array(ids, np.int64), np.array(ats, np.int64)), 1, expected // 8)
+    split = spark.sparkContext.broadcast(places)
+    forget(spark, classes)
 
-    def undecided(ids: list, marks: list, items: list) -> Iterator[tuple]:
+    def undecided(ids: list, marks: list, ats: list, firsts: list, lasts: list, pieces: list) -> list[tuple]:
         """The strings around such members, neighbours put together."""
-        for i, m, data in zip(ids, marks, items, strict=True):
-            held: list[list[int]] = []
-            for s in samples(data, size, gram):
-                runs = np.flatnonzero(_has(repeated.value, s.gram) & _has(split.value, _place(i, s.at)))
-                for first, last in zip(s.first[runs].tolist(), s.last[runs].tolist(), strict=True):
-                    if held and first <= held[-1][1] + size:
-                        held[-1][1] = last
-                    else:
-                        held.append([first, last])
-            yield from ((i, m, first, data[first : last + size]) for first, last in held)
-
-    strings = written(suffix.bundles(rows, undecided), "strings")
-    forget(spark, classes)
-    sorted_out = suffix.repeated(strings, size, keep=False).select("id", "mark", F.col("at").alias("first"), F.col("at").alias("last"))
-    spans = again.unionByName(sorted_out).groupBy("id", "mark").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("spans"))
+        n = [len(x) for x in ats]
+        at, first, last = (np.array(list(chain.from_iterable(x)), np.int64) for x in (ats, firsts, lasts))
+        chosen = _has(split.value, _place(np.repeat(np.array(ids, np.int64), n), at))
+        out, end = [], 0
+        for k, i, m, own in zip(n, ids, marks, pieces, strict=True):
+            runs, end = slice(end, end + k), end + k
+            if not chosen[runs].any():
+                continue
+            starts = [x["start"] for x in own]
+            for a, z in _joined(first[runs][chosen[runs]], last[runs][chosen[runs]], size):
+                piece = own[bisect_right(starts, a) - 1]
+                out.append((i, m, a, piece["data"][a - piece["start"] : z + size - piece["start"]]))
+        return out
+
+    strings = written(map_rows(found.select("id", "mark", "at", "first", "last", "pieces"), undecided, "id long, mark long, at int, data binary"), "strings")
+    own = written(found.where("size(own) > 0").select("id", "mark", F.col("own").alias("spans")), "own")
+    forget(spark, found)
+    packed = written(suffix.bundles(strings), "bundles")
+    forget(spark, strings)
+    ordered = suffix.repeated(packed, size, keep=False)
+    spans = ordered.unionByName(again).unionByName(own).groupBy("id", "mark").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     spans = written(spans, "spans")
-    forget(spark, again)
-    for k, v in before.items():
-        spark.conf.set(k, v)
+    forget(spark, again, own)
     return spans
 
 
 def _rows(df: DataFrame, key: str, text: str) -> DataFrame:
     data = F.coalesce(F.col(text), F.lit(""))
-    return df.select(F.coalesce(F.col(key).cast("long"), F.lit(_FIRST)).alias("id"), F.xxhash64(data).alias("mark"), data.cast("binary").alias("data"))
+    return df.select(F.coalesce(whole_key(df, key), F.lit(_FIRST)).alias("id"), F.xxhash64(data).alias("mark"), data.cast("binary").alias("data"))
 
 
 def covered(spans: list[tuple[int, int]], size: int = SIZE) -> list[tuple[int, int]]:
@@ -219,28 +333,44 @@ def covered(spans: list[tuple[int, int]], size: int = SIZE) -> list[tuple[int, i
     return [(a, b) for a, b in out]
 
 
+def _cut(data: bytes, spans: list, size: int) -> tuple[list[tuple[int, int]], bytes]:
+    """The removed byte runs, and the bytes that remain."""
+    runs = covered([(x["first"], x["last"]) for x in spans], size)
+    at = [0, *(p for run in runs for p in run), len(data)]
+    return runs, b"".join([data[a:b] for a, b in zip(at[::2], at[1::2], strict=True)])
+
+
 def kept(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE, gram: int = GRAM) -> DataFrame:
     """Of the texts that lose bytes: (id, mark, runs, kept) with the removed byte runs and the bytes that remain."""
-    spans = removed(df, key, text, size, gram)
-    rows = _rows(df, key, text).join(spans.where("size(spans) > 0"), ["id", "mark"])
 
     def cut(ids: list, marks: list, items: list, lists: list) -> list[tuple]:
         out = []
         for i, m, data, found in zip(ids, marks, items, lists, strict=True):
-            runs = covered([(x["first"], x["last"]) for x in found], size)
-            at = [0, *(p for run in runs for p in run), len(data)]
-            out.append((i, m, [{"start": a, "end": b} for a, b in runs], b"".join(data[a:b] for a, b in zip(at[::2], at[1::2], strict=True))))
+            runs, rest = _cut(data, found, size)
+            out.append((i, m, [{"start": a, "end": b} for a, b in runs], rest))
         return out
 
-    return map_rows(rows, cut, "id long, mark long, runs array<struct<start:long,end:long>>, kept binary")
+    small_batches(df.sparkSession)
+    return map_rows(_rows(df, key, text).join(removed(df, key, text, size, gram), ["id", "mark"]), cut, "id long, mark long, runs array<struct<start:long,end:long>>, kept binary")
 
 
 def digests(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_bytes, n_removed, n_spans, kept_sha256) of every row."""
-    less = kept(df, key, text).select(
-        "id", "mark", F.octet_length("kept").cast("long").alias("rest"), F.size("runs").cast("long").alias("runs"), F.sha2("kept", 256).alias("sha")
-    )
-    less = written(less.dropDuplicates(["id", "mark"]), "less")
+    spark = df.sparkSession
+    spans = removed(df, key, text)
+
+    def cut(ids: list, marks: list, items: list, lists: list) -> list[tuple]:
+        out = []
+        for i, m, data, found in zip(ids, marks, items, lists, strict=True):
+            runs, rest = _cut(data, found, SIZE)
+            out.append((i, m, len(rest), len(runs), hashlib.sha256(rest).hexdigest()))
+        return out
+
+    # lets the scan of all texts drop rows before they are shuffled to those that lose bytes
+    with batches(spark), settings(spark, spark__sql__optimizer__runtime__bloomFilter__applicationSideScanSizeThreshold="0"):
+        less = map_rows(_rows(df, key, text).join(spans, ["id", "mark"]), cut, "id long, mark long, rest long, runs long, sha string")
+        less = written(less.dropDuplicates(["id", "mark"]), "less")
+    forget(spark, spans)
     rows = _rows(df, key, text).select("id", "mark", F.octet_length("data").cast("long").alias("n_bytes"), F.sha2("data", 256).alias("whole"))
     out = rows.join(less, ["id", "mark"], "left")
     return out.select(

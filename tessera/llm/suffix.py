@@ -1,6 +1,7 @@
 """Equal windows of many byte strings by a distributed difference-cover suffix sort (modulo 3).
 
-Strings are packed into bundles of about ``BUNDLE`` bytes, set apart by the symbol 0. At each level
+Strings are packed, in the order of their places, into bundles of about ``BUNDLE`` bytes, set apart
+by the symbol 0. At each level
 
 1. the triples of symbols at positions 1 and 2 modulo 3 are sorted (distinct ones per bundle first,
    then over range partitions) and named by their rank;
@@ -10,15 +11,16 @@ Strings are packed into bundles of about ``BUNDLE`` bytes, set apart by the symb
 3. coming up, the suffixes of residue 0 are sorted by (symbol, rank of the next) and merged with the
    sampled ones, in range partitions whose bounds are suffixes of residue 1;
 4. on the bytes' level the merged suffixes that start a whole window are compared with their
-   neighbours: a run of equal windows has one earliest member, and the others are returned.
+   neighbours: a run of equal prefixes has one earliest member, and the others are returned.
 
 Bundles and range partitions have a size that does not depend on the data; a triple that is
 everywhere comes once from each bundle, and equal windows with different bytes behind them have
 different ranks, so that a range bound can fall between them. The driver holds one count and one
 bound per range partition, and about 32 sampled keys to draw each bound from. Each step is written to
-the shared folder. Windows are compared by a 64-bit hash of their bytes.
+the shared folder. Neighbours' prefixes are compared by 128 bits of hash of their ``size`` bytes, which
+travel with each suffix in place of the bytes. A suffix's place is its bundle and its position there.
 
-Nothing goes in: nothing comes out. Equal windows at one (id, at) count as one.
+Nothing goes in: nothing comes out. Strings that repeat an (id, mark, at) count as one.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, kinds, written
+from .common import forget, kinds, map_rows, written
 from .jaccard import _mix
 
 #: Bytes of one bundle, and suffixes of one range partition.
@@ -65,22 +67,31 @@ def _grouped(df: DataFrame, fn, schema: str) -> DataFrame:
     return df.groupBy("p").applyInArrow(lambda t: pa.Table.from_pylist(fn(t.to_pylist()), schema=arrow), schema)
 
 
-def bundles(df: DataFrame, cut, schema: str = "bundle long, seg binary, sym binary") -> DataFrame:
-    """Pack the strings that ``cut`` (batch -> (id, mark, at, bytes)) finds into bundles."""
+def bundles(strings: DataFrame) -> DataFrame:
+    """Pack strings (id, mark, at, data), written, into bundles whose numbers rise with (id, mark, at).
+
+    ``seg`` holds (id, mark, at, length) of each string, ``sym`` the bytes plus one with a 0 after each string.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
+    schema = "bundle long, seg binary, sym binary"
     arrow = to_arrow_schema(_parse_datatype_string(schema))
 
     def pack(number: int, held: list) -> pa.RecordBatch:
         seg = np.array([(i, m, a, len(d)) for i, m, a, d in held], np.int64)
-        sym = np.concatenate([np.r_[np.frombuffer(d, np.uint8).astype(np.int16) + 1, np.zeros(1, np.int16)] for *_, d in held])
-        return pa.RecordBatch.from_pylist([{"bundle": number, "seg": seg.tobytes(), "sym": sym.astype(np.int16).tobytes()}], schema=arrow)
+        data = b"\0".join([d for *_, d in held]) + b"\0"
+        sym = np.frombuffer(data, np.uint8).astype("<i2") + 1
+        sym[np.cumsum(seg[:, 3] + 1) - 1] = 0
+        return pa.RecordBatch.from_pylist([{"bundle": number, "seg": seg.tobytes(), "sym": sym.astype("<i2").tobytes()}], schema=arrow)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, held, n = TaskContext.get().partitionId() << 32, [], 0
+        number, held, n, last = TaskContext.get().partitionId() << 32, [], 0, None
         for b in batches:
-            for piece in cut(*[c.to_pylist() for c in b.columns]):
+            for piece in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                if piece[:3] == last:
+                    continue
+                last = piece[:3]
                 held.append(piece)
                 n += len(piece[3])
                 if n >= BUNDLE:
@@ -89,7 +100,8 @@ def bundles(df: DataFrame, cut, schema: str = "bundle long, seg binary, sym bina
         if held:
             yield pack(number, held)
 
-    return df.mapInArrow(run, schema)
+    place = ("id", "mark", "at")
+    return strings.select(*place, "data").repartitionByRange(*place).sortWithinPartitions(*place).mapInArrow(run, schema)
 
 
 def _sampled(n: int) -> np.ndarray:
@@ -100,29 +112,50 @@ def _padded(data: bytes, dtype: str) -> np.ndarray:
     return np.r_[np.frombuffer(data, dtype).astype(np.int64), np.zeros(3, np.int64)]
 
 
-def _bits(*columns: np.ndarray) -> list[int]:
-    return [int(c.max()).bit_length() if len(c) else 0 for c in columns]
+def _bits(key: np.ndarray) -> int:
+    return int(key.max()).bit_length() if len(key) else 0
+
+
+def _sorted(key: np.ndarray, bits: int) -> np.ndarray:
+    """The order of one key of so many bits; equal keys keep their order where key and position fit one word."""
+    places = len(key).bit_length()
+    if bits + places <= 63:  # sorting plain words is several times faster than sorting positions
+        return np.sort(key << places | np.arange(len(key))) & (1 << places) - 1
+    return np.argsort(key)
 
 
 def _order(*keys: np.ndarray) -> np.ndarray:
-    """The stable order by these keys, the first one first."""
-    packed, width = [], 0
-    for key, bits in zip(keys, _bits(*keys), strict=True):
-        if packed and width + bits <= 63:
-            packed[-1], width = packed[-1] << bits | key, width + bits
-        else:
-            packed.append(key)
-            width = bits
-    return np.argsort(packed[0], kind="stable") if len(packed) == 1 else np.lexsort(packed[::-1])
+    """An order by these keys (none negative), the first one first; rows equal in all of them come in any order.
+
+    Keys are packed into one word. What does not fit is packed behind the ranks of the part before it.
+    """
+    n, order = len(keys[0]), None
+    word, width = np.zeros(n, np.int64), 0
+    for key in keys:
+        bits = _bits(key)
+        while bits:
+            take = min(bits, 62 - width)
+            if take > 0:
+                word, width, bits = word << take | key >> (bits - take) & (1 << take) - 1, width + take, bits - take
+            if bits:  # full: on with the ranks
+                order = _sorted(word, width)
+                new = np.cumsum(np.r_[0, np.diff(word[order]) != 0][:n])
+                word = np.empty(n, np.int64)
+                word[order] = new
+                width = _bits(new[-1:])
+                if n and new[-1] == n - 1:
+                    return order
+    return _sorted(word, width)
 
 
 def _below(have: list[np.ndarray], want: list[np.ndarray], equal: bool = False) -> np.ndarray:
     """For each of ``want`` how many of ``have`` are smaller (or equal); both are lists of key columns."""
-    n, first = len(want[0]), len(have[0]) if equal else 0
-    order = _order(*(np.r_[h, w] if equal else np.r_[w, h] for h, w in zip(have, want, strict=True)))
-    wanted = (order >= first) & (order < first + n)
+    n, m = len(want[0]), len(have[0])
+    later = np.r_[np.full(m, not equal), np.full(n, equal)].astype(np.int64)  # of equal keys these come second
+    order = _order(*(np.r_[h, w] for h, w in zip(have, want, strict=True)), later)
+    wanted = order >= m
     out = np.zeros(n, np.int64)
-    out[order[wanted] - first] = np.cumsum(~wanted)[wanted]
+    out[order[wanted] - m] = np.cumsum(~wanted)[wanted]
     return out
 
 
@@ -266,7 +299,7 @@ def _suffixes(rows: DataFrame, dtype: str, kind: str, count: int, total: int, fn
                 part = np.searchsorted(bounds[:, 0], held["ra"], side="right")
             else:
                 part = _below([bounds[:, 1], bounds[:, 2]], [held["t0"], held["ra"]], equal=True)
-            order = np.argsort(part, kind="stable")
+            order = _order(part)
             edge = np.searchsorted(part[order], np.arange(len(bounds) + 2))
             for p, (lo, hi) in enumerate(zip(edge[:-1], edge[1:], strict=True)):
                 if hi > lo:
@@ -327,9 +360,9 @@ def _sample_ranks(level: DataFrame, dtype: str, reach: int, size: int) -> tuple[
     return ranks, wide
 
 
-def _hashes(sym: np.ndarray, size: int) -> np.ndarray:
+def _hashes(sym: np.ndarray, size: int, salt: int) -> np.ndarray:
     """The hash of the ``size`` symbols from each position on (0 where there are fewer)."""
-    h, width, out, done = _mix(sym.astype(np.uint64)), 1, None, 0
+    h, width, out, done = _mix(sym.astype(np.uint64) + np.uint64(salt << 32)), 1, None, 0
     while True:
         if size & width:
             out = h.copy() if out is None else _mix(out[: len(h) - done] * np.uint64(0x9E3779B97F4A7C15) + h[done:])
@@ -344,52 +377,85 @@ def _hashes(sym: np.ndarray, size: int) -> np.ndarray:
     return full.view(np.int64)
 
 
+def _runs(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last of the runs of consecutive numbers in a sorted array."""
+    new = np.flatnonzero(np.r_[True, np.diff(at) != 1])
+    return at[new], at[np.r_[new[1:], len(at)] - 1]
+
+
 def repeated(strings: DataFrame, size: int, keep: bool = True) -> DataFrame:
-    """(id, mark, at) of the windows of ``size`` bytes that an earlier (id, at) has too.
+    """(id, mark, spans): of each string's text, first and last starts of the windows of ``size`` bytes that an earlier place has too.
 
     ``strings`` come from ``bundles``, written; without ``keep`` they are deleted once their ranks are stored beside them.
     """
     spark = strings.sparkSession
-    empty = spark.createDataFrame([], "id long, mark long, at int")
+    spans = "id long, mark long, spans array<struct<first:int,last:int>>"
     if strings.isEmpty():
-        return empty
+        return spark.createDataFrame([], spans)
     samples, kind = _sample_ranks(strings, "<i2", 1, size)
     count, total = strings.select(F.count("*"), F.sum(F.octet_length("sym") / 2).cast("long")).first()
+    places = written(strings.select("bundle", "seg"), "places")
     if not keep:
         forget(spark, strings)
 
     def more(r: dict) -> tuple[dict, np.ndarray]:
-        seg, sym = np.frombuffer(r["seg"], np.int64).reshape(-1, 4), np.frombuffer(r["sym"], "<i2")
-        n = seg[:, 3] + 1
-        begin = np.cumsum(n) - n
-        within = np.arange(len(sym)) - np.repeat(begin, n)
+        length, sym = np.frombuffer(r["seg"], np.int64).reshape(-1, 4)[:, 3], np.frombuffer(r["sym"], "<i2")
+        n = length + 1
+        within = np.arange(len(sym)) - np.repeat(np.cumsum(n) - n, n)
         # more than the symbols that are there are never needed: a window ends within its string
-        return {"id": np.repeat(seg[:, 0], n), "mark": np.repeat(seg[:, 1], n), "at": np.repeat(seg[:, 2], n) + within, "hash": _hashes(sym, size)}, within + size <= np.repeat(seg[:, 3], n)
+        return {"at": np.arange(len(sym)), "h1": _hashes(sym, size, 1), "h2": _hashes(sym, size, 2)}, within + size <= np.repeat(length, n)
 
     def compare(found: list[dict], held: dict[str, np.ndarray], order: np.ndarray) -> list[dict]:
-        h, i, at, mark = (held[k][order] for k in ("hash", "id", "at", "mark"))
-        new = np.r_[True, h[1:] != h[:-1]]
-        run = np.cumsum(new) - 1
-        first = np.flatnonzero(new)
-        low = np.minimum.reduceat(i, first)
-        lowest = np.minimum.reduceat(np.where(i == low[run], at, np.iinfo(np.int64).max), first)
+        numbers = np.unique([r["bundle"] for r in found])
+        whose = np.searchsorted(numbers, np.repeat([r["bundle"] for r in found], [len(r["at"]) // 4 for r in found]))
+        place = (whose << 32 | held["at"])[order]
+        h1, h2 = held["h1"][order], held["h2"][order]
+        run = np.cumsum(np.r_[False, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])])
+        first = np.flatnonzero(np.r_[True, np.diff(run) > 0])
+        low = np.minimum.reduceat(place, first)
         edge = (run == 0) | (run == run[-1])  # may go on in the neighbouring partitions
-        inner = ~edge & ((i > low[run]) | ((i == low[run]) & (at > lowest[run])))
-        heads = [{"hash": int(h[first[k]]), "id": int(low[k]), "at": int(lowest[k])} for k in sorted({0, int(run[-1])})]
         p, out = found[0]["p"], []
-        for rest, chosen in ((False, inner), (True, edge)):
-            for lo in range(0, int(chosen.sum()), 1 << 16):
-                k = np.flatnonzero(chosen)[lo : lo + (1 << 16)]
-                out.append({"p": p, "edge": rest, "ids": i[k].tolist(), "marks": mark[k].tolist(), "ats": at[k].tolist(), "hashes": h[k].tolist() if rest else [0] * len(k), "heads": []})
-        out.append({"p": p, "edge": True, "ids": [], "marks": [], "ats": [], "hashes": [], "heads": heads})
+        for which, chosen in ((-1, ~edge & (place > low[run])), (0, run == 0), (int(run[-1]), (run == run[-1]) & (run > 0))):
+            own = np.sort(place[chosen])
+            if not len(own):
+                continue
+            cuts = np.flatnonzero(np.r_[True, np.diff(own >> 32) > 0]).tolist()
+            for a, z in zip(cuts, [*cuts[1:], len(own)], strict=True):
+                out.append({"p": p, "run": which, "bundle": int(numbers[own[a] >> 32]), "at": (own[a:z] & 0xFFFFFFFF).astype("<i4").tobytes()})
+        for which in {0, int(run[-1])}:
+            k, head = first[which], int(low[which])
+            out.append({"p": p, "run": which, "head": {"h1": int(h1[k]), "h2": int(h2[k]), "bundle": int(numbers[head >> 32]), "at": head & 0xFFFFFFFF}})
         return out
 
-    schema = "p int, edge boolean, ids array<long>, marks array<long>, ats array<int>, hashes array<long>, heads array<struct<hash:long,id:long,at:int>>"
-    extra = {"id": "<i8", "mark": "<i8", "at": "<i4", "hash": "<i8"}
-    out = written(_suffixes(samples, "<i2", kind, count, total, compare, extra, more, schema), "compared")
+    schema = "p int, run int, bundle long, at binary, head struct<h1:long,h2:long,bundle:long,at:long>"
+    out = written(_suffixes(samples, "<i2", kind, count, total, compare, {"at": "<i4", "h1": "<i8", "h2": "<i8"}, more, schema), "compared")
     forget(spark, samples)
-    rows = out.select("edge", F.explode(F.arrays_zip("ids", "marks", "ats", "hashes")).alias("x")).select("edge", F.col("x.ids").alias("id"), F.col("x.marks").alias("mark"), F.col("x.ats").alias("at"), F.col("x.hashes").alias("hash"))
     # two runs of each range partition at most; a run over many partitions comes down to its earliest member
-    heads = out.select(F.explode("heads").alias("h")).groupBy("h.hash").agg(F.min(F.struct("h.id", "h.at")).alias("head"))
-    open_ends = rows.where("edge").join(heads, "hash").where("id > head.id or (id = head.id and at > head.at)")
-    return rows.where("not edge").select("id", "mark", "at").unionByName(open_ends.select("id", "mark", "at"))
+    ends = out.where("head is not null").select("p", "run", "head.h1", "head.h2", F.struct("head.bundle", "head.at").alias("own"))
+    heads = ends.join(ends.groupBy("h1", "h2").agg(F.min("own").alias("first")), ["h1", "h2"]).select("p", "run", "first")
+    inner = out.where("head is null and run = -1").select("bundle", "at", F.lit(None).cast("struct<bundle:long,at:long>").alias("first"))
+    outer = out.where("head is null and run >= 0").join(heads, ["p", "run"]).select("bundle", "at", "first")
+    lists = inner.unionByName(outer).groupBy("bundle").agg(F.collect_list(F.struct("at", "first")).alias("lists"))  # one bundle's suffixes
+
+    def spread(numbers: list, segs: list, groups: list) -> list[tuple]:
+        rows = []
+        for number, seg, group in zip(numbers, segs, groups, strict=True):
+            seg, parts = np.frombuffer(seg, np.int64).reshape(-1, 4), []
+            for x in group:
+                at = np.frombuffer(x["at"], "<i4").astype(np.int64)
+                parts.append(at[at != x["first"]["at"]] if x["first"] and x["first"]["bundle"] == number else at)
+            begin = np.cumsum(seg[:, 3] + 1) - (seg[:, 3] + 1)
+            own = np.sort(np.concatenate(parts))
+            if not len(own):
+                continue
+            a, z = _runs(own)
+            which = np.searchsorted(begin, a, side="right") - 1  # a window ends within its string: so does a run of starts
+            shift = seg[which, 2] - begin[which]
+            cuts = np.flatnonzero(np.r_[True, np.diff(which) > 0]).tolist()
+            for lo, hi in zip(cuts, [*cuts[1:], len(a)], strict=True):
+                rows.append((int(seg[which[lo], 0]), int(seg[which[lo], 1]), [{"first": x, "last": y} for x, y in zip((a + shift)[lo:hi].tolist(), (z + shift)[lo:hi].tolist(), strict=True)]))
+        return rows
+
+    found = written(map_rows(places.join(lists, "bundle"), spread, spans), "sorted")
+    forget(spark, out, places)
+    return found

@@ -10,6 +10,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -443,17 +444,26 @@ def test_suffix_sort_over_many_partitions(spark, monkeypatch):
     monkeypatch.setattr(suffix, "PART", 400)
     assert digests_of(df) == brute_removed(texts)
 
-    strings = suffix.bundles(repeats._rows(df, "doc_id", "text"), lambda i, m, d: ((a, b, 0, c) for a, b, c in zip(i, m, d, strict=True)))
-    strings = common.written(strings, "strings")
     seen, want = {}, set()  # without any windows set aside
     for i in sorted(texts):
         for at in range(len(texts[i]) - 99):
             if seen.setdefault(texts[i][at : at + 100], (i, at)) != (i, at):
                 want.add((i, at))
-    assert {(r["id"], r["at"]) for r in suffix.repeated(strings, 100).collect()} == want
+    strings = bundled(df)
+    assert starts(suffix.repeated(strings, 100)) == want
     assert suffix.repeated(strings.limit(0), 100).count() == 0
 
 
+def bundled(df):
+    """All texts as strings of a suffix sort."""
+    whole = repeats._rows(df, "doc_id", "text").select("id", "mark", F.lit(0).alias("at"), "data")
+    return common.written(suffix.bundles(whole), "bundles")
+
+
+def starts(found):
+    return {(r["id"], at) for r in found.collect() for x in r["spans"] for at in range(x["first"], x["last"] + 1)}
+
+
 @pytest.mark.parametrize("start", [(1 << 31) - 50, (1 << 31) + 5, 5 << 31])
 def test_suffix_ranks_past_32_bits(spark, monkeypatch, start):
     rng = random.Random(9)
@@ -469,25 +479,53 @@ def test_suffix_ranks_past_32_bits(spark, monkeypatch, start):
     monkeypatch.setattr(suffix, "PART", 200)
     monkeypatch.setattr(suffix, "_offsets", late)
     df = spark.createDataFrame(data, "doc_id long, text string").repartition(2)
-    strings = suffix.bundles(repeats._rows(df, "doc_id", "text"), lambda i, m, d: ((a, b, 0, c) for a, b, c in zip(i, m, d, strict=True)))
-    strings = common.written(strings, "strings")
     first, want = set(), set()
     for i, t in data:
         for at in range(len(t) - 99):
             (want.add((i, at)) if t[at : at + 100] in first else first.add(t[at : at + 100]))
-    assert want and {(r["id"], r["at"]) for r in suffix.repeated(strings, 100).collect()} == want
+    assert want and starts(suffix.repeated(bundled(df), 100)) == want
 
 
-def test_repeats_across_chunks(spark, monkeypatch):
+def test_repeats_across_chunks(monkeypatch):
     rng = random.Random(9)
     words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(40)]
     long = " ".join(rng.choice(words) for _ in range(800))
-    data = (long + long[1000:2500] + long[:300]).encode()
-    whole = [(s.at.tolist(), s.gram.tolist(), s.context.tolist()) for s in repeats.samples(data)]
+    items = [(long + long[1000:2500] + long[:300]).encode(), b"", b"short", long[:400].encode()]
+
+    def anchors():
+        out = set()
+        for s in repeats.samples(items):
+            which = np.arange(len(s.at))
+            out |= set(zip(s.text.tolist(), s.at.tolist(), s.gram.tolist(), map(tuple, s.contexts(which).tolist()), strict=True))
+        return out
+
+    whole = anchors()
     monkeypatch.setattr(repeats, "_CHUNK", 512)
-    parts = list(repeats.samples(data))
-    assert len(parts) > 5
-    assert {x for s in parts for x in zip(s.at.tolist(), s.gram.tolist(), s.context.tolist(), strict=True)} == {x for a, g, c in whole for x in zip(a, g, c, strict=True)}
+    assert len(list(repeats.samples(items))) > 5 and anchors() == whole
+
+
+def test_repeats_when_names_collide(spark, monkeypatch):
+    """Grams whose hashes collide cost work, but nothing wrong is removed."""
+    rng = random.Random(21)
+    base = "".join(rng.choice("abcdefgh ") for _ in range(900))
+    texts = {i: base[rng.randrange(600) :][: rng.randrange(400)] + "".join(rng.choice("abcdefgh ") for _ in range(rng.randrange(300))) for i in range(60)}
+    monkeypatch.setattr(repeats, "_mix", lambda x, mix=repeats._mix: mix(x) & np.uint64(0x3 << 40))
+    assert digests_of(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)) == brute_removed(texts)
+
+
+def test_repeats_of_repeated_rows_nulls_and_ties(spark):
+    rng = random.Random(4)
+    a, b = ("".join(rng.choice("abcdefgh ") for _ in range(260)) for _ in range(2))
+    data = [(5, a), (5, a), (5, b + a[:120]), (3, a[40:200]), (None, b), (None, None), (9, ""), (9, b), (7, "é" * 90), (8, "é" * 90)]
+    df = spark.createDataFrame([(i, t, "x", 1, 2) for i, t in data], "doc_id long, text string, id string, mark int, data int").repartition(3)
+    mark = {r["text"] or "": r["m"] for r in df.select("text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("m")).collect()}
+    order = sorted({(-1 if i is None else i, mark[t or ""], t or "") for i, t in data})
+    want = brute_removed({k: t for k, (_, _, t) in enumerate(order)})
+    by = {(i, t): want[k] for k, (i, _, t) in enumerate(order)}
+    got = sorted(tuple(r)[1:] for r in repeats.digests(df).collect())
+    assert got == sorted(by[-1 if i is None else i, t or ""] for i, t in data)
+    with pytest.raises(TypeError):
+        repeats.digests(df.select(F.col("text").alias("doc_id"), "text"))
 
 
 def test_shared_dir_is_taken_from_the_session(spark):
