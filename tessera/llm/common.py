@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -122,3 +123,24 @@ def map_rows(df: DataFrame, fn: Callable[[list], list[tuple]], schema: str) -> D
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
 
     return df.mapInArrow(run, schema)
+
+
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], list | None], schema: str) -> DataFrame:
+    """Apply ``fn`` (batch -> columns as Arrow or numpy arrays, or None for no rows) to each Arrow batch."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    arrow = to_arrow_schema(_parse_datatype_string(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows and (cols := fn(b)) is not None:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) if not isinstance(c, pa.Array) else c.cast(f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
+
+    return df.mapInArrow(run, schema)
+
+
+def lists(rows: np.ndarray, of: np.ndarray, values: pa.Array | np.ndarray) -> pa.Array:
+    """For each of ``rows`` (sorted, distinct) the list of those values whose ``of`` (sorted) it is."""
+    offsets = np.concatenate([np.searchsorted(of, rows), [len(of)]]).astype(np.int32)
+    return pa.ListArray.from_arrays(offsets, values if isinstance(values, pa.Array) else pa.array(values))

@@ -27,7 +27,6 @@ id has to be an integer.
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_right
 from collections.abc import Iterator
 from itertools import chain
 
@@ -37,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import suffix
-from .common import batches, forget, map_rows, settings, small_batches, whole_key, written
+from .common import batches, forget, lists, map_batches, map_rows, settings, small_batches, whole_key, written
 from .jaccard import _mix
 
 SIZE, GRAM = 100, 50
@@ -215,21 +214,29 @@ def _place(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
     return _mix(_mix(ids.view(np.uint64)) + at.astype(np.uint64))
 
 
-def _joined(first: np.ndarray, last: np.ndarray, size: int) -> list[tuple[int, int]]:
-    """Runs of windows (in order), those put together that are no further than ``size`` apart: few strings in all."""
-    if not len(first):
-        return []
-    new = np.flatnonzero(np.r_[True, first[1:] > np.maximum.accumulate(last)[:-1] + size])
-    return list(zip(first[new].tolist(), np.maximum.reduceat(last, new).tolist(), strict=True))
+def _joined(text: np.ndarray, first: np.ndarray, last: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, start, end) of strings that hold runs of windows (in order), those put together that are no further than ``size`` apart."""
+    if not len(text):
+        return text, first, last
+    reach = np.maximum.accumulate(text << 34 | last + size)
+    new = np.flatnonzero(np.concatenate([[True], (text[1:] << 34 | first[1:]) > reach[:-1]]))
+    return text[new], first[new], np.maximum.reduceat(last, new) + size
+
+
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """Where any of the columns differs from the row before, and the first row."""
+    out = np.ones(len(columns[0]), bool)
+    out[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return out
 
 
 def removed(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE, gram: int = GRAM) -> DataFrame:
-    """(id, mark, spans): of each text that loses bytes, the starts (first, last) of its repeated windows. ``mark`` is the text's hash."""
+    """(id, mark, spans): of each text that loses bytes, the runs of starts of its repeated windows, as first * 2^32 + last. ``mark`` is the text's hash."""
     spark = df.sparkSession
     # every step is written: its exchanges are of no use afterwards
     with batches(spark), settings(
         spark, spark__sql__execution__arrow__maxBytesPerBatch="8m", spark__sql__classic__shuffleDependency__fileCleanup__enabled="true",
-        spark__sql__parquet__compression__codec="zstd",
+        spark__sql__parquet__compression__codec="zstd", spark__sql__adaptive__maxShuffledHashJoinLocalMapThreshold="32m",
     ):
         return _removed(_rows(df, key, text).where(F.octet_length("data") >= size), size, gram)
 
@@ -239,48 +246,46 @@ def _removed(rows: DataFrame, size: int, gram: int) -> DataFrame:
     # within a text the earlier start is known; between texts the id decides, and the text's hash where an id repeats
     twice = not rows.groupBy("id").count().where("count > 1").isEmpty()
     earlier = F.struct("id", "mark") if twice else F.col("id")
-    expected = (rows.agg(F.sum(F.octet_length("data"))).first()[0] or 0) // ((size - gram + 2) // 2)
+    expected = _bytes(rows) // ((size - gram + 2) // 2)
 
     def named(items: list) -> np.ndarray:
         got = [(s.text, s.at, s.gram) for s in samples(items, size, gram)]
         if not got:
             return np.zeros(0, np.uint64)
         d, at, names = (np.concatenate(x) for x in zip(*got, strict=True))
-        return names[np.r_[True, (d[1:] != d[:-1]) | (at[1:] != at[:-1])]]  # an anchor at a block's edge shows up in both
+        return names[_changes(d, at)]  # an anchor at a block's edge shows up in both
 
     repeated = spark.sparkContext.broadcast(_bitmap(rows.select("data"), named, 2, expected))
 
-    def contexts(ids: list, marks: list, items: list) -> list[tuple]:
-        held: dict[int, list] = {}
+    def contexts(b: pa.RecordBatch) -> list | None:
+        items, parts = b.column(2).to_pylist(), []
         for s in samples(items, size, gram):
             hit = np.flatnonzero(_has(repeated.value, s.gram))
-            if not len(hit):
-                continue
-            digest, text = s.contexts(hit), s.text[hit]
-            cut = np.flatnonzero(np.r_[True, text[1:] != text[:-1]]).tolist()
-            for lo, hi in zip(cut, [*cut[1:], len(hit)], strict=True):
-                own = hit[lo:hi]
-                held.setdefault(int(text[lo]), []).append((s.gram[own].view(np.int64), digest[lo:hi], s.at[own], s.first[own], s.last[own]))
-        out = []
-        for d, parts in held.items():
-            names, digest, at, first, last = (np.concatenate(x) for x in zip(*parts, strict=True))
-            new = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])  # the run of an anchor at a block's edge is in two parts
-            names, digest, at, first, last = names[new], digest[new], at[new], first[new], np.maximum.reduceat(last, new)
-            pieces = [{"start": a, "data": items[d][a : z + size]} for a, z in _joined(first, last, size)]
-            fresh = np.zeros(len(at), bool)
-            fresh[np.unique(np.ascontiguousarray(digest).view("S16")[:, 0], return_index=True)[1]] = True
-            own = [{"first": a, "last": z} for a, z in zip(first[~fresh].tolist(), last[~fresh].tolist(), strict=True)]
-            out.append((ids[d], marks[d], names[fresh], digest[fresh, 0], digest[fresh, 1], at[fresh], first[fresh], last[fresh], own, pieces))
-        return out
-
-    lists = "names array<long>, c1 array<long>, c2 array<long>, at array<int>, first array<int>, last array<int>, own array<struct<first:int,last:int>>"
-    found = written(map_rows(rows, contexts, f"id long, mark long, {lists}, pieces array<struct<start:int,data:binary>>"), "contexts")
+            if len(hit):
+                parts.append((s.text[hit], s.at[hit], s.first[hit], s.last[hit], s.gram[hit].view(np.int64), s.contexts(hit)))
+        if not parts:
+            return None
+        text, at, first, last, names, digest = (np.concatenate(x) for x in zip(*parts, strict=True))
+        new = np.flatnonzero(_changes(text, at))  # the run of an anchor at a block's edge is in two parts
+        text, at, first, last, names, digest = text[new], at[new], first[new], np.maximum.reduceat(last, new), names[new], digest[new]
+        of, start, end = _joined(text, first, last, size)
+        data = pa.array([items[t][a:z] for t, a, z in zip(of.tolist(), start.tolist(), end.tolist(), strict=True)], pa.binary())
+        order = np.lexsort((digest[:, 1], digest[:, 0], text))
+        fresh = np.empty(len(text), bool)
+        fresh[order] = _changes(text[order], digest[order, 0], digest[order, 1])
+        rows_ = np.unique(text)
+        own = lists(rows_, text[~fresh], first[~fresh] << 32 | last[~fresh])
+        each = [lists(rows_, text[fresh], x[fresh]) for x in (names, digest[:, 0], digest[:, 1], at.astype(np.int32), first.astype(np.int32), last.astype(np.int32))]
+        return [b.column(0).take(pa.array(rows_)), b.column(1).take(pa.array(rows_)), *each, own, lists(rows_, of, start.astype(np.int32)), lists(rows_, of, data)]
+
+    columns = "names array<long>, c1 array<long>, c2 array<long>, at array<int>, first array<int>, last array<int>, own array<long>, starts array<int>, pieces array<binary>"
+    found = written(map_batches(rows, contexts, f"id long, mark long, {columns}"), "contexts")
     flat = found.select("id", "mark", F.explode(F.arrays_zip("names", "c1", "c2", "at", "first", "last")).alias("x"))
     flat = flat.select("id", "mark", F.col("x.names").alias("name"), *(F.col(f"x.{c}").alias(c) for c in ("c1", "c2", "at", "first", "last")))
     classes = flat.groupBy("c1", "c2").agg(F.min(earlier).alias("head"), F.min_by("at", earlier).alias("at"), F.count("*").alias("members"), F.min("name").alias("name"))
     classes = written(classes, "classes")
     again = flat.drop("name", "at").join(classes.where("members > 1").select("c1", "c2", "head"), ["c1", "c2"]).where(earlier > F.col("head"))
-    again = written(again.groupBy("id", "mark").agg(F.collect_list(F.struct("first", "last")).alias("spans")), "again")  # one text's windows
+    again = written(again.groupBy("id", "mark").agg(F.collect_list(F.shiftleft(F.col("first").cast("long"), 32) + F.col("last")).alias("spans")), "again")  # one text's windows
 
     several = classes.groupBy("name").agg(F.count("*").alias("k")).where("k > 1").select("name")
     # the first member of each class that its name does not settle; the other members are marked already
@@ -289,23 +294,20 @@ def _removed(rows: DataFrame, size: int, gram: int) -> DataFrame:
     split = spark.sparkContext.broadcast(places)
     forget(spark, classes)
 
-    def undecided(ids: list, marks: list, ats: list, firsts: list, lasts: list, pieces: list) -> list[tuple]:
+    def undecided(b: pa.RecordBatch) -> list | None:
         """The strings around such members, neighbours put together."""
-        n = [len(x) for x in ats]
-        at, first, last = (np.array(list(chain.from_iterable(x)), np.int64) for x in (ats, firsts, lasts))
-        chosen = _has(split.value, _place(np.repeat(np.array(ids, np.int64), n), at))
-        out, end = [], 0
-        for k, i, m, own in zip(n, ids, marks, pieces, strict=True):
-            runs, end = slice(end, end + k), end + k
-            if not chosen[runs].any():
-                continue
-            starts = [x["start"] for x in own]
-            for a, z in _joined(first[runs][chosen[runs]], last[runs][chosen[runs]], size):
-                piece = own[bisect_right(starts, a) - 1]
-                out.append((i, m, a, piece["data"][a - piece["start"] : z + size - piece["start"]]))
-        return out
-
-    strings = written(map_rows(found.select("id", "mark", "at", "first", "last", "pieces"), undecided, "id long, mark long, at int, data binary"), "strings")
+        ids, n = b.column(0).to_numpy(), np.diff(b.column(2).offsets.to_numpy())
+        at, first, last = (b.column(c).flatten().to_numpy().astype(np.int64) for c in (2, 3, 4))
+        text = np.repeat(np.arange(len(ids)), n)
+        chosen = _has(split.value, _place(ids[text], at))
+        text, start, end = _joined(text[chosen], first[chosen], last[chosen], size)
+        of = np.repeat(np.arange(len(ids)), np.diff(b.column(5).offsets.to_numpy()))
+        begin, pieces = b.column(5).flatten().to_numpy().astype(np.int64), b.column(6).flatten()
+        where = np.searchsorted(of << 32 | begin, text << 32 | start, side="right") - 1
+        data = [pieces[p].as_py()[a:z] for p, a, z in zip(where.tolist(), (start - begin[where]).tolist(), (end - begin[where]).tolist(), strict=True)]
+        return [b.column(0).take(pa.array(text)), b.column(1).take(pa.array(text)), start.astype(np.int32), pa.array(data, pa.binary())]
+
+    strings = written(map_batches(found.select("id", "mark", "at", "first", "last", "starts", "pieces"), undecided, "id long, mark long, at int, data binary"), "strings")
     own = written(found.where("size(own) > 0").select("id", "mark", F.col("own").alias("spans")), "own")
     forget(spark, found)
     packed = written(suffix.bundles(strings), "bundles")
@@ -317,41 +319,44 @@ def _removed(rows: DataFrame, size: int, gram: int) -> DataFrame:
     return spans
 
 
+def _bytes(rows: DataFrame) -> int:
+    """About how many bytes the texts have; only the number of parts depends on it.
+
+    Twice the size of the files where the optimiser knows it, else counted.
+    """
+    known = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return 2 * known if known < 1 << 55 else rows.agg(F.sum(F.octet_length("data"))).first()[0] or 0
+
+
 def _rows(df: DataFrame, key: str, text: str) -> DataFrame:
     data = F.coalesce(F.col(text), F.lit(""))
     return df.select(F.coalesce(whole_key(df, key), F.lit(_FIRST)).alias("id"), F.xxhash64(data).alias("mark"), data.cast("binary").alias("data"))
 
 
-def covered(spans: list[tuple[int, int]], size: int = SIZE) -> list[tuple[int, int]]:
-    """Maximal byte runs [a, b) that windows starting from first to last cover."""
-    out: list[list[int]] = []
-    for first, last in sorted(spans):
-        if out and first <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], last + size)
-        else:
-            out.append([first, last + size])
-    return [(a, b) for a, b in out]
-
-
-def _cut(data: bytes, spans: list, size: int) -> tuple[list[tuple[int, int]], bytes]:
-    """The removed byte runs, and the bytes that remain."""
-    runs = covered([(x["first"], x["last"]) for x in spans], size)
-    at = [0, *(p for run in runs for p in run), len(data)]
-    return runs, b"".join([data[a:b] for a, b in zip(at[::2], at[1::2], strict=True)])
+def _cuts(b: pa.RecordBatch, size: int) -> list[tuple[list[tuple[int, int]], bytes]]:
+    """Of each row (id, mark, data, spans): the maximal removed byte runs [a, b), and the bytes that remain."""
+    row, packed = np.repeat(np.arange(b.num_rows), np.diff(b.column(3).offsets.to_numpy())), b.column(3).flatten().to_numpy()
+    order = np.lexsort((packed, row))
+    row, packed = row[order], packed[order]
+    runs: list[list[tuple[int, int]]] = [[] for _ in range(b.num_rows)]
+    for r, a, z in zip(*(x.tolist() for x in _joined(row, packed >> 32, packed & 0xFFFFFFFF, size)), strict=True):
+        runs[r].append((a, z))
+    out = []
+    for data, own in zip(b.column(2).to_pylist(), runs, strict=True):
+        at = [0, *chain.from_iterable(own), len(data)]
+        out.append((own, b"".join([data[a:z] for a, z in zip(at[::2], at[1::2], strict=True)])))
+    return out
 
 
 def kept(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE, gram: int = GRAM) -> DataFrame:
     """Of the texts that lose bytes: (id, mark, runs, kept) with the removed byte runs and the bytes that remain."""
 
-    def cut(ids: list, marks: list, items: list, lists: list) -> list[tuple]:
-        out = []
-        for i, m, data, found in zip(ids, marks, items, lists, strict=True):
-            runs, rest = _cut(data, found, size)
-            out.append((i, m, [{"start": a, "end": b} for a, b in runs], rest))
-        return out
+    def cut(b: pa.RecordBatch) -> list:
+        got = _cuts(b, size)
+        return [b.column(0), b.column(1), [[{"start": a, "end": z} for a, z in runs] for runs, _ in got], [rest for _, rest in got]]
 
     small_batches(df.sparkSession)
-    return map_rows(_rows(df, key, text).join(removed(df, key, text, size, gram), ["id", "mark"]), cut, "id long, mark long, runs array<struct<start:long,end:long>>, kept binary")
+    return map_batches(_rows(df, key, text).join(removed(df, key, text, size, gram), ["id", "mark"]), cut, "id long, mark long, runs array<struct<start:long,end:long>>, kept binary")
 
 
 def digests(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -359,16 +364,13 @@ def digests(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     spark = df.sparkSession
     spans = removed(df, key, text)
 
-    def cut(ids: list, marks: list, items: list, lists: list) -> list[tuple]:
-        out = []
-        for i, m, data, found in zip(ids, marks, items, lists, strict=True):
-            runs, rest = _cut(data, found, SIZE)
-            out.append((i, m, len(rest), len(runs), hashlib.sha256(rest).hexdigest()))
-        return out
+    def cut(b: pa.RecordBatch) -> list:
+        got = _cuts(b, SIZE)
+        return [b.column(0), b.column(1), [len(rest) for _, rest in got], [len(runs) for runs, _ in got], [hashlib.sha256(rest).hexdigest() for _, rest in got]]
 
     # lets the scan of all texts drop rows before they are shuffled to those that lose bytes
     with batches(spark), settings(spark, spark__sql__optimizer__runtime__bloomFilter__applicationSideScanSizeThreshold="0"):
-        less = map_rows(_rows(df, key, text).join(spans, ["id", "mark"]), cut, "id long, mark long, rest long, runs long, sha string")
+        less = map_batches(_rows(df, key, text).join(spans, ["id", "mark"]), cut, "id long, mark long, rest long, runs long, sha string")
         less = written(less.dropDuplicates(["id", "mark"]), "less")
     forget(spark, spans)
     rows = _rows(df, key, text).select("id", "mark", F.octet_length("data").cast("long").alias("n_bytes"), F.sha2("data", 256).alias("whole"))

@@ -361,19 +361,14 @@ def _sample_ranks(level: DataFrame, dtype: str, reach: int, size: int) -> tuple[
 
 
 def _hashes(sym: np.ndarray, size: int, salt: int) -> np.ndarray:
-    """The hash of the ``size`` symbols from each position on (0 where there are fewer)."""
-    h, width, out, done = _mix(sym.astype(np.uint64) + np.uint64(salt << 32)), 1, None, 0
-    while True:
-        if size & width:
-            out = h.copy() if out is None else _mix(out[: len(h) - done] * np.uint64(0x9E3779B97F4A7C15) + h[done:])
-            done += width
-        if done == size or len(h) <= width:
-            break
-        h = _mix(h[:-width] * np.uint64(0xC2B2AE3D27D4EB4F) + h[width:])
-        width *= 2
-    full = np.zeros(len(sym), np.uint64)
-    if done == size and out is not None:
-        full[: len(sym) - size + 1] = out[: len(sym) - size + 1]
+    """The polynomial hash of the ``size`` symbols from each position on (0 where there are fewer), with random codes of the symbols."""
+    full, n = np.zeros(len(sym), np.uint64), len(sym) - size + 1
+    if n > 0:
+        base = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)[salt]
+        power, inverse = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(len(sym) - 1, b, np.uint64)])) for b in (base, pow(base, -1, 1 << 64)))
+        total = np.zeros(len(sym) + 1, np.uint64)
+        np.cumsum(_mix(np.arange(257, dtype=np.uint64) + np.uint64(salt + 1 << 32))[sym] * power, out=total[1:])
+        full[:n] = _mix((total[size:] - total[:-size]) * inverse[:n])
     return full.view(np.int64)
 
 
@@ -384,12 +379,12 @@ def _runs(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def repeated(strings: DataFrame, size: int, keep: bool = True) -> DataFrame:
-    """(id, mark, spans): of each string's text, first and last starts of the windows of ``size`` bytes that an earlier place has too.
+    """(id, mark, spans): of each string's text, the runs of starts (first * 2^32 + last) of the windows of ``size`` bytes that an earlier place has too.
 
     ``strings`` come from ``bundles``, written; without ``keep`` they are deleted once their ranks are stored beside them.
     """
     spark = strings.sparkSession
-    spans = "id long, mark long, spans array<struct<first:int,last:int>>"
+    spans = "id long, mark long, spans array<long>"
     if strings.isEmpty():
         return spark.createDataFrame([], spans)
     samples, kind = _sample_ranks(strings, "<i2", 1, size)
@@ -403,7 +398,7 @@ def repeated(strings: DataFrame, size: int, keep: bool = True) -> DataFrame:
         n = length + 1
         within = np.arange(len(sym)) - np.repeat(np.cumsum(n) - n, n)
         # more than the symbols that are there are never needed: a window ends within its string
-        return {"at": np.arange(len(sym)), "h1": _hashes(sym, size, 1), "h2": _hashes(sym, size, 2)}, within + size <= np.repeat(length, n)
+        return {"at": np.arange(len(sym)), "h1": _hashes(sym, size, 0), "h2": _hashes(sym, size, 1)}, within + size <= np.repeat(length, n)
 
     def compare(found: list[dict], held: dict[str, np.ndarray], order: np.ndarray) -> list[dict]:
         numbers = np.unique([r["bundle"] for r in found])
@@ -453,7 +448,7 @@ def repeated(strings: DataFrame, size: int, keep: bool = True) -> DataFrame:
             shift = seg[which, 2] - begin[which]
             cuts = np.flatnonzero(np.r_[True, np.diff(which) > 0]).tolist()
             for lo, hi in zip(cuts, [*cuts[1:], len(a)], strict=True):
-                rows.append((int(seg[which[lo], 0]), int(seg[which[lo], 1]), [{"first": x, "last": y} for x, y in zip((a + shift)[lo:hi].tolist(), (z + shift)[lo:hi].tolist(), strict=True)]))
+                rows.append((int(seg[which[lo], 0]), int(seg[which[lo], 1]), (a + shift)[lo:hi] << 32 | (z + shift)[lo:hi]))
         return rows
 
     found = written(map_rows(places.join(lists, "bundle"), spread, spans), "sorted")

@@ -461,7 +461,7 @@ def bundled(df):
 
 
 def starts(found):
-    return {(r["id"], at) for r in found.collect() for x in r["spans"] for at in range(x["first"], x["last"] + 1)}
+    return {(r["id"], at) for r in found.collect() for x in r["spans"] for at in range(x >> 32, (x & 0xFFFFFFFF) + 1)}
 
 
 @pytest.mark.parametrize("start", [(1 << 31) - 50, (1 << 31) + 5, 5 << 31])
