@@ -236,15 +236,17 @@ def removed(df: DataFrame, key: str = "doc_id", text: str = "text", size: int =
     # every step is written: its exchanges are of no use afterwards
     with batches(spark), settings(
         spark, spark__sql__execution__arrow__maxBytesPerBatch="8m", spark__sql__classic__shuffleDependency__fileCleanup__enabled="true",
-        spark__sql__parquet__compression__codec="zstd", spark__sql__adaptive__maxShuffledHashJoinLocalMapThreshold="32m",
+        spark__sql__parquet__compression__codec="zstd", parquet__compression__codec__zstd__level="1", parquet__enable__dictionary="false",
+        spark__sql__adaptive__maxShuffledHashJoinLocalMapThreshold="32m",
     ):
-        return _removed(_rows(df, key, text).where(F.octet_length("data") >= size), size, gram)
+        rows = _rows(df, key, text)
+        repeats = not rows.groupBy("id").count().where("count > 1").isEmpty()  # reads the ids alone
+        return _removed(rows.where(F.octet_length("data") >= size), size, gram, repeats)
 
 
-def _removed(rows: DataFrame, size: int, gram: int) -> DataFrame:
+def _removed(rows: DataFrame, size: int, gram: int, twice: bool) -> DataFrame:
     spark = rows.sparkSession
-    # within a text the earlier start is known; between texts the id decides, and the text's hash where an id repeats
-    twice = not rows.groupBy("id").count().where("count > 1").isEmpty()
+    # within a text the earlier start is known; between texts the id decides, and the text's hash where an id repeats (``twice``)
     earlier = F.struct("id", "mark") if twice else F.col("id")
     expected = _bytes(rows) // ((size - gram + 2) // 2)
 
