@@ -25,8 +25,9 @@ def shared_dir(spark: SparkSession) -> str:
     whose executors are threads of the driver, may do without either: it gets a temporary folder.
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
-    if where:
-        return where.rstrip("/")
+    if where:  # with its scheme, which a path alone takes from fs.defaultFS
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
+        return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
     context = spark.sparkContext
     if not context.getCheckpointDir():
         if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):

@@ -2,7 +2,9 @@
 
 The markup is read into a tree (implied end tags, raw scripts and styles, comments dropped).
 Elements that are furniture by tag, role or class (menus, headers, footers, sidebars, notices,
-adverts, forms, reader comments) are cut off first. Each paragraph block then gives points for
+adverts, forms, reader comments) are cut off first. Outside an article or main element any word of
+a class or id name marks furniture; inside one a whole name has to consist of such words, and words
+that articles use themselves (share, legal, ...) count only where links make up much of the text. Each paragraph block then gives points for
 its length and its commas to its ancestors (parent whole, grandparent half, further ones by
 distance), a container's points are discounted by its link density, and the best container is
 kept: the whole article or main element around it, or else the container together with its siblings
@@ -40,7 +42,7 @@ _BLOCK = frozenset(
 )
 _FURNITURE = frozenset(
     "head script style noscript template iframe object embed svg canvas nav header footer aside form button select option "
-    "textarea input label fieldset dialog menu title".split()
+    "textarea input label dialog menu title".split()
 )
 _ROLES = frozenset(
     "navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar status note".split()
@@ -53,6 +55,12 @@ _WORDS = frozenset(
     "social sponsor sponsored subscribe subscription toolbar widget widgets alert gdpr paywall signup login topbar bottombar "
     "recommended recommendations trending toc sitemap copyright legal disclaimer reply".split()
 )
+#: Of these, words that an article's own parts may be called: inside one they need links as well. Fixed values.
+_AMBIGUOUS = frozenset("alert banner copyright disclaimer header footer legal reply replies share sharing social toc trending widget widgets related masthead".split())
+#: Words that go with them in the names of furniture inside an article. Fixed values.
+_BESIDE = frozenset("area bar block bottom box button buttons container form icons inner item items left links list panel post posts right section site slot top unit wrap wrapper".split())
+#: Share of link text from which an element with an ambiguous name is furniture.
+_LINKED = 0.3
 #: An element whose class or id has one of these as well is no furniture.
 _CONTENT = frozenset("article content body main entry post story text".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -71,9 +79,49 @@ class Node:
         self.chars = self.linked = 0
 
 
+#: Inline end tags don't close these.
+_WALLS = frozenset("td th table article main section nav aside".split())
+
+
+class _Open:
+    """The open elements, innermost last, and how deep each kind of them is: what an end tag closes is found without a walk."""
+
+    def __init__(self, root: Node) -> None:
+        self.nodes, self.depth = [root], {}
+        self.blocks: list[int] = []
+        self.walls: list[int] = []
+
+    @property
+    def now(self) -> Node:
+        return self.nodes[-1]
+
+    def push(self, node: Node) -> None:
+        at = len(self.nodes)
+        self.depth.setdefault(node.tag, []).append(at)
+        if node.tag in _BLOCK:
+            self.blocks.append(at)
+        if node.tag in _WALLS:
+            self.walls.append(at)
+        self.nodes.append(node)
+
+    def close(self, depth: int) -> None:
+        """Close the element at this depth and all inside it."""
+        for node in self.nodes[depth:]:
+            self.depth[node.tag].pop()
+        del self.nodes[depth:]
+        for kept in (self.blocks, self.walls):
+            while kept and kept[-1] >= depth:
+                kept.pop()
+
+    def deepest(self, tags) -> int:
+        """The depth of the innermost open element with one of these tags; 0 if there is none."""
+        return max((x[-1] for t in tags if (x := self.depth.get(t))), default=0)
+
+
 def tree(html: str) -> Node:
     """The document as a tree; broken nesting is mended as browsers do in the common cases."""
-    root = now = Node("#root", None)
+    root = Node("#root", None)
+    open_ = _Open(root)
     at, n = 0, len(html)
     while at < n:
         i = html.find("<", at)
@@ -81,64 +129,67 @@ def tree(html: str) -> Node:
         if m is None:  # text up to a "<" that opens nothing
             end = html.find("<", i + 1) if i >= 0 else n
             end = n if end < 0 else end
-            now.kids.append(html[at:end])
+            open_.now.kids.append(html[at:end])
             at = end
             continue
         if i > at:
-            now.kids.append(html[at:i])
+            open_.now.kids.append(html[at:i])
         at = m.end()
         close, name = m[1], m[2]
         if close:
-            tag, x = close.lower(), now
+            tag = close.lower()
+            depth = open_.deepest((tag,))
             if tag == "br":
-                now.kids.append(Node("br", now))
-                continue
-            while x is not root and x.tag != tag:
-                if x.tag in ("td", "th", "table", "article", "main", "section", "nav", "aside") and tag not in _BLOCK:
-                    x = root  # an inline end tag doesn't close these
-                    break
-                x = x.parent
-            if x is not root:
-                now = x.parent
+                open_.now.kids.append(Node("br", open_.now))
+            elif depth and (tag in _BLOCK or not open_.walls or open_.walls[-1] <= depth):
+                open_.close(depth)
             continue
         if not name:
             if m[0].startswith("<![CDATA["):
-                now.kids.append(m[0][9:-3].replace("&", "&amp;"))
+                open_.now.kids.append(m[0][9:-3].replace("&", "&amp;"))
             continue
         tag = name.lower()
         if tag in _CLOSES_P:
-            x = now
-            while x is not root and x.tag not in _BLOCK:
-                x = x.parent
-            if x.tag == "p":
-                now = x.parent
+            if open_.blocks and open_.nodes[open_.blocks[-1]].tag == "p":
+                open_.close(open_.blocks[-1])
         elif tag in _PEERS:
-            x = now
-            while x is not root and x.tag not in _SCOPE[tag]:
-                if x.tag in _PEERS[tag]:
-                    now = x.parent
-                    if x.tag == tag or tag != "tr":
-                        break
-                x = x.parent
-        node = Node(tag, now, m[3])
-        now.kids.append(node)
+            scope = open_.deepest(_SCOPE[tag])
+            if tag == "tr":  # closes the cell and the row
+                inside = [x[-1] for t in _PEERS[tag] if (x := open_.depth.get(t)) and x[-1] > scope]
+                row = [d for d in inside if open_.nodes[d].tag == "tr"]
+                if inside:
+                    open_.close(min(row or inside))
+            elif (depth := open_.deepest(_PEERS[tag])) > scope:
+                open_.close(depth)
+        node = Node(tag, open_.now, m[3])
+        open_.now.kids.append(node)
         if tag in _RAW:
             e = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(html, at)
             if tag in ("title", "textarea"):
                 node.kids.append(html[at : e.start() if e else n])
             at = e.end() if e else n
         elif tag not in _VOID and not (m[4] and tag not in _BLOCK and tag in ("path", "circle", "rect", "use")):
-            now = node
+            open_.push(node)
     return root
 
 
-def _furniture(node: Node) -> bool:
+def _weigh(root: Node) -> None:
+    """Each element's number of characters, and of those in links."""
+    for x in reversed(_order(root)):
+        own = sum(len(k.strip()) for k in x.kids if isinstance(k, str))
+        x.chars = own + sum(k.chars for k in x.kids if not isinstance(k, str))
+        x.linked = x.chars if x.tag == "a" else sum(k.linked for k in x.kids if not isinstance(k, str))
+
+
+def _furniture(node: Node, within: bool) -> bool:
+    """Whether an element goes; ``within`` an article or main element its names have to say so as a whole."""
     if node.tag in _FURNITURE:
-        # a heading group inside the article is the article's own
-        return not (node.tag == "header" and _inside(node, "article"))
+        return not (node.tag == "header" and within)  # a heading group inside the article is the article's own
+    if node.tag == "fieldset":
+        return not within or any(x.tag in ("input", "button", "select", "textarea") for x in _order(node))
     if not node.attrs:
         return False
-    words: set[str] = set()
+    names: list[str] = []
     for k, a, b, c in _ATTR.findall(node.attrs):
         k, v = k.lower(), (a or b or c).lower()
         if k == "role" and v in _ROLES:
@@ -146,27 +197,28 @@ def _furniture(node: Node) -> bool:
         if k == "hidden" or (k == "aria-hidden" and v == "true") or (k == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", v)):
             return True
         if k in ("class", "id"):
-            words |= set(re.split(r"[^a-z]+", v))
+            names += v.split()
     if node.tag in ("body", "html", "article", "main"):
         return False
+    if within:
+        linked = node.linked >= _LINKED * max(1, node.chars)
+        for name in names:
+            words = [w for w in re.split(r"[^a-z]+", name) if w]
+            marks = [w for w in words if w in _WORDS]
+            if marks and all(w in _WORDS or w in _BESIDE for w in words) and (linked or not all(w in _AMBIGUOUS for w in marks)):
+                return True
+        return False
+    words = {w for name in names for w in re.split(r"[^a-z]+", name)}
     return bool(words & _WORDS) and not (words & _CONTENT and not words & {"comment", "comments", "sidebar", "ad", "ads", "related", "footer", "nav"})
 
 
-def _inside(node: Node, tag: str) -> bool:
-    x = node.parent
-    while x is not None:
-        if x.tag == tag:
-            return True
-        x = x.parent
-    return False
-
-
 def _pruned(root: Node) -> None:
-    todo = [root]
+    todo = [(root, False)]
     while todo:
-        x = todo.pop()
-        x.kids = [k for k in x.kids if isinstance(k, str) or not _furniture(k)]
-        todo += [k for k in x.kids if not isinstance(k, str)]
+        x, within = todo.pop()
+        within = within or x.tag in ("article", "main")
+        x.kids = [k for k in x.kids if isinstance(k, str) or not _furniture(k, within)]
+        todo += [(k, within) for k in x.kids if not isinstance(k, str)]
 
 
 def _order(root: Node) -> list[Node]:
@@ -217,10 +269,7 @@ def blocks(node: Node) -> list[tuple[Node, str]]:
 
 def scored(root: Node) -> Node | None:
     """Points flow from paragraphs to ancestors; the container with the most points after discount."""
-    for x in reversed(_order(root)):
-        own = sum(len(k.strip()) for k in x.kids if isinstance(k, str))
-        x.chars = own + sum(k.chars for k in x.kids if not isinstance(k, str))
-        x.linked = x.chars if x.tag == "a" else sum(k.linked for k in x.kids if not isinstance(k, str))
+    _weigh(root)  # what furniture had is gone
     touched: dict[int, Node] = {}
     for owner, text in blocks(root):
         if owner.tag in _HEADINGS or owner.tag in ("th", "caption"):
@@ -246,6 +295,7 @@ def main_text(html: str | None) -> str:
     if not html:
         return ""
     root = tree(html)
+    _weigh(root)
     _pruned(root)
     best = scored(root)
     if best is None:

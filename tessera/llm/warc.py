@@ -4,7 +4,10 @@ Writing packs rows into archives of bounded size in the shared folder; each arch
 a skippable frame (magic 0x184D2A5D) that holds its dictionary, fitted on the archive's first
 records (at most ``DICT_RECORDS``). Reading loads that dictionary, walks the frames' block
 headers, decodes one frame at a time, and validates the version line, header fields, lengths,
-the record's end and the payload's digest.
+the record's end and the payload's digest. A record that breaks the format is returned as an error
+with its archive and offset, and reading goes on behind it; only where the frames themselves can't
+be told apart does an archive end early. Tasks name their archives by attempt, and what they return
+is the manifest that is read: archives of failed attempts are never looked at.
 
 Records with equal payloads: that with the smallest id is a response, the others revisit it. Rows
 that repeat the smallest id are responses as well. A null payload is empty; a row with a null id
@@ -20,13 +23,14 @@ import re
 import struct
 import uuid
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_rows, shared_dir, small_batches, written
+from .common import batches, forget, shared_dir, whole_key, written
 
 SKIPPABLE, FRAME = 0x184D2A5D, 0xFD2FB528
 #: Payload bytes after which a new archive begins; records and dictionary bytes for its fitting.
@@ -91,23 +95,23 @@ def _frame_end(data: bytes, at: int) -> int:
             if head & 1:
                 break
     except IndexError:
-        raise BadArchive("a frame is cut off") from None
+        raise BadArchive(f"a frame is cut off, at {at}") from None
     pos += 4 * (flags >> 2 & 1)
     if pos > len(data):
-        raise BadArchive("a frame is cut off")
+        raise BadArchive(f"a frame is cut off, at {at}")
     return pos
 
 
-def frames(data: bytes) -> Iterator[bytes]:
-    """The decoded frames of an archive, one at a time."""
+def frames(data: bytes) -> Iterator[tuple[int, bytes | BadArchive]]:
+    """(offset, decoded frame) of an archive, one at a time; a frame that can't be decoded is given as an error."""
     at, decoder = 0, None
     while at < len(data):
         if at + 8 > len(data):
-            raise BadArchive("rest is no frame")
+            raise BadArchive(f"rest is no frame, at {at}")
         magic, size = struct.unpack_from("<II", data, at)
         if magic & 0xFFFFFFF0 == 0x184D2A50:
             if at + 8 + size > len(data):
-                raise BadArchive("a skippable frame is cut off")
+                raise BadArchive(f"a skippable frame is cut off, at {at}")
             if at == 0 and magic == SKIPPABLE:
                 raw = data[8 : 8 + size]
                 if raw[:4] == struct.pack("<I", FRAME):
@@ -117,12 +121,12 @@ def frames(data: bytes) -> Iterator[bytes]:
             at += 8 + size
             continue
         if magic != FRAME:
-            raise BadArchive("no frame magic")
+            raise BadArchive(f"no frame magic, at {at}")
         end = _frame_end(data, at)
         try:
-            yield (decoder or zstandard.ZstdDecompressor()).decompressobj().decompress(data[at:end])
+            yield at, (decoder or zstandard.ZstdDecompressor()).decompressobj().decompress(data[at:end])
         except zstandard.ZstdError as e:
-            raise BadArchive(f"frame: {e}") from None
+            yield at, BadArchive(f"frame: {e}")
         at = end
 
 
@@ -180,40 +184,41 @@ def revisits(df: DataFrame, key: str, payload: str, at_least: int = 0) -> DataFr
     return own.join(first, "digest").where("key is null or key <> refers_to").groupBy("key", "digest").agg(F.min("refers_to").alias("refers_to"))
 
 
-def write(df: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html", at_least: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> str:
-    """Writes a record for each row and returns the folder of the archives.
+@dataclass
+class Archives:
+    """A folder of archives and the manifest (archive, records) of those that count; without one all of the folder count."""
 
-    Each task names its archives by partition and number and moves them into place when whole, so
-    that a task that runs again overwrites its own archives with the same ones.
-    """
+    folder: str
+    manifest: DataFrame | None = None
+
+
+def write(df: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html", at_least: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> Archives:
+    """Writes a record for each row; the archives are in the shared folder."""
     spark = df.sparkSession
-    small_batches(spark)
     folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
-    rows = df.select(F.col(key).cast("long").alias("key"), F.col(url).alias("url"), F.coalesce(F.col(payload).cast("binary"), F.lit(b"")).alias("payload"))
+    rows = df.select(whole_key(df, key).alias("key"), F.col(url).alias("url"), F.coalesce(F.col(payload).cast("binary"), F.lit(b"")).alias("payload"))
     links = written(revisits(rows, "key", "payload", at_least), "revisits")  # its size is known now: Spark broadcasts it only below its threshold
     rows = rows.withColumn("digest", F.sha1("payload")).alias("r").join(
         links.alias("l"), F.col("r.key").eqNullSafe(F.col("l.key")) & (F.col("r.digest") == F.col("l.digest")), "left"
     ).select("r.key", "r.url", "r.payload", "l.refers_to")
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches_: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         task = TaskContext.get()
         store, base = _store(folder)
         store.create_dir(base, recursive=True)
-        pending, size, number, said = [], 0, 0, []
+        pending, size, said = [], 0, []
 
         def flush() -> None:
-            nonlocal pending, size, number
-            name = f"part-{task.partitionId():06d}-{number:05d}.warc.zst"
-            part = f"{base}/.{name}.{task.taskAttemptId()}"
-            with store.open_output_stream(part, compression=None) as f:
+            nonlocal pending, size
+            name = f"part-{task.partitionId():06d}-{task.taskAttemptId()}-{len(said):05d}.warc.zst"
+            with store.open_output_stream(f"{base}/{name}", compression=None) as f:
                 f.write(pack(pending))
-            store.move(part, f"{base}/{name}")
             said.append((name, len(pending)))
-            pending, size, number = [], 0, number + 1
+            pending, size = [], 0
 
-        for b in batches:
+        for b in batches_:
             for k, u, p, r in zip(*[c.to_pylist() for c in b.columns], strict=True):
                 pending.append(record(k, u, p, r))
                 size += len(pending[-1])
@@ -223,39 +228,92 @@ def write(df: DataFrame, key: str = "page_id", url: str = "url", payload: str =
             flush()
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in said], pa.string()), pa.array([x[1] for x in said], pa.int64())], names=["archive", "records"])
 
-    written(rows.mapInArrow(run, "archive string, records long"), "archives")
-    return folder
+    with batches(spark):
+        manifest = written(rows.mapInArrow(run, "archive string, records long"), "archives")
+    forget(spark, links)
+    return Archives(folder, manifest)
+
+
+RECORD = "key long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, error string, archive string, offset long"
+#: Archives that one task reads, at least where there are many; records that go to Spark at once.
+TASK_ARCHIVES, GIVEN = 4, 64
 
 
-RECORD = "key long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, error string"
+def records(data: bytes, archive: str, expected: int | None = None) -> Iterator[tuple]:
+    """Rows of ``RECORD`` and the payload: the good records of an archive, and an error for each bad one."""
+    wrong = lambda at, e: (*[None] * 6, str(e), archive, at, None)
+    n = 0
+    try:
+        for at, raw in frames(data):
+            n += 1
+            try:
+                if isinstance(raw, BadArchive):
+                    raise raw
+                r = parse(raw)
+                yield r["key"], r["url"], r["type"], r["refers_to"], r["payload_bytes"], r["payload_digest"], None, archive, at, r["payload"]
+            except BadArchive as e:
+                yield wrong(at, e)
+        if expected is not None and n != expected:
+            yield wrong(len(data), f"{n} records where the manifest has {expected}")
+    except BadArchive as e:
+        yield wrong(None, e)
 
 
-def read(spark: SparkSession, folder: str, payloads: bool = False) -> DataFrame:
-    """The records of a folder's archives; a broken archive gives its good records and a row with ``error``."""
+def read(spark: SparkSession, archives: Archives | str, payloads: bool = False) -> DataFrame:
+    """The records of the archives; each bad record is a row with ``error``, ``archive`` and ``offset``."""
+    archives = Archives(archives) if isinstance(archives, str) else archives
     schema = RECORD + (", payload binary" if payloads else "")
-    store, base = _store(folder)
+    store, base = _store(archives.folder)
     from pyarrow import fs
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
 
     if store.get_file_info(base).type == fs.FileType.NotFound:
         return spark.createDataFrame([], schema)
+    if archives.manifest is None:
+        named = [f.base_name for f in store.get_file_info(fs.FileSelector(base)) if f.base_name.endswith(".warc.zst")]
+        names = spark.createDataFrame([(x, None) for x in sorted(named)], "archive string, records long")
+    else:
+        names = archives.manifest
+    folder, arrow = archives.folder, to_arrow_schema(_parse_datatype_string(schema))
+
+    def run(batches_: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = _store(folder)
 
-    def run(blobs: list) -> list[tuple]:
-        out = []
-        for data in blobs:
-            try:
-                for raw in frames(data):
-                    r = parse(raw)
-                    out.append((r["key"], r["url"], r["type"], r["refers_to"], r["payload_bytes"], r["payload_digest"], None, *([r["payload"]] * payloads)))
-            except BadArchive as e:
-                out.append((*[None] * 6, str(e), *([None] * payloads)))
-        return out
+        def given(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=False)], schema=arrow)
+
+        for b in batches_:
+            for name, expected in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                with store.open_input_stream(f"{base}/{name}", compression=None) as f:  # one archive at a time
+                    data = f.read()
+                held = []
+                for row in records(data, name, expected):
+                    held.append(row)
+                    if len(held) == GIVEN:
+                        yield given(held)
+                        held = []
+                if held:
+                    yield given(held)
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
-    return map_rows(spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder).select("content"), run, schema)
+    tasks = max(spark.sparkContext.defaultParallelism, -(-names.count() // TASK_ARCHIVES))
+    return names.select("archive", "records").repartition(tasks).mapInArrow(run, schema)
+
+
+def remove(spark: SparkSession, archives: Archives) -> None:
+    """Delete the archives and their manifest."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(archives.folder)
+    path.getFileSystem(conf).delete(path, True)
+    if archives.manifest is not None:
+        forget(spark, archives.manifest)
 
 
 def round_trip(df: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html", at_least: int = 0) -> DataFrame:
-    """Writes all rows as archives and returns what reading them back says."""
-    return read(df.sparkSession, write(df, key, url, payload, at_least)).select(
-        F.col("key").alias(key), "payload_bytes", "payload_digest", "record_type", "refers_to", "error"
-    )
+    """Writes all rows as archives and returns what reading them back says; the archives are deleted after that."""
+    spark = df.sparkSession
+    archives = write(df, key, url, payload, at_least)
+    back = read(spark, archives).select(F.col("key").alias(key), "payload_bytes", "payload_digest", "record_type", "refers_to", "error")
+    back = written(back, "records")
+    remove(spark, archives)
+    return back

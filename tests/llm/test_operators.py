@@ -8,6 +8,7 @@ import hashlib
 import html as htmllib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -157,6 +158,45 @@ def test_html_keeps_short_sections_and_headings():
     assert html.main_text(page) == "\n\n".join(["Title", text, text, "Few"])
 
 
+def test_html_parts_of_an_article_with_ambiguous_names():
+    text = "<p>" + "word, " * 60 + "end.</p>"
+    for name in ("legal", "share-price", "social-history", "toc", "copyright", "footer-note", "share", "related", "header"):
+        page = f'<body><article>{text}<div class="{name}">A part, of the article.</div>{text}</article></body>'
+        assert "A part, of the article." in html.main_text(page), name
+    for name in ("share-buttons", "related-posts", "toc", "social"):
+        page = f'<body><article>{text}<div class="{name}"><a href=x>One link</a> <a href=y>Other link</a></div>{text}</article></body>'
+        assert "link" not in html.main_text(page), name
+    for name in ("comments", "cookie-notice", "ad-slot", "newsletter", "notice", "sidebar", "pagination"):
+        page = f'<body><article>{text}<div class="{name}">Not, of the article.</div>{text}</article></body>'
+        assert "Not, of" not in html.main_text(page), name
+    page = f"<body><article>{text}<fieldset><legend>Box</legend>Kept text</fieldset><fieldset><input>Gone text</fieldset></article></body>"
+    assert "Kept text" in html.main_text(page) and "Gone text" not in html.main_text(page)
+
+
+@pytest.mark.parametrize(
+    "part", ["<h1>Title</h1>", "Loose text", "<ul><li>Item one</li></ul>", "<table><tr><td>Cell</td></tr></table>", "<blockquote>Said</blockquote>", "<div>Short part</div>", "<pre>code</pre>", "<dl><dt>Term</dt><dd>Meaning</dd></dl>"]
+)
+@pytest.mark.parametrize("before", [True, False])
+def test_html_neighbours_of_the_best_container_stay(part, before):
+    body = "<div id=c>" + ("<p>" + "word, " * 60 + "end.</p>") * 3 + "</div>"
+    got = html.main_text(f"<body><nav>Menu</nav>{part + body if before else body + part}<footer>Foot</footer></body>")
+    want = [x for x in re.split(r"<[^>]*>", part) if x]
+    assert got.split("\n\n")[: len(want)] == want if before else got.split("\n\n")[-len(want) :] == want
+    assert "Menu" not in got and "Foot" not in got
+
+
+@pytest.mark.parametrize("page", ["<div>" * 100000 + "</x>" * 100000, "<b><section>" + "<div>" * 50000 + "</b>" * 50000, "<b>" * 50000 + "<hr>" * 50000, "<b>" * 50000 + "<td></td>" * 50000, "<header>" * 3000 + "x"])
+def test_html_broken_nesting_is_linear(page):
+    began = time.time()
+    html.main_text(page)
+    assert time.time() - began < 5
+
+
+def test_html_tables_and_lists_close_as_browsers_do():
+    page = "<article><table><tr><td>a<td>b<tr><td>c<table><tr><td>d</table>e</table><ul><li>f<ul><li>g</ul><li>h</ul><dl><dt>i<dd>j<dt>k</dl><p>l<div>m</div></article>"
+    assert html.main_text(page).split("\n\n") == list("abcdefghijklm")
+
+
 def test_html_whole_pages_of_the_table(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     source = {r["page_id"]: r["html"] for r in pages.collect()}
@@ -281,7 +321,7 @@ def test_warc_round_trip(spark):
 
 def test_warc_broken_archives_are_told():
     data = warc.pack([warc.record(i, "u", b"payload %d" % i * 30) for i in range(20)])
-    assert [warc.parse(x)["payload"] for x in warc.frames(data)] == [b"payload %d" % i * 30 for i in range(20)]
+    assert [warc.parse(x)["payload"] for _, x in warc.frames(data)] == [b"payload %d" % i * 30 for i in range(20)]
     for bad in (data[:-3], data[:200], b"\x28\xb5\x2f\xfd", b"nothing at all"):
         with pytest.raises(warc.BadArchive):
             list(warc.frames(bad))
@@ -291,6 +331,34 @@ def test_warc_broken_archives_are_told():
             warc.parse(bad)
 
 
+def test_warc_a_broken_record_costs_no_other(spark, tmp_path):
+    whole = [warc.record(i, "u", b"payload %d" % i * 30) for i in range(6)]
+    broken = warc.pack([*whole[:2], whole[2].replace(b"payload 2", b"payload X"), *whole[3:]])
+    flipped = bytearray(warc.pack(whole))
+    offsets = [at for at, _ in warc.frames(bytes(flipped))]
+    flipped[offsets[4] - 2] ^= 255  # in the checksum of the fourth record
+    for name, data in (("a", broken), ("b", bytes(flipped)), ("c", warc.pack(whole)[:-3])):
+        (tmp_path / f"{name}.warc.zst").write_bytes(data)
+    got = warc.read(spark, str(tmp_path), payloads=True).collect()
+    by = {n: sorted(r["key"] for r in got if r["archive"].startswith(n) and r["error"] is None) for n in "abc"}
+    assert by == {"a": [0, 1, 3, 4, 5], "b": [0, 1, 2, 4, 5], "c": [0, 1, 2, 3, 4]}
+    bad = {r["archive"][0]: r for r in got if r["error"]}
+    assert bad["a"]["offset"] is not None and bad["b"]["offset"] == offsets[3] and "cut off" in bad["c"]["error"] and len(bad) == 3
+    assert all(r["payload"] == b"payload %d" % r["key"] * 30 for r in got if r["error"] is None)
+
+
+def test_warc_archives_of_a_failed_attempt_are_not_read(spark):
+    df = spark.createDataFrame([(i, "u", f"<p>{i}</p>") for i in range(10)], "page_id long, url string, html string")
+    archives = warc.write(df)
+    store, base = warc._store(archives.folder)
+    with store.open_output_stream(f"{base}/part-000000-7-00000.warc.zst") as f:
+        f.write(warc.pack([warc.record(99, "u", b"left behind")]))
+    assert sorted(r["key"] for r in warc.read(spark, archives).collect()) == list(range(10))
+    short = warc.Archives(archives.folder, archives.manifest.withColumn("records", F.col("records") + 1))
+    assert any("manifest" in (r["error"] or "") for r in warc.read(spark, short).collect())
+    warc.remove(spark, archives)
+
+
 # --- secrets
 
 
