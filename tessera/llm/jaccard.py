@@ -16,8 +16,10 @@ No pair of sets at or above the threshold is lost: components equal those of all
 
 Words are runs without ASCII white space, A-Z lower-cased; with fewer than ``ngram`` words the
 sequence is the one shingle. Nulls: a null text is empty, an empty set links with nothing; rows
-with a null id are returned alone (component null) and link with nothing. Rows that repeat an id
-are rows of their own. Further columns are left aside.
+with a null id are returned alone (component null) and link with nothing. Rows that repeat an id are
+one document in several texts: what links with one of them links with all, and each row has its own
+``n_shingles``. Very long texts are hashed in blocks. The id has to be an integer; an empty table
+gives no rows. Further columns are left aside.
 """
 
 from __future__ import annotations
@@ -29,14 +31,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, map_rows, small_batches, texts, written
-from .graph import components
+from .common import batches, forget, map_rows, settings, texts, whole_key, written
+from .graph import components, relabelled
 
 NGRAM, PER_CENT = 5, 80
 #: Hub rounds before the remaining pairs of different components are enumerated.
 HUB_ROUNDS = 3
 #: Cost of a subset key, a posting and a verified shingle, in one unit; boundaries to choose from.
-KEY_COST, POST_COST, TOKEN_COST, BOUNDARIES = 1.0, 4.0, 0.05, (4, 9, 14, 19)
+KEY_COST, POST_COST, TOKEN_COST, BOUNDARIES = 1.0, 4.0, 0.05, range(1, 25)
 
 _CHUNK = 1 << 18
 _SPACE = np.zeros(256, bool)
@@ -146,15 +148,17 @@ def missing(n, per_cent: int = PER_CENT):
     return n * (100 - per_cent) // 100
 
 
-def boundary(counts: dict[int, int], rest: int, per_cent: int = PER_CENT) -> int:
-    """The largest size that enumerates subsets, by cost: ``counts`` by size up to the last choice, ``rest`` the sets above."""
+def boundary(counts: dict[int, int], per_cent: int = PER_CENT) -> int:
+    """The largest size that enumerates subsets, by cost: ``counts`` of sets by size, up to the last choice (larger ones never do)."""
     from math import comb
 
-    def cost(x: int) -> float:
-        small = sum(n * sum(comb(s, d) for d in range(missing(s, per_cent) + 1)) * KEY_COST for s, n in counts.items() if s <= x)
-        return small + sum(n * ((missing(s, per_cent) + 1) * POST_COST + s * TOKEN_COST * 2 + 1) for s, n in counts.items() if s > x)
+    def keys(s: int) -> float:
+        return KEY_COST * sum(comb(s, d) for d in range(missing(s, per_cent) + 1))
 
-    return min(BOUNDARIES, key=lambda x: (cost(x), x))
+    def lists(s: int) -> float:
+        return (missing(s, per_cent) + 1) * POST_COST + s * TOKEN_COST * 2 + 1
+
+    return min((0, *BOUNDARIES), key=lambda x: (sum(n * (keys(s) if s <= x else lists(s)) for s, n in counts.items()), x))
 
 
 def _subset_keys(items: np.ndarray, per_cent: int) -> list[tuple[int, int]]:
@@ -201,8 +205,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
     """Pairs (u, v) with whether they link, by their whole sets."""
     a = sets.select(F.col("id").alias("u"), F.col("n").alias("nu"), F.col("items").alias("iu"))
     b = sets.select(F.col("id").alias("v"), F.col("n").alias("nv"), F.col("items").alias("iv"))
-    got = pairs.join(a, "u").join(b, "v").select("u", "v", "nu", "nv", F.size(F.array_intersect("iu", "iv")).alias("shared"))
-    return got.select("u", "v", F.expr(_linked("nu", "nv", "shared", per_cent)).alias("link"))
+    got = pairs.join(a, "u").join(b, "v").select("u", "v", "cu", "cv", "nu", "nv", F.size(F.array_intersect("iu", "iv")).alias("shared"))
+    return got.select("u", "v", "cu", "cv", F.expr(_linked("nu", "nv", "shared", per_cent)).alias("link"))
 
 
 def _fits(a: str, b: str, per_cent: int) -> str:
@@ -211,20 +215,14 @@ def _fits(a: str, b: str, per_cent: int) -> str:
 
 def _large_links(sets: DataFrame, small: DataFrame, x: int, per_cent: int) -> DataFrame:
     """Edges that join all linked pairs of which one set at least has over ``x`` shingles. ``small``: edges found already."""
+    spark = sets.sparkSession
     lists = written(_postings(sets.where(F.col("n") >= -(-(x + 1) * per_cent // 100)), per_cent), "postings")
-    links, seen = small, None
-    comps = components(small)
-
-    def labelled() -> DataFrame:
-        return lists.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-
+    seen, comps = None, components(small)
     for step in range(HUB_ROUNDS + 1):
-        now, last = labelled(), step == HUB_ROUNDS
+        last = step == HUB_ROUNDS
+        now = lists.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
         # the most central set first, then others: a hub is of use once
-        rank = F.col("score") if step == 0 else F.xxhash64("id", F.lit(step)).cast("double")
-        now = now.withColumn("rank", rank)
-        # lists of one component have nothing left to verify
-        open_ = now.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct("rank", "id", "n", "comp", "pos")).alias("hub")).where("lo <> hi")
+        now = now.withColumn("rank", F.col("score") if step == 0 else F.xxhash64("id", F.lit(step)).cast("double"))
         if last:
             size = now.groupBy("token", "comp").agg(F.count("*").alias("m"))
             main = size.groupBy("token").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"), F.count("*").alias("k")).where("k > 1").drop("k")
@@ -233,30 +231,47 @@ def _large_links(sets: DataFrame, small: DataFrame, x: int, per_cent: int) -> Da
                 f"lcomp <> comp and (comp = main or lid < id) and {_fits('ln', 'n', per_cent)} and greatest(ln, n) > {x}"
                 f" and {_linked('ln', 'n', 'least(ln - lpos, n - pos)', per_cent)}"
             )
-            pairs = pairs.select(F.least("lid", "id").alias("u"), F.greatest("lid", "id").alias("v")).distinct()
+            other = ("lid", "lcomp")
         else:
+            # lists of one component have nothing left to verify
+            open_ = now.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct("rank", "id", "n", "comp", "pos")).alias("hub")).where("lo <> hi")
             pairs = now.join(open_, "token").where(
                 f"comp <> hub.comp and {_fits('n', 'hub.n', per_cent)} and greatest(n, hub.n) > {x} and {_linked('n', 'hub.n', 'least(n - pos, hub.n - hub.pos)', per_cent)}"
             )
-            pairs = pairs.select(F.least("id", "hub.id").alias("u"), F.greatest("id", "hub.id").alias("v")).distinct()
+            other = ("hub.id", "hub.comp")
+        pairs = pairs.select(*(f(a, b).alias(c) for (a, b), names in ((("id", other[0]), "uv"), (("comp", other[1]), ("cu", "cv"))) for f, c in zip((F.least, F.greatest), names, strict=True)))
+        pairs = pairs.distinct()
         if seen is not None:
             pairs = pairs.join(seen, ["u", "v"], "left_anti")
         found = written(_verified(pairs, sets, per_cent), "verified")
-        links = links.unionByName(found.where("link").select("u", "v"))
-        seen = found.select("u", "v") if seen is None else seen.unionByName(found.select("u", "v"))
-        new = not found.where("link").isEmpty()
-        if new:
-            comps = components(found.where("link").select("u", "v").unionByName(comps.where("id <> comp").select(F.col("id").alias("u"), F.col("comp").alias("v"))))
+        links = found.where("link")
+        if not links.isEmpty():
+            # components merge by their labels; sets that had no link so far are labels of their own
+            merged = components(links.select(F.col("cu").alias("u"), F.col("cv").alias("v")))
+            alone = links.select(F.explode(F.array("cu", "cv")).alias("id")).distinct().join(comps, "id", "left_anti")
+            after = written(relabelled(comps.unionByName(alone.withColumn("comp", F.col("id"))), merged.where("id <> comp").select(F.col("id").alias("comp"), F.col("comp").alias("to"))), "components")
+            forget(spark, comps, merged)
+            comps = after
+        if not last:
+            seen = found.select("u", "v") if seen is None else seen.unionByName(found.select("u", "v"))
+    forget(spark, lists)
     return comps
 
 
 def classes(df: DataFrame, key: str = "doc_id", text: str = "text", ngram: int = NGRAM, per_cent: int = PER_CENT) -> DataFrame:
     """(key, n_shingles, component_id) of each row: the smallest key reachable by links of ``per_cent`` or more."""
     spark = df.sparkSession
-    small_batches(spark)
-    # lets the scan of all texts drop rows before they are shuffled to the few that remain
-    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "0")
-    rows = texts(df, F.col(key).cast("long").alias("id"), text=text)
+    # the second lets the scan of all texts drop rows before they are shuffled to the few that remain
+    with batches(spark), settings(spark, spark__sql__optimizer__runtime__bloomFilter__applicationSideScanSizeThreshold="0"):
+        base, moved = _classes(texts(df, whole_key(df, key).alias("id"), text=text), ngram, per_cent)
+    own = F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.coalesce("comp", "id")).otherwise(F.col("id"))
+    out = base.join(moved, "sig", "left").select(F.col("id").alias("row_id"), F.col("n").cast("long").alias("n_shingles"), own.alias("component_id"))
+    return out.select(F.col("row_id").cast(df.schema[key].dataType).alias(key), "n_shingles", F.col("component_id").cast(df.schema[key].dataType).alias("component_id"))
+
+
+def _classes(rows: DataFrame, ngram: int, per_cent: int) -> tuple[DataFrame, DataFrame]:
+    """(id, rid, n, sig) of all rows, and (sig, comp) of the sets whose component is not their own id; both written."""
+    spark = rows.sparkSession
 
     def first(ids: list, items: list) -> list[tuple]:
         out = []
@@ -289,15 +304,17 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", ngram: int =
     sets = written(sets.select("id", "n", "items"), "candidates")
 
     sizes = sets.groupBy(F.least("n", F.lit(BOUNDARIES[-1] + 1)).alias("n")).count().collect()  # at most as many rows as the last boundary
-    x = boundary({r["n"]: r["count"] for r in sizes if r["n"] <= BOUNDARIES[-1]}, 0, per_cent)
-    comps = _large_links(sets, written(_small_links(sets, x, per_cent), "small"), x, per_cent)
+    x = boundary({r["n"]: r["count"] for r in sizes if r["n"] <= BOUNDARIES[-1]}, per_cent)
+    # an id with several texts is one vertex: their sets are in one component
+    several = known.groupBy("id").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).where("lo <> hi").select("id")
+    same = known.join(several, "id", "left_semi").select("sig", F.col("id").alias("v")).join(equal.select("sig", F.col("rep.id").alias("u")), "sig").where("u <> v").select("u", "v")
+    small = written(_small_links(sets, x, per_cent).unionByName(same), "small")
+    comps = _large_links(sets, small, x, per_cent)
 
     moved = equal.select("sig", "copies", F.col("rep.id").alias("id")).join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     moved = written(moved.where("copies > 1 or comp <> id").select("sig", "comp"), "moved")
-    out = base.join(moved, "sig", "left").select(
-        F.col("id").alias(key), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.coalesce("comp", "id")).otherwise(F.col("id")).alias("component_id")
-    )
-    return out
+    forget(spark, equal, again, count, sets, small, comps)
+    return base, moved
 
 
 def representatives(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -20,10 +20,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import forget, written
 
-#: Tokens of a block, on average; sources that the driver's plan may hold.
-BLOCK_TOKENS, MAX_SOURCES = 20_000, 1_000_000
+#: Tokens of a block, on average; blocks of a cell; sources that the driver's plan may hold.
+BLOCK_TOKENS, CELL, MAX_SOURCES = 20_000, 1_024, 1_000_000
 
 
 @dataclass(frozen=True)
@@ -117,10 +117,9 @@ def mix(
     """
     spark = df.sparkSession
     kept = df.columns if keep is None else list(keep)
-    rows = df.select(
-        F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row"), F.col(source).alias("src"), F.xxhash64(F.lit(seed), F.col(key)).alias("h"), words(F.col(text)).alias("tokens")
-    )
-    counts = [(r["src"], r["n"]) for r in rows.groupBy("src").agg(F.sum("tokens").alias("n")).sort(F.col("src").asc_nulls_first()).limit(MAX_SOURCES + 1).collect()]
+    base = df.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row"), F.col(source).alias("src"), F.xxhash64(F.lit(seed), F.col(key)).alias("h"), F.col(text).alias("t"))
+    slim = written(base.select("src", "h", words(F.col("t")).alias("tokens")), "tokens")
+    counts = [(r["src"], r["n"]) for r in slim.groupBy("src").agg(F.sum("tokens").alias("n")).sort(F.col("src").asc_nulls_first()).limit(MAX_SOURCES + 1).collect()]
     if len(counts) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
     kind = df.schema[source].dataType.simpleString()
@@ -128,24 +127,36 @@ def mix(
         [(s.source, s.weight, s.passes, s.rest, s.blocks, s.budget / s.tokens if s.tokens else 1.0) for s in plan(counts, target, budget, limit)],
         f"psrc {kind}, weight double, passes int, rest double, blocks long, times double",
     )
-    rows = rows.join(shares, F.col("src").eqNullSafe(F.col("psrc"))).drop("psrc").withColumn("block", F.pmod("h", "blocks"))
-
-    # by blocks: where each stands in the last pass, and how much of its source's rest is left there
-    totals = rows.groupBy("src", "block").agg(F.sum("tokens").alias("bt"), F.first("rest").alias("r"), F.first("passes").alias("ps"))
-    order = Window.partitionBy("src").orderBy(_place(F.col("ps"), seed), "block")
-    totals = totals.withColumn("done", F.coalesce(F.sum("bt").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    totals = totals.where("r > 0 and done < r").select(
-        F.col("src").alias("bsrc"), F.col("block").alias("bblock"), (F.col("r") - F.col("done")).alias("left"), (F.col("bt") + F.col("done") <= F.col("r")).alias("whole")
-    )
-    totals = written(totals, "blocks")  # its size is known now: Spark broadcasts it only below its threshold
-    same = F.col("src").eqNullSafe(F.col("bsrc")) & (F.col("block") == F.col("bblock"))
-    whole = rows.join(totals.where("whole"), same, "left")
-    taken = whole.where((F.col("passes") > 0) | F.col("whole")).withColumn(
+    cuts = written(_cuts(slim, shares, seed), "cuts")  # its size is known now: Spark broadcasts it only below its threshold
+    forget(spark, slim)
+    sources = shares.join(cuts, F.col("psrc").eqNullSafe(F.col("csrc")), "left").drop("csrc")
+    rows = base.join(sources, F.col("src").eqNullSafe(F.col("psrc"))).drop("psrc").withColumn("block", F.pmod("h", "blocks")).withColumn("last", _place(F.col("passes"), seed))
+    whole = (F.col("rest") > 0) & (F.col("cut").isNull() | (F.struct("last", "block") < F.struct("cut.place", "cut.block")))
+    taken = rows.withColumn("whole", whole).where((F.col("passes") > 0) | F.col("whole")).withColumn("tokens", words(F.col("t"))).withColumn(
         "pass", F.explode(F.sequence(F.lit(0), F.col("passes") - F.when(F.col("whole"), 0).otherwise(1)))
     )
+    # the one block of each source in which its budget ends, document by document; words are counted in those blocks alone
     upto = Window.partitionBy("src", "block").orderBy("h", "tokens", F.xxhash64("row"))
-    cut = rows.join(totals.where("not whole"), same).withColumn("upto", F.sum("tokens").over(upto.rowsBetween(Window.unboundedPreceding, 0)))
-    cut = cut.where("upto <= left").withColumn("pass", F.col("passes"))
+    cut = rows.where("rest > 0 and block = cut.block").withColumn("tokens", words(F.col("t"))).withColumn("upto", F.sum("tokens").over(upto.rowsBetween(Window.unboundedPreceding, 0)))
+    cut = cut.where("upto <= cut.left").withColumn("pass", F.col("passes"))
     columns = ["row", "tokens", "weight", "pass", "block", "blocks", "times", "h", "src"]
     out = taken.select(*columns).unionByName(cut.select(*columns))
     return out.select("row", "tokens", "weight", "pass", "block", ((F.col("pass") + _place(F.col("pass"), seed)) / F.greatest("times", F.lit(1e-12))).alias("mix_at"), F.xxhash64("h", "pass").alias("slot"))
+
+
+def _cuts(slim: DataFrame, shares: DataFrame, seed: int) -> DataFrame:
+    """(csrc, cut): where in its last pass a source's rest ends, the place and number of that block and the tokens left for it.
+
+    Tokens before a block are summed at two levels, by cells of about ``CELL`` blocks and within a cell, so
+    that no task sees all blocks of a source; a cell or block is aggregated before any exchange.
+    """
+    rows = slim.join(shares, F.col("src").eqNullSafe(F.col("psrc"))).where("rest > 0").withColumn("block", F.pmod("h", "blocks"))
+    blocks = rows.groupBy("src", "block").agg(F.sum("tokens").alias("bt"), F.first("rest").alias("r"), F.first("passes").alias("passes"), F.first("blocks").alias("blocks"))
+    blocks = blocks.withColumn("place", _place(F.col("passes"), seed)).withColumn("cell", F.floor(F.col("place") * F.ceil(F.col("blocks") / CELL)))
+    cells = blocks.groupBy("src", "cell").agg(F.sum("bt").alias("ct"))
+    before = Window.partitionBy("src").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.select(F.col("src").alias("cell_src"), F.col("cell").alias("cell_no"), F.coalesce(F.sum("ct").over(before), F.lit(0)).alias("ahead"))
+    within = Window.partitionBy("src", "cell").orderBy("place", "block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("own", F.coalesce(F.sum("bt").over(within), F.lit(0)))
+    blocks = blocks.join(cells, F.col("src").eqNullSafe(F.col("cell_src")) & (F.col("cell") == F.col("cell_no"))).withColumn("left", F.col("r") - F.col("ahead") - F.col("own"))
+    return blocks.where("bt > left").groupBy(F.col("src").alias("csrc")).agg(F.min(F.struct("place", "block", "left")).alias("cut"))

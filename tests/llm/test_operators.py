@@ -6,6 +6,8 @@ The fixture holds nulls, empty and long texts, repeated rows and copies, and a c
 import collections
 import hashlib
 import html as htmllib
+import itertools
+import math
 import random
 import re
 import time
@@ -419,6 +421,48 @@ def test_mixing_weights_passes_and_budget(docs, none):
     assert mixing.mix(none).count() == 0
 
 
+@pytest.mark.parametrize("cell", [1024, 2])
+def test_mixing_equals_a_plain_walk_through_the_blocks(spark, monkeypatch, cell):
+    """Weights by a grid search of their own, and each source's last pass by walking its blocks one by one."""
+    monkeypatch.setattr(mixing, "BLOCK_TOKENS", 40)
+    monkeypatch.setattr(mixing, "CELL", cell)
+    rng = random.Random(8)
+    data = [(i, " ".join(["w"] * rng.randrange(0, 30)), rng.choice(["a", "a", "a", "a", "b", "b", None]), i, "x") for i in range(400)]
+    data += [(7, "w w w", "a", 1, "x")] * 3  # repeated rows, and names that the operator uses itself
+    df = spark.createDataFrame(data, "doc_id long, text string, source string, h long, block string").repartition(3)
+    n = collections.Counter()
+    for _, t, s, _, _ in data:
+        n[s] += len(t.split())
+    budget, target = 3000.0, 0.97
+    weights = lambda a: {s: c**a / sum(x**a for x in n.values()) for s, c in n.items()}
+    best = min((k / 20000 for k in range(20001)), key=lambda a: abs(-sum(w * math.log(w) for w in weights(a).values()) - target * math.log(3)))
+    got = mixing.mix(df, target=target, budget=budget, limit=None).select("row.*", *(F.col(c).alias(f"mix_{c}") for c in ("tokens", "weight", "pass", "block")), "mix_at").collect()
+    for s, w in weights(best).items():
+        own, docs_ = [r for r in got if r["source"] == s], [d for d in data if d[2] == s]
+        assert abs(own[0]["mix_weight"] - w) < 1e-3
+        share = own[0]["mix_weight"] * budget
+        passes, rest = int(share // n[s]), share % n[s]
+        for k in range(passes):
+            assert sorted(r["doc_id"] for r in own if r["mix_pass"] == k) == sorted(d[0] for d in docs_)
+        last = [r for r in own if r["mix_pass"] == passes]
+        blocks = max(1, -(-n[s] // 40))
+        place = df.where(F.col("source").eqNullSafe(F.lit(s))).select("doc_id", F.pmod(F.xxhash64(F.lit(0), "doc_id"), F.lit(blocks)).alias("b"), F.xxhash64(F.lit(0), "doc_id").alias("k"), "text")
+        place = place.select("*", F.pmod(F.xxhash64(F.col("b"), F.lit(passes), F.lit(0)), F.lit(1 << 40)).alias("p")).collect()
+        used, want = 0, []
+        for (_, b), members in sorted(((key, list(g)) for key, g in itertools.groupby(sorted(place, key=lambda r: (r["p"], r["b"])), key=lambda r: (r["p"], r["b"]))), key=lambda x: x[0]):
+            size = sum(len(r["text"].split()) for r in members)
+            if used + size <= rest + 1e-9:
+                want += [r["doc_id"] for r in members]
+                used += size
+                continue
+            for r in sorted(members, key=lambda r: (r["k"], len(r["text"].split()))):
+                used += len(r["text"].split())
+                if used <= rest + 1e-9:
+                    want.append(r["doc_id"])
+            break
+        assert sorted(r["doc_id"] for r in last) == sorted(want), s
+
+
 # --- quality
 
 
