@@ -1,9 +1,11 @@
 """Document fingerprints: a Merkle tree over pieces, paragraphs and sections, in DataFrame functions only.
 
-A paragraph is a line; its node hashes the whole paragraph, its leaves hash pieces of it (16
-code points in paragraphs of up to 160, else 48). A section ends after a blank paragraph and
-where a paragraph's hash says so (one in eight), so that an edit moves no other section. A
-section's node hashes its paragraphs, the root hashes the sections.
+A paragraph is a line; its node hashes the whole paragraph (128 bits of SHA-256), its leaves hash
+pieces of it (32 bits). Pieces are cut by content, by one rule at every length: after ``LEAST`` code
+points a piece ends behind the first mark or common word ending that a space follows, after ``MOST`` in
+any case, so that an insertion changes the pieces around it and no others. A section ends after a
+blank paragraph and where a paragraph's hash says so (one in eight), so that an edit moves no other
+section. A section's node hashes its paragraphs (128 bits), the root hashes the sections (256 bits).
 
 Written form: ``root|section:paragraph.leaf.leaf,paragraph.leaf,;section:...``. Equal texts have
 equal fingerprints, roots test equality, differing nodes locate edits, and likeness is the
@@ -11,7 +13,8 @@ Dice similarity of the distinct leaves (shared ones over the mean number).
 
 Nulls: a null text is empty; an empty text has a root and no leaf (likeness 1 to another empty
 one, else 0). A null id sorts first (it takes the place of the smallest 64-bit id). Rows that repeat an id are fingerprinted one by one; all
-of them precede the next id, of which the row with the smallest text head counts.
+of them precede the next id, of which the row with the smallest text head counts. The id has to be
+an integer; an empty table gives no rows; long texts are whole; further columns are left aside.
 """
 
 from __future__ import annotations
@@ -19,28 +22,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import fresh, whole_key, written
 
-SHORT, SHORT_PIECE, LONG_PIECE, LEAF_HEX, SECTION = 160, 16, 48, 6, 8
+LEAST, MOST, LEAF_HEX, NODE_HEX, SECTION = 16, 64, 8, 32, 8
+#: A piece: up to a mark or common last letter before a space, or as long as may be.
+PIECE = f"(?s).{{{LEAST},{MOST - 2}}}?[.,;:!?esnt][ ]|.{{1,{MOST}}}"
 _FIRST = -(1 << 63)
 
 
+def _node(x: Column) -> Column:
+    return F.left(F.sha2(x, 256), F.lit(NODE_HEX))
+
+
 def _leaves(p: Column) -> Column:
-    pieces = F.when(F.length(p) <= SHORT, F.regexp_extract_all(p, F.lit(f"(?s).{{1,{SHORT_PIECE}}}"), F.lit(0))).otherwise(
-        F.regexp_extract_all(p, F.lit(f"(?s).{{1,{LONG_PIECE}}}"), F.lit(0))
-    )
-    return F.array_join(F.transform(pieces, lambda x: F.concat(F.lit("."), F.substring(F.hex(F.xxhash64(x)), -LEAF_HEX, LEAF_HEX))), "")
+    return F.array_join(F.transform(F.regexp_extract_all(p, F.lit(PIECE), F.lit(0)), lambda x: F.concat(F.lit("."), F.substring(F.hex(F.xxhash64(x)), -LEAF_HEX, LEAF_HEX))), "")
 
 
 def with_fingerprint(df: DataFrame, text: str, to: str) -> DataFrame:
-    """``df`` with the fingerprint of ``text`` in column ``to``."""
+    """``df`` with the fingerprint of ``text`` in column ``to``; columns of steps get names that ``df`` has not."""
     ends = lambda q: (~F.contains(q, F.lit("."))) | (F.pmod(F.xxhash64(q), F.lit(SECTION)) == 0)
+    p, b, s = (fresh(x, [*df.columns, to]) for x in ("paragraphs", "body", "sections"))
     return (
-        df.withColumn("__p", F.transform(F.split(F.coalesce(text, F.lit("")), "\n", -1), lambda p: F.concat(F.hex(F.xxhash64(p)), _leaves(p))))
-        .withColumn("__b", F.array_join(F.transform("__p", lambda q: F.concat(q, F.when(ends(q), ";").otherwise(","))), ""))
-        .withColumn("__s", F.array_join(F.transform(F.split("__b", ";", -1), lambda s: F.concat(F.substring(F.md5(s), 1, 16), F.lit(":"), s)), ";"))
-        .withColumn(to, F.concat(F.md5(F.regexp_replace("__s", ":[^;]*", "")), F.lit("|"), F.col("__s")))
-        .drop("__p", "__b", "__s")
+        df.withColumn(p, F.transform(F.split(F.coalesce(text, F.lit("")), "\n", -1), lambda x: F.concat(_node(x), _leaves(x))))
+        .withColumn(b, F.array_join(F.transform(p, lambda q: F.concat(q, F.when(ends(q), ";").otherwise(","))), ""))
+        .withColumn(s, F.array_join(F.transform(F.split(b, ";", -1), lambda x: F.concat(_node(x), F.lit(":"), x)), ";"))
+        .withColumn(to, F.concat(F.sha2(F.regexp_replace(s, ":[^;]*", ""), 256), F.lit("|"), F.col(s)))
+        .drop(p, b, s)
     )
 
 
@@ -101,7 +108,7 @@ def digests(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     The edited text has its last quarter replaced by as many first code points of the next text.
     """
     # both branches below read these two columns, so that one exchange of the texts serves them
-    rows = df.select(F.coalesce(F.col(key).cast("long"), F.lit(_FIRST)).alias("k"), F.coalesce(text, F.lit("")).alias("t"))
+    rows = df.select(F.coalesce(whole_key(df, key), F.lit(_FIRST)).alias("k"), F.coalesce(text, F.lit("")).alias("t"))
     before = written(_before(rows.groupBy("k").agg(F.max(F.length("t").cast("long")).alias("n"))), "before")
     placed = rows.join(before, "k")
     heads = with_fingerprint(placed, "t", "fp").select(

@@ -231,6 +231,55 @@ def test_merkle_digests(docs, none, spark):
     assert len(one) == 2 and all(r["doc_id"] is None and r["n_chars"] == 8 for r in one)
 
 
+def brute_fingerprint(text):
+    """The tree in plain Python, and its distinct leaves."""
+    import xxhash
+
+    node = lambda x: hashlib.sha256(x.encode()).hexdigest()[:32]
+    sections, now, leaves = [], "", set()
+    for line in text.split("\n"):
+        pieces, at = [], 0
+        while at < len(line):
+            end = next((e + 2 for e in range(at + 16, at + 63) if line[e : e + 1] in tuple(".,;:!?esnt") and line[e + 1 : e + 2] == " "), min(len(line), at + 64))
+            pieces.append(line[at:end])
+            at = end
+        hashes = [f"{xxhash.xxh64(x.encode(), seed=42).intdigest():X}"[-8:] for x in pieces]
+        leaves |= set(hashes)
+        q = node(line) + "".join("." + h for h in hashes)
+        h = xxhash.xxh64(q.encode(), seed=42).intdigest()
+        if not hashes or h % 8 == 0:
+            sections.append(now + q)
+            now = ""
+        else:
+            now += q + ","
+    sections.append(now)
+    nodes = [node(x) for x in sections]
+    return hashlib.sha256(";".join(nodes).encode()).hexdigest() + "|" + ";".join(f"{a}:{b}" for a, b in zip(nodes, sections, strict=True)), leaves
+
+
+def brute_likeness(a, b):
+    (x, p), (y, q) = brute_fingerprint(a), brute_fingerprint(b)
+    return 1.0 if x.split("|")[0] == y.split("|")[0] else 2 * len(p & q) / (len(p) + len(q)) if p or q else 0.0
+
+
+def test_merkle_equals_a_plain_tree(docs):
+    got = {r["doc_id"]: r for r in merkle.digests(docs.withColumn("k", F.lit("x")).withColumn("t", F.lit(1)).withColumn("fp", F.lit(2)).withColumn("n", F.lit(3))).collect()}
+    order = sorted(TEXTS)
+    for i, k in enumerate(order):
+        t, nxt = TEXTS[k], TEXTS[order[(i + 1) % len(order)]]
+        edited = t[: len(t) - len(t) // 4] + nxt[: len(t) // 4]
+        assert got[k]["fingerprint"] == brute_fingerprint(t)[0] and got[k]["edited_fingerprint"] == brute_fingerprint(edited)[0]
+        assert got[k]["near_edited"] == pytest.approx(brute_likeness(t, edited)) and got[k]["near_next"] == pytest.approx(brute_likeness(t, nxt))
+
+
+def test_merkle_an_insertion_in_a_long_line_changes_few_leaves(spark):
+    rng = random.Random(2)
+    line = " ".join(rng.choice(["stone", "river", "houses,", "green", "walks", "ended."]) + str(i) * (i % 2) for i in range(300))
+    df = spark.createDataFrame([(line, "Odd " + line)], "a string, b string")
+    df = merkle.with_fingerprint(merkle.with_fingerprint(df, "a", "fa"), "b", "fb")
+    assert df.select(merkle.likeness(F.col("fa"), F.col("fb")).alias("x")).first()["x"] > 0.95
+
+
 def test_merkle_edits_are_located(spark):
     a = "\n".join(f"paragraph number {i} says something" for i in range(30))
     b = a.replace("number 17 says", "number 17 shouts")
