@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import avi, bpe, html, jaccard, merkle, mixing, quality, repeats, secrets, warc
+from .oracles import ORACLE_SQL  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,5 +72,3 @@ QUERIES = {
     "op9_secret_automaton": op9_secret_automaton,
     "op10_repeated_strings": op10_repeated_strings,
 }
-
-ORACLE_SQL: dict[str, str] = {}
