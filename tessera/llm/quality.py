@@ -59,8 +59,7 @@ def text_features(text: str, lexicon: dict[str, int]) -> np.ndarray:
     head = [
         upper / n, lower / n, hist[48:58].sum() / n, hist[32] / n, hist[128:].sum() / n, upper / max(1, upper + lower),
         len(text) / count, len(distinct) / count, len(bare) / count, repeats / count, len(full) / count,
-        len(set(full)) / max(1, len(full)), ended / max(1, len(full)), math.log1p(count / max(1, len(full))),
-        len(distinct) / math.sqrt(count), float(not words),
+        len(set(full)) / max(1, len(full)), ended / max(1, len(full)), float(not words),
     ]
     out = np.zeros(len(head) + len(_MARKS) + len(lexicon), np.float64)
     out[: len(head)] = head

@@ -336,6 +336,36 @@ def test_jaccard_chains_small_sets_and_odd_rows(spark):
     assert sorted(n for k, n, c in got if k is None and c is None) == [0, 1]
 
 
+def test_jaccard_ids_of_several_texts(spark):
+    near = lambda w: " ".join(f"{w}{i}" for i in range(40))
+    a, b, c = near("a"), near("b"), near("c")
+    rows_ = [(3, a), (5, a + " x"), (5, b + " x"), (7, b), (8, c), (4, c), (4, c), (6, ""), (6, None)]
+    same = [(13, a + "!"), (15, a + "!"), (15, b + "!"), (17, b + "!")]
+    for data, want in ((rows_, {3: 3, 5: 3, 7: 3, 8: 4, 4: 4, 6: 6}), (same, {13: 13, 15: 13, 17: 13})):
+        df = spark.createDataFrame([(i, t, "x", "y", 1) for i, t in data], "doc_id long, text string, gone string, twice string, n int").repartition(3)
+        got = jaccard.classes(df).collect()
+        assert len(got) == len(data) and all(r["component_id"] == want[r["doc_id"]] for r in got)
+        kept = jaccard.representatives(df)
+        assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} == set(want.values())
+    with pytest.raises(TypeError):
+        jaccard.classes(spark.createDataFrame([("a", "text")], "doc_id string, text string"))
+
+
+def test_boundary_is_chosen_by_cost():
+    assert jaccard.boundary({}) == 0 and 4 <= jaccard.boundary({4: 100, 6: 100, 24: 100}) < 24
+    many = {s: 10 for s in range(1, 25)}
+    costs = {x: sum(len(jaccard._subset_keys(np.arange(s, dtype=np.uint64), 80)) if s <= x else (s // 5 + 1) * 4 + 0.1 * s + 1 for s in many) for x in range(25)}
+    assert costs[jaccard.boundary(many)] == min(costs.values())
+
+
+def test_components_of_hot_vertices(spark, monkeypatch):
+    monkeypatch.setattr(graph, "HOT", 4)
+    edges = [(500, i) for i in range(100, 160)] + [(i, 600) for i in range(140, 200)] + [(600, 601), (7, 601), (900, 901), (900, 900)]
+    got = dict(graph.components(spark.createDataFrame(edges, "u long, v long").repartition(3)).collect())
+    assert {got[i] for i in [*range(100, 200), 500, 600, 601, 7]} == {7} and got[901] == got[900] == 900
+    assert graph.components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
 def test_word_hashes_do_not_depend_on_chunks(monkeypatch):
     items = [b"alpha beta " * 50, b"", b"x" * 900, b"alpha\tbeta  gamma" * 30, b"y" * 300 + b" alpha"]
     whole = jaccard.word_hashes(items)
@@ -562,6 +592,97 @@ def test_quality_pseudo_labels_come_from_all_documents(spark, monkeypatch):
     assert mean["late_bad"] + 0.3 < mean["late_good"]
 
 
+def test_quality_odd_tables(spark):
+    rng = random.Random(6)
+    words = ["alpha", "beta", "river", "stone", "house", "green", "walks", "slowly", "under", "trees"]
+    docs = []
+    for i in range(400):
+        bad = i % 3 == 0
+        w = " ".join(rng.choice(words) for _ in range(30))
+        docs.append((i, w.upper() if bad else w, "en", "spam" if bad else "web", 10, "a", "b", "c", True, 0.5))
+    docs += [(400, "long words here " * 40000, "en", "web", None, "", "", "", True, 0.0), (None, None, None, None, None, None, None, None, None, None), (5, docs[5][1], "en", "web", 10, "a", "b", "c", True, 0.5)]
+    # names that the operator uses itself, or returns
+    d = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars int, id string, mark string, k0 string, accepted boolean, quality double").repartition(3)
+    half = [(i, None if i % 2 else int(i % 3 != 0), (0 if i % 7 else 1) if i % 2 else None) for i in range(300)]  # one label each
+    model = quality.fit(d, spark.createDataFrame([*half, (999, 1, 1), (998, 0, 0)], "doc_id long, quality int, toxic int"))
+    assert model.heads["quality"].both is not None
+    got = quality.score(d, model).collect()
+    assert len(got) == 403 and all(0 <= r["quality"] <= 1 for r in got)
+    right = sum((r["quality"] >= 0.5) == (r["doc_id"] % 3 != 0) for r in got if r["doc_id"] is not None and r["doc_id"] < 400)
+    assert right >= 395
+    kept = quality.accepted(d, model)
+    assert kept.schema.simpleString() == d.schema.simpleString() and kept.count() > 200
+    none = d.limit(0)
+    empty = quality.fit(none, spark.createDataFrame(half, "doc_id long, quality int, toxic int"))
+    assert quality.score(none, empty).count() == 0 and {r["quality"] for r in quality.score(d, empty).collect()} == {0.5}
+    only = quality.fit(d, spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(200)], "doc_id long, toxic int"))
+    assert {r["quality"] for r in quality.score(d, only).collect()} == {0.5}
+    assert {r["toxic"] for r in quality.score(d, quality.fit(d, spark.createDataFrame([(1,)], "doc_id long"))).collect()} == {0.0}
+
+
+def test_quality_views_share_nothing():
+    a = "some words here, and more. "
+    assert (quality.meta_features(["web", "en"], 30) == quality.meta_features(["web", "en"], 30)).all()
+    assert not (quality.meta_features(["web", "en"], None) == quality.meta_features(["web", "en"], 0)).all()
+    # the text view sees shares, not lengths
+    x, y = quality.text_features(a * 400, {}), quality.text_features(a * 800, {})
+    assert np.abs(x - y).max() < 0.05
+
+
+def brute_co_training(t, m, y, fold, rounds, confident, most):
+    """Co-training in plain numpy, with gradient descent instead of Newton steps; rows with y = nan are unlabelled."""
+
+    def fitted(x, label, weight):
+        mean, spread = x.mean(0), x.std(0)
+        z = np.c_[np.ones(len(x)), (x - mean) / np.where(spread > 1e-6, spread, np.inf)]
+        w, ridge = np.zeros(z.shape[1]), np.r_[1e-6, np.full(x.shape[1], 3.0)]
+        rate = 1 / (0.25 * np.linalg.norm(z * np.sqrt(weight)[:, None], 2) ** 2 + 3)
+        for _ in range(30000):
+            w = w + rate * (z.T @ (weight * (label - 1 / (1 + np.exp(-z @ w)))) - ridge * w)
+        return lambda q: w[0] + ((q - mean) / np.where(spread > 1e-6, spread, np.inf)) @ w[1:]
+
+    known, views = ~np.isnan(y), (t, m)
+    base = np.flatnonzero(known & (fold != 0))
+    given = [{}, {}]
+    models = [fitted(x[base], y[base], np.ones(len(base))) for x in views]
+    prior = y[base].mean()
+    for _ in range(rounds):
+        handed = False
+        for k in (0, 1):
+            p = 1 / (1 + np.exp(-models[k](views[k])))
+            for label, sure in ((0, 1 - p), (1, p)):
+                free = [i for i in np.flatnonzero(~known) if sure[i] >= confident and i not in given[1 - k]]
+                for i in sorted(free, key=lambda i: -sure[i])[: max(1, int(most * (prior if label else 1 - prior)))]:
+                    given[1 - k][i] = label
+                    handed = True
+        if not handed:
+            break
+        for k, x in enumerate(views):
+            if given[k]:
+                rows_ = list(given[k])
+                models[k] = fitted(np.r_[x[base], x[rows_]], np.r_[y[base], [given[k][i] for i in rows_]], np.r_[np.ones(len(base)), np.full(len(rows_), 0.5)])
+    return models[0](t), models[1](m)
+
+
+def test_co_training_equals_plain_numpy(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    n = 260
+    y = (rng.random(n) < 0.5).astype(float)
+    t, m = (np.c_[y * 1.6 + rng.normal(0, 1, n), rng.normal(0, 1, (n, 2))].astype(np.float32) for _ in range(2))
+    label = np.where(np.arange(n) < 80, y, np.nan)
+    fold = np.arange(n) % 5
+    monkeypatch.setattr(quality, "CONFIDENT", 0.8)
+    monkeypatch.setattr(quality, "_ROWS", 17)
+    monkeypatch.setattr(quality, "HANDED", 30)
+    monkeypatch.setattr(quality, "SHARE", 1.0)
+    pool = spark.createDataFrame([(i, i * 7, t[i].tobytes(), m[i].tobytes()) for i in range(80, n)], "id long, mark long, t binary, m binary").repartition(4)
+    pair = quality.Pair([t[:80], m[:80]], y[:80], fold[:80])
+    quality.co_train(pool, [pair])
+    a, b = brute_co_training(t.astype(float), m.astype(float), label, fold, quality.ROUNDS, 0.8, 30)
+    assert len(pair.given[0]) > 10 and len(pair.given[1]) > 10
+    assert np.abs(pair.models[0].odds(t) - a).max() < 1e-2 and np.abs(pair.models[1].odds(m) - b).max() < 1e-2
+
+
 # --- repeated strings
 
 
@@ -689,5 +810,36 @@ def test_repeats_of_repeated_rows_nulls_and_ties(spark):
         repeats.digests(df.select(F.col("text").alias("doc_id"), "text"))
 
 
+def test_repeated_rows_and_clashing_names_everywhere(spark):
+    """Rows that come three times give three rows each; the input may have columns named as the operators' own."""
+    data = [(1, "Some text, with words.\ntoken=abcdef99", "s"), (2, "", "s"), (None, None, None)] * 3
+    names = "tokens pass src block t m id mark k n fp row key rid sig data spans ids k0 a b".split()
+    df = spark.createDataFrame([(*r, *["x"] * len(names)) for r in data], "doc_id long, text string, source string, " + ", ".join(f"{n} string" for n in names)).repartition(2)
+    pages = df.select(F.col("doc_id").alias("page_id"), F.col("source").alias("url"), F.col("text").alias("html"), *names)
+    for out, key in (
+        (avi.digests(df), "doc_id"), (html.extract(pages), "page_id"), (merkle.digests(df), "doc_id"), (jaccard.classes(df), "doc_id"),
+        (warc.round_trip(pages), "page_id"), (bpe.digests(df, RANKS, P.PATTERN), "doc_id"), (secrets.digests(df), "doc_id"), (repeats.digests(df), "doc_id"),
+    ):
+        rows_ = [tuple(r) for r in out.collect()]
+        assert collections.Counter(r[out.columns.index(key)] for r in rows_) == {1: 3, 2: 3, None: 3}, out.columns
+        if "fingerprint" not in out.columns:  # the order of the copies of a null id decides what follows it
+            assert len({repr(r) for r in rows_}) == 3
+    assert mixing.mix(df, budget=None).select("row.*").columns == df.columns
+    assert collections.Counter(r["doc_id"] for r in secrets.redact(df).collect()) == {1: 3, 2: 3, None: 3}
+
+
+def test_settings_are_put_back(spark):
+    names = ["spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "spark.sql.parquet.compression.codec", "parquet.enable.dictionary"]
+    before = [spark.conf.get(n, None) for n in names]
+    df = spark.createDataFrame([(1, "a b c " * 50), (2, "a b c " * 50)], "doc_id long, text string")
+    assert repeats.digests(df).count() == jaccard.classes(df).count() == 2
+    warc.round_trip(df.select(F.col("doc_id").alias("page_id"), F.lit("u").alias("url"), F.col("text").alias("html"))).count()
+    assert [spark.conf.get(n, None) for n in names] == before
+    assert 0 < int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 10000
+    with pytest.raises(ZeroDivisionError), common.settings(spark, spark__sql__parquet__compression__codec="gzip"):
+        1 / 0
+    assert [spark.conf.get(n, None) for n in names] == before
+
+
 def test_shared_dir_is_taken_from_the_session(spark):
     assert common.shared_dir(spark) == common.shared_dir(spark)
