@@ -24,6 +24,8 @@ from .common import forget, written
 
 #: Tokens of a block, on average; blocks of a cell; sources that the driver's plan may hold.
 BLOCK_TOKENS, CELL, MAX_SOURCES = 20_000, 1_024, 1_000_000
+#: Sources up to which their plan (some 100 bytes each) is broadcast.
+FEW_SOURCES = 50_000
 
 
 @dataclass(frozen=True)
@@ -123,13 +125,16 @@ def mix(
     if len(counts) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
     kind = df.schema[source].dataType.simpleString()
-    shares = spark.createDataFrame(
-        [(s.source, s.weight, s.passes, s.rest, s.blocks, s.budget / s.tokens if s.tokens else 1.0) for s in plan(counts, target, budget, limit)],
-        f"psrc {kind}, weight double, passes int, rest double, blocks long, times double",
-    )
-    cuts = written(_cuts(slim, shares, seed), "cuts")  # its size is known now: Spark broadcasts it only below its threshold
+    found = [
+        (s.source, s.weight, s.passes, s.rest, s.blocks, s.budget / s.tokens if s.tokens else 1.0) for s in plan(counts, target, budget, limit)
+    ]
+    schema = f"psrc {kind}, weight double, passes int, rest double, blocks long, times double"
+    shares = spark.createDataFrame(found, schema)
+    cuts = {r["csrc"]: r["cut"] for r in _cuts(slim, F.broadcast(shares) if len(found) <= FEW_SOURCES else shares, seed).collect()}  # one row a source
     forget(spark, slim)
-    sources = shares.join(cuts, F.col("psrc").eqNullSafe(F.col("csrc")), "left").drop("csrc")
+    sources = spark.createDataFrame([(*x, cuts.get(x[0])) for x in found], schema + ", cut struct<place:double,block:long,left:double>")
+    if len(found) <= FEW_SOURCES:  # else a join by source, whose skew Spark splits
+        sources = F.broadcast(sources)
     rows = base.join(sources, F.col("src").eqNullSafe(F.col("psrc"))).drop("psrc").withColumn("block", F.pmod("h", "blocks")).withColumn("last", _place(F.col("passes"), seed))
     whole = (F.col("rest") > 0) & (F.col("cut").isNull() | (F.struct("last", "block") < F.struct("cut.place", "cut.block")))
     taken = rows.withColumn("whole", whole).where((F.col("passes") > 0) | F.col("whole")).withColumn("tokens", words(F.col("t"))).withColumn(
@@ -159,4 +164,4 @@ def _cuts(slim: DataFrame, shares: DataFrame, seed: int) -> DataFrame:
     within = Window.partitionBy("src", "cell").orderBy("place", "block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("own", F.coalesce(F.sum("bt").over(within), F.lit(0)))
     blocks = blocks.join(cells, F.col("src").eqNullSafe(F.col("cell_src")) & (F.col("cell") == F.col("cell_no"))).withColumn("left", F.col("r") - F.col("ahead") - F.col("own"))
-    return blocks.where("bt > left").groupBy(F.col("src").alias("csrc")).agg(F.min(F.struct("place", "block", "left")).alias("cut"))
+    return blocks.where("bt > left").groupBy(F.col("src").alias("csrc")).agg(F.min(F.struct("place", "block", F.col("left").cast("double"))).alias("cut"))
