@@ -15,6 +15,8 @@ from .common import forget, written
 MOST_ROUNDS = 64
 #: Tasks that the rows of one hot vertex or label are dealt to, and neighbours from which a vertex is hot.
 SALTS, HOT = 16, 128
+#: Rows up to which changed labels are broadcast (counted first).
+FEW = 20_000
 
 
 def _salt(by: str) -> Column:
@@ -22,9 +24,12 @@ def _salt(by: str) -> Column:
 
 
 def relabelled(labels: DataFrame, moved: DataFrame) -> DataFrame:
-    """``labels`` (id, comp, ...) with the labels that ``moved`` (comp, to) has replaced; a label may have any number of rows."""
-    moved = moved.select("comp", "to", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    rows = labels.withColumn("salt", _salt("id")).join(moved, ["comp", "salt"], "left")
+    """``labels`` (id, comp, ...) with the labels that ``moved`` (comp, to; written) has replaced; a label may have any number of rows."""
+    if moved.count() <= FEW:
+        rows = labels.join(F.broadcast(moved.select("comp", "to")), "comp", "left")
+    else:  # a hot label's rows go to several tasks
+        moved = moved.select("comp", "to", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        rows = labels.withColumn("salt", _salt("id")).join(moved.hint("merge"), ["comp", "salt"], "left")
     return rows.select(*(F.coalesce("to", "comp").alias("comp") if c == "comp" else F.col(c) for c in labels.columns))
 
 

@@ -249,8 +249,9 @@ def _large_links(sets: DataFrame, small: DataFrame, x: int, per_cent: int) -> Da
             # components merge by their labels; sets that had no link so far are labels of their own
             merged = components(links.select(F.col("cu").alias("u"), F.col("cv").alias("v")))
             alone = links.select(F.explode(F.array("cu", "cv")).alias("id")).distinct().join(comps, "id", "left_anti")
-            after = written(relabelled(comps.unionByName(alone.withColumn("comp", F.col("id"))), merged.where("id <> comp").select(F.col("id").alias("comp"), F.col("comp").alias("to"))), "components")
-            forget(spark, comps, merged)
+            moved = written(merged.where("id <> comp").select(F.col("id").alias("comp"), F.col("comp").alias("to")), "moved")
+            after = written(relabelled(comps.unionByName(alone.withColumn("comp", F.col("id"))), moved), "components")
+            forget(spark, comps, merged, moved)
             comps = after
         if not last:
             seen = found.select("u", "v") if seen is None else seen.unionByName(found.select("u", "v"))

@@ -358,8 +358,10 @@ def test_boundary_is_chosen_by_cost():
     assert costs[jaccard.boundary(many)] == min(costs.values())
 
 
-def test_components_of_hot_vertices(spark, monkeypatch):
+@pytest.mark.parametrize("few", [0, 20000])
+def test_components_of_hot_vertices(spark, monkeypatch, few):
     monkeypatch.setattr(graph, "HOT", 4)
+    monkeypatch.setattr(graph, "FEW", few)
     edges = [(500, i) for i in range(100, 160)] + [(i, 600) for i in range(140, 200)] + [(600, 601), (7, 601), (900, 901), (900, 900)]
     got = dict(graph.components(spark.createDataFrame(edges, "u long, v long").repartition(3)).collect())
     assert {got[i] for i in [*range(100, 200), 500, 600, 601, 7]} == {7} and got[901] == got[900] == 900
