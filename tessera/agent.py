@@ -16,7 +16,7 @@ from .operators.profile import Profile
 from .plans import validate as v
 from .plans.grain import measure_source
 from .plans.repair import repaired
-from .plans.spec import Agg, Col, QuerySpec, Star, columns, join_along, semantic_diff
+from .plans.spec import Agg, Col, Join, QuerySpec, Star, columns, join_along, semantic_diff
 from .sources.catalog import Catalog, Engine
 
 ATTEMPTS, MOST_ROWS = 3, 500
@@ -51,10 +51,18 @@ class LexiconPlanner:
         if metric is None and ranked and words.re.search(r"\bmost\b|\bfewest\b", question, words.re.I):
             metric = "COUNT"
         kind = words.measure_family(question)
+        if metric is None and ranked and kind:
+            metric = "SUM"
         entity = groups[0] if groups else named[0] if named else None
+        others = [t for t in named if t != entity]
+        if entity and others and words.says_none(question):
+            return self._without(entity, others[0], catalog)
+        if entity and metric is None and words.result_shape(question) == "list":
+            return self._listing(entity, catalog)
+        if entity is None and metric in ("SUM", "AVG") and catalog.sales_root:
+            entity = catalog.sales_root  # a measure without a table is one of the sales
         if entity is None or metric is None:
             raise ValidationError(Failure.NO_PLAN, "the question names no table or no metric that is known here")
-        others = [t for t in named if t != entity]
         if metric == "COUNT":
             target = next((t for t in others if t in catalog.descendants(entity)), entity)
             arg = Col(target, catalog.table(target).key[0]) if catalog.table(target).key else Star()
@@ -89,6 +97,25 @@ class LexiconPlanner:
         return words.gated(plan, question), spec
 
 
+    @staticmethod
+    def _shown(entity: str, catalog: Catalog) -> tuple:
+        label = next((c for c, f in catalog.columns(entity).items() if f == "text"), None)
+        return tuple((Col(entity, c), c) for c in dict.fromkeys([*catalog.table(entity).key, *([label] if label else [])]))
+
+    def _listing(self, entity: str, catalog: Catalog) -> tuple[Intent, QuerySpec]:
+        """All rows of a table: key and name."""
+        return Intent(tables=(entity,), entity=entity, shape="list"), QuerySpec(((entity, entity),), self._shown(entity, catalog))
+
+    def _without(self, entity: str, other: str, catalog: Catalog) -> tuple[Intent, QuerySpec]:
+        """The rows of a table that no row of another refers to, or that refer to none."""
+        between = catalog.edges(entity, other)
+        if len(between) != 1:
+            raise ValidationError(Failure.NO_PLAN, f"{len(between)} references between {entity} and {other}; one is needed")
+        on = tuple((Col(entity, a), Col(other, b)) for a, b in between[0].between(entity))
+        spec = QuerySpec(((entity, entity), (other, other)), self._shown(entity, catalog), (Join(other, on, how="anti"),))
+        return Intent(tables=(entity, other), entity=entity, shape="list"), spec
+
+
 @dataclass
 class Metrics:
     """M8"""

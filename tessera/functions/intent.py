@@ -9,11 +9,11 @@ from dataclasses import dataclass
 # Vocabularies: fixed values.
 HIGH = "most top best highest largest biggest greatest max maximum".split()
 LOW = "least lowest fewest smallest bottom worst min minimum".split()
-MONEY = r"\b(?:revenue|spent|spend|sales|earnings|income|billed|turnover|total(?!\s+(?:number|count)))\b"
+MONEY = "revenue sales turnover income earnings spend spent billed".split()
 COUNT = r"\b(?:how many|number of|count of)\b"
 PRICE = "price prices priced cost costs expensive cheap cheapest pricey".split()
 QUANTITY = "bought sold purchased quantity quantities units popular ordered".split()
-GROUPING = [r"\bper\s+(\w+)", r"\bfor each\s+(\w+)", r"\beach\s+(\w+)", r"\bby\s+(\w+)\s*(?=[?.,;]|$)"]
+GROUPING = "per each every".split()
 RANKING = r"\b(?:top|first|latest|last|best|worst|most|least|highest|lowest|largest|smallest|biggest|longest|shortest|fewest|greatest|cheapest|maximum|minimum|bottom)\b"
 ROWS = r"\b\d+\s+(?:rows?|records?|results?|entries|items|examples)\b"
 LIST = r"^\s*(?:list|show|give|display|which|name|find|get|return)\b"
@@ -44,7 +44,9 @@ def direction(question: str, claim: str | None = None) -> str | None:
 
 
 def asks_money(question: str) -> bool:
-    return re.search(MONEY, question, re.I) is not None
+    """A word for money, or a total that is not one of rows."""
+    low = re.findall(r"\w+", question.lower())
+    return any(w in MONEY or (w == "total" and after not in ("number", "count")) for w, after in zip(low, [*low[1:], ""], strict=True))
 
 
 def asks_count(question: str) -> bool:
@@ -62,7 +64,7 @@ def asks_rows(question: str) -> bool:
 
 def extreme(question: str) -> str | None:
     """MAX for the most expensive, MIN for the cheapest."""
-    if re.search(r"\bmost expensive\b|\bpriciest\b|\bhighest[- ](?:price|cost)", question, re.I):
+    if re.search(r"\bmost expensive\b|\bpriciest\b|\bcostliest\b|\btop[- ]priced\b|\bhighest[- ](?:price|cost)", question, re.I):
         return "MAX"
     return "MIN" if re.search(r"\bcheapest\b|\bleast expensive\b|\blowest[- ](?:price|cost)", question, re.I) else None
 
@@ -94,14 +96,25 @@ def result_shape(question: str) -> str | None:
 
 
 def grouping(question: str) -> list[str]:
-    """What "per X", "for each X", "each X" and a closing "by X" name."""
-    return list(dict.fromkeys(stem(m.lower()) for p in GROUPING for m in re.findall(p, question, re.I)))
+    """What follows "per", "each" or "every", and the one word after a "by" that closes a clause."""
+    out = []
+    for clause in re.split(r"[?.,;!]", question.lower()):
+        low = re.findall(r"\w+", clause)
+        out += [stem(b) for a, b in zip(low, low[1:], strict=False) if a in GROUPING]
+        if low[-2:-1] == ["by"]:
+            out.append(stem(low[-1]))
+    return list(dict.fromkeys(out))
 
 
 def has_activity(question: str) -> bool:
     return re.search(ACTIVITY, question, re.I) is not None
 
 
+def says_none(question: str) -> bool:
+    """Whether rows without something are asked for."""
+    return re.search(r"\b(?:no|without|never|not any|none)\b", question, re.I) is not None
+
+
 def says_sold(question: str) -> bool:
     return re.search(r"\b(?:sold|sales)\b", question, re.I) is not None
 

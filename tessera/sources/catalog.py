@@ -106,6 +106,11 @@ class Catalog:
         """Whether two columns are equated by some declared reference."""
         return any((column_a, column_b) in k.between(a) for k in self.edges(a, b))
 
+    def is_reference(self, a: str, b: str, pairs: Iterable[tuple[str, str]]) -> bool:
+        """Whether equated column pairs (of ``a``, of ``b``) hold all columns of some declared reference."""
+        have = set(pairs)
+        return any(set(k.between(a)) <= have or (a == b and {(y, x) for x, y in k.pairs()} <= have) for k in self.edges(a, b))
+
     def children(self, table: str) -> list[str]:
         return sorted({k.table for k in self.foreign_keys if k.parent == table and k.table != table})
 
@@ -161,14 +166,22 @@ class Catalog:
         return sorted(got)
 
 
-#: Schemas by file, so that opening a folder again reads no footers; a table's file keeps its schema.
-_SCHEMAS: dict[str, StructType] = {}
+#: Schemas by file and when it was written, so that opening an unchanged folder again reads no footers.
+_SCHEMAS: dict[str, tuple[tuple, StructType]] = {}
+
+
+def _written(spark: SparkSession, file: str) -> tuple:
+    """What changes when a table is written anew: the newest time, the number and the bytes of its files."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file)
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
+    return max((f.getModificationTime() for f in found), default=0), len(found), sum(f.getLen() for f in found)
 
 
 def read_table(spark: SparkSession, file: str) -> DataFrame:
-    if file not in _SCHEMAS:
-        _SCHEMAS[file] = spark.read.parquet(file).schema
-    return spark.read.schema(_SCHEMAS[file]).parquet(file)
+    now = _written(spark, file)
+    if file not in _SCHEMAS or _SCHEMAS[file][0] != now:
+        _SCHEMAS[file] = now, spark.read.parquet(file).schema
+    return spark.read.schema(_SCHEMAS[file][1]).parquet(file)
 
 
 class Engine:
@@ -193,9 +206,20 @@ class Engine:
         from .gateway import check_read_only
 
         check_read_only(self.spark, text, self.catalog)
-        for name, df in self.frames.items():
-            df.createOrReplaceTempView(name)
-        return self.spark.sql(text)
+        views = {v.name for v in self.spark.catalog.listTables() if v.isTemporary}
+        before = {n: self.spark.table(n) for n in self.frames if n.lower() in views}
+        try:
+            for name, df in self.frames.items():
+                df.createOrReplaceTempView(name)
+            out = self.spark.sql(text)
+            out.schema  # analysed while the names are this engine's
+            return out
+        finally:  # the session's own views of these names come back
+            for name in self.frames:
+                if name in before:
+                    before[name].createOrReplaceTempView(name)
+                else:
+                    self.spark.catalog.dropTempView(name)
 
     def run_query(self, text: str, most: int = 500) -> dict:
         """Columns and at most ``most`` rows, with whether there were more."""

@@ -16,8 +16,16 @@ from .catalog import Catalog
 QUERY_NODES = frozenset(
     "Project Filter Join Aggregate Sort GlobalLimit LocalLimit Limit Distinct Union Intersect Except SubqueryAlias UnresolvedRelation "
     "UnresolvedSubqueryColumnAliases UnresolvedHaving UnresolvedWith UnresolvedInlineTable OneRowRelation Window WithWindowDefinition "
-    "LateralJoin Generate Offset Deduplicate UnresolvedHint UnresolvedOrderBy UnresolvedTVFAliases Pivot Unpivot".split()
+    "LateralJoin Generate Offset Deduplicate UnresolvedHint UnresolvedOrderBy UnresolvedTVFAliases Pivot Unpivot LocalRelation ResolvedInlineTable "
+    "UnresolvedTableValuedFunction".split()
 )
+#: What the parser leaves to be resolved inside expressions. Fixed values.
+QUERY_NAMES = frozenset(
+    "UnresolvedAttribute UnresolvedStar UnresolvedStarExceptOrReplace UnresolvedFunction UnresolvedAlias UnresolvedExtractValue UnresolvedOrdinal "
+    "UnresolvedGenerator UnresolvedNamedLambdaVariable UnresolvedWindowExpression UnresolvedIdentifier UnresolvedRegex MultiAlias".split()
+)
+#: Table functions that only reshape their arguments. Fixed values.
+TABLE_FUNCTIONS = frozenset("explode explode_outer posexplode posexplode_outer inline inline_outer stack json_tuple range sequence".split())
 #: Functions that reach outside the query. Fixed values.
 DENIED = frozenset("java_method reflect try_reflect input_file_name input_file_block_start input_file_block_length assert_true raise_error version current_user user session_user".split())
 
@@ -49,8 +57,13 @@ def check_read_only(spark: SparkSession, text: str, catalog: Catalog | None = No
     for n in _nodes(tree):
         kind = n["class"].rpartition(".")[2]
         # whatever is no expression is a plan node or a command
-        if ".expressions." not in n["class"] and ".analysis." not in n["class"] and kind not in QUERY_NODES:
+        if ".expressions." not in n["class"] and kind not in QUERY_NODES and not (".analysis." in n["class"] and kind in QUERY_NAMES):
             raise ValidationError(Failure.READ_ONLY, f"{kind} is not part of a query")
+        if kind in ("UnresolvedTableValuedFunction", "UnresolvedGenerator"):
+            name = n.get("functionName", n.get("name", ""))
+            name = _words(name.get("funcName", "") if isinstance(name, dict) else name)
+            if len(name) != 1 or name[0].lower() not in TABLE_FUNCTIONS:
+                raise ValidationError(Failure.READ_ONLY, f"table function {' '.join(name)} is not allowed")
         if kind == "UnresolvedFunction":
             name = _words(n.get("nameParts", ""))[-1:]
             if name and name[0].lower() in DENIED:

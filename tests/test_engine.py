@@ -17,7 +17,8 @@ from tessera.operators.vector import HybridAgent, TfIdf, indexed, route
 from tessera.plans import repair, validate
 from tessera.plans.grain import classify_grains, measure_source, question_grain, root_and_detail
 from tessera.plans.spec import Agg, Bin, Col, Join, Lit, QuerySpec, Star
-from tessera.sources.catalog import Catalog, Engine, ForeignKey, MetadataStore, Table
+from tessera.sources.catalog import Catalog, Engine, ForeignKey, MetadataStore, Table, read_table
+from tessera.sources.gateway import check_read_only
 from tessera.streaming.windows import tumbling
 
 C = Col
@@ -342,3 +343,57 @@ def test_windows_in_a_stream(spark, tmp_path):
     q.awaitTermination(60)
     assert [(r["n"], r["total"]) for r in spark.sql("SELECT * FROM windows WHERE event_type = 'a'").collect()] == [(2, 4.0)]
     assert tumbling(rows).count() == 2
+
+
+def test_the_gate_knows_its_nodes(spark, sales):
+    for text in (
+        "SELECT * FROM python_worker_logs()", "SELECT * FROM orders, LATERAL java_method('a', 'b')", "SELECT * FROM orders LATERAL VIEW reflect('a', 'b') t", "SELECT * FROM read_files('/etc')",
+        "SELECT * FROM json.`/etc/x`", "CACHE TABLE orders", "DESCRIBE orders", "SHOW TABLES", "EXPLAIN SELECT 1", "CREATE TABLE t AS SELECT 1", "TRUNCATE TABLE orders",
+    ):
+        with pytest.raises(ValidationError):
+            check_read_only(spark, text, sales.catalog)
+    for text in (
+        "SELECT * FROM (VALUES (1, 'a'), (2, 'b')) AS t(x, y)", "SELECT explode(array(1, 2)) AS x", "SELECT x FROM orders LATERAL VIEW explode(array(1, 2)) t AS x",
+        "SELECT order_id, row_number() OVER (ORDER BY order_id) AS r FROM orders", "SELECT transform(array(1), x -> x + 1) AS a", "SELECT order_id FROM orders ORDER BY 1 LIMIT 2",
+        "SELECT * FROM orders WHERE EXISTS (SELECT 1 FROM customers WHERE customers.customer_id = orders.customer_id)", "SELECT CASE WHEN 1 IN (1, 2) THEN 'x' END AS c",
+    ):
+        check_read_only(spark, text, sales.catalog)
+
+
+def test_half_of_a_composite_reference_is_no_join(spark):
+    tables = {"lots": Table("lots", spark.createDataFrame([], "site int, lot int, name string").schema, ("site", "lot")), "picks": Table("picks", spark.createDataFrame([], "site int, lot int, n int").schema)}
+    catalog = Catalog(tables, (ForeignKey("picks", ("site", "lot"), "lots", ("site", "lot")),))
+    spec = lambda *pairs: QuerySpec((("a", "lots"), ("b", "picks")), ((Agg("COUNT", Star()), "n"),), (Join("b", tuple((C("a", x), C("b", x)) for x in pairs)),))
+    validate.join_semantics(spec("site", "lot"), catalog)
+    validate.connectivity(spec("site", "lot"), catalog)
+    for pairs in (("site",), ("lot",)):
+        with pytest.raises(ValidationError):
+            validate.join_semantics(spec(*pairs), catalog)
+        with pytest.raises(ValidationError):
+            validate.connectivity(spec(*pairs), catalog)
+
+
+def test_a_table_written_anew_is_read_anew(spark, tmp_path):
+    file = str(tmp_path / "t.parquet")
+    spark.createDataFrame([(1, "x")], "a int, b string").write.parquet(file)
+    assert read_table(spark, file).columns == ["a", "b"]
+    spark.createDataFrame([(2.5,), (3.5,)], "c double").write.mode("overwrite").parquet(file)
+    assert sorted(r["c"] for r in read_table(spark, file).collect()) == [2.5, 3.5]
+
+
+def test_views_of_the_session_stay(spark, sales):
+    spark.range(3).createOrReplaceTempView("orders")
+    try:
+        assert sales.sql("SELECT order_id FROM orders").count() == 5
+        assert spark.table("orders").columns == ["id"]
+        assert "customers" not in {t.name for t in spark.catalog.listTables()}
+    finally:
+        spark.catalog.dropTempView("orders")
+
+
+def test_vocabulary_of_grouping_money_and_markers():
+    assert intent.grouping("Total per customer and each month, by region.") == ["customer", "month", "region"]
+    assert intent.grouping("Parts by quantity sold") == [] and intent.grouping("count by region?") == ["region"]
+    assert intent.asks_money("What is the total?") and not intent.asks_money("the total number of orders") and intent.asks_money("Sales in May")
+    assert verify.figures("1. Ann: 5\n2) Bob: 1,234.5\n3.") == [5.0, 1234.5]
+
