@@ -11,13 +11,14 @@ from .errors import Failure, ValidationError, classify
 from .functions import intent as words
 from .functions import verify
 from .functions.intent import Intent
+from .operators import measures
 from .operators.measures import cross_check
 from .operators.profile import Profile
 from .plans import validate as v
 from .plans.grain import measure_source
 from .plans.repair import repaired
-from .plans.spec import Agg, Col, Join, QuerySpec, Star, columns, join_along, semantic_diff
-from .sources.catalog import Catalog, Engine
+from .plans.spec import Agg, Bin, Col, Join, QuerySpec, Star, columns, join_along, render, semantic_diff
+from .sources.catalog import Catalog, Engine, MetadataStore
 
 ATTEMPTS, MOST_ROWS = 3, 500
 
@@ -156,14 +157,40 @@ def told(columns: list[str], rows: list[list], total: int) -> str:
 class Agent:
     """A6 and the control loop over one engine."""
 
-    def __init__(self, engine: Engine, planner: Planner | None = None, profile: Profile | None = None, equivalences: list[dict] | None = None, answer=told, mode: str = "drop") -> None:
-        self.engine, self.planner, self.profile = engine, planner or LexiconPlanner(), profile
-        self.equivalences, self.answer, self.mode, self.metrics = equivalences or [], answer, mode, Metrics()
+    def __init__(self, engine: Engine, planner: Planner | None = None, profile: Profile | None = None, equivalences: list[dict] | None = None, answer=told, mode: str = "drop", store: MetadataStore | None = None) -> None:
+        self.engine, self.planner, self.profile, self.store = engine, planner or LexiconPlanner(), profile, store
+        self.answer, self.mode, self.metrics = answer, mode, Metrics()
+        self.equivalences = [*(equivalences or []), *(measures.from_text(x) for x in self._learnt().values() if x)]
 
     def on(self, engine: Engine) -> Agent:
         """The same agent over other frames."""
         return Agent(engine, self.planner, self.profile, self.equivalences, self.answer, self.mode)
 
+    def _learnt(self) -> dict:
+        """What the store knows of this catalog: by tried measure, the equivalence as text, or None where the proof failed."""
+        return (self.store.get(MetadataStore.fingerprint(self.engine.catalog), "equivalences") or {}) if self.store else {}
+
+    def learn(self, spec: QuerySpec) -> list[dict]:
+        """H2 in the loop: the query's line arithmetic against the parents' stored totals, each tried once for a catalog."""
+        catalog, found, known = self.engine.catalog, [], self._learnt()
+        for a in spec.aggregates():
+            owners = {v.owner(spec, catalog, c) for c in columns(a.arg)}
+            detail = next(iter(owners)) if len(owners) == 1 else None
+            if a.fn != "SUM" or not isinstance(a.arg, Bin) or detail is None:
+                continue
+            for parent in catalog.parents(detail):
+                for column in sorted(catalog.table(parent).stored_measures):
+                    plain = measures.bare(a.arg)
+                    name = f"{detail}:{render(plain)}:{parent}.{column}"
+                    if name not in known and len(catalog.edges(detail, parent)) == 1:
+                        got = measures.learn_equivalence(self.engine, detail, plain, parent, column)
+                        known[name] = measures.to_text(got) if got else None
+                        found += [got] if got else []
+        if self.store and known:
+            self.store.set(MetadataStore.fingerprint(catalog), "equivalences", known)
+        self.equivalences += found
+        return found
+
     def _timed(self, step: str, f, *args):
         began = time.time()
         try:
@@ -202,6 +229,8 @@ class Agent:
                     if len(rows) == 1 and len(rows[0]) == 1 and isinstance(rows[0][0], (int, float)) and any({c.name for c in columns(a.arg)} == {c.name for c in columns(q["expr"])} for a in spec.aggregates()):
                         warn = cross_check(float(rows[0][0]), self.engine, q, bool(spec.where))
                         result.warnings += [warn] if warn else []
+                if self.store:
+                    self._timed("learn", self.learn, spec)
                 return self._verified(result, df.columns, total, began)
             except ValidationError as e:
                 before, error = str(e), e
@@ -212,12 +241,20 @@ class Agent:
         return Result(f"no answer: {error}", None, attempts=ATTEMPTS, failures=failures, seconds=time.time() - began)
 
     def _verified(self, result: Result, names: list[str], total: int, began: float) -> Result:
+        def findings() -> list[str]:
+            """A2, A4, A5"""
+            off = [] if not result.rows or verify.touches(result.answer, names, result.rows) else ["the answer says nothing of the result"]
+            return off + verify.verify(result.answer, names, result.rows)
+
         if total <= verify.PREVIEW_OVER:
-            issues = verify.verify(result.answer, names, result.rows)
-            if issues and self.answer is not told:
+            issues = findings()
+            if self.answer is told:  # printed from the rows: another try would say the same
+                result.warnings += issues
+                issues = []
+            if issues:
                 result.answer = self.answer(names, result.rows, total)
-                issues = verify.verify(result.answer, names, result.rows)
-            if issues and self.answer is not told:
+                issues = findings()
+            if issues:
                 result.failures = [*result.failures, Failure.UNGROUNDED]
                 result.answer = "NOT VERIFIED: " + "; ".join(issues) + "\n" + result.answer
         result.seconds = time.time() - began

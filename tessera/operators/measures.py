@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.spec import render
+from ..plans.spec import Bin, Col, Lit, render
 from ..sources.catalog import Engine
 
 TOLERANCE, CHECK_TOLERANCE = 0.005, 0.01
@@ -29,6 +29,32 @@ def learn_equivalence(engine: Engine, detail: str, expr: object, parent: str, co
     return {"detail_table": detail, "expr": expr, "parent_table": parent, "parent_col": column, "childless": r["parents"] - r["with_lines"]}
 
 
+def bare(expr: object) -> object:
+    """The expression with columns by name alone."""
+    if isinstance(expr, Bin):
+        return Bin(expr.op, bare(expr.left), bare(expr.right))
+    return Col(None, expr.name) if isinstance(expr, Col) else expr
+
+
+def _listed(expr: object) -> list:
+    if isinstance(expr, Bin):
+        return ["bin", expr.op, _listed(expr.left), _listed(expr.right)]
+    return ["col", expr.rel, expr.name] if isinstance(expr, Col) else ["lit", expr.value]
+
+
+def _read(x: list) -> object:
+    return Bin(x[1], _read(x[2]), _read(x[3])) if x[0] == "bin" else Col(x[1], x[2]) if x[0] == "col" else Lit(x[1])
+
+
+def to_text(equivalence: dict) -> dict:
+    """An equivalence as plain lists and texts, for a store."""
+    return equivalence | {"expr": _listed(equivalence["expr"])}
+
+
+def from_text(stored: dict) -> dict:
+    return stored | {"expr": _read(stored["expr"])}
+
+
 def cross_check(value: float, engine: Engine, equivalence: dict, filtered: bool = False) -> str | None:
     """H3: a warning where an unfiltered result is off the stored total by more than one per cent."""
     if filtered:

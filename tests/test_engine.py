@@ -36,10 +36,10 @@ def sales(spark):
     return engine_of(
         spark,
         {
-            "customers": ("customer_id int, name string, country string", [(1, "Alice", "Canada"), (2, "Bob", "USA"), (3, "Carol", "UK")]),
-            "orders": ("order_id int, customer_id int, status string", [(1, 1, "completed"), (2, 1, "completed"), (3, 2, "completed"), (4, 3, "completed"), (5, 2, "completed")]),
-            "order_items": ("item_id int, order_id int, product_name string, quantity int, unit_price decimal(10,2)", [(1, 1, "Widget", 3, money(9.99)), (2, 1, "Gadget", 1, money(29.99)), (3, 2, "Widget", 5, money(9.99)), (4, 3, "Gizmo", 2, money(49.99)), (5, 4, "Widget", 1, money(9.99))]),
-            "shipments": ("shipment_id int, order_id int, carrier string", [(1, 1, "UPS"), (2, 2, "FedEx"), (3, 3, "UPS")]),
+            "customers": ("customer_id int, name string, country string", [(1, "Noor", "Chile"), (2, "Tove", "Norway"), (3, "Imani", "Kenya")]),
+            "orders": ("order_id int, customer_id int, status string", [(1, 2, "sent"), (2, 1, "sent"), (3, 3, "open"), (4, 2, "sent"), (5, 1, "open")]),
+            "order_items": ("item_id int, order_id int, product_name string, quantity int, unit_price decimal(10,2)", [(1, 1, "Lamp", 2, money(14.5)), (2, 2, "Desk", 1, money(120)), (3, 2, "Lamp", 5, money(14.5)), (4, 4, "Chair", 3, money(45.25)), (5, 5, "Shelf", 1, money(33.4))]),
+            "shipments": ("shipment_id int, order_id int, carrier string", [(1, 2, "rail"), (2, 4, "road"), (3, 5, "rail")]),
             "site_settings": ("setting_id int, setting_value string", [(1, "x")]),
         },
         {"customers": ("customer_id",), "orders": ("order_id",), "order_items": ("item_id",), "shipments": ("shipment_id",), "site_settings": ("setting_id",)},
@@ -52,9 +52,9 @@ def invoices(spark):
     return engine_of(
         spark,
         {
-            "customer_demo": ("customer_id int, name string", [(1, "Alice"), (2, "Bob")]),
-            "invoice_demo": ("invoice_id int, customer_id int, total double", [(1, 1, 100.0), (2, 1, 150.0), (3, 1, 50.0), (4, 2, 200.0)]),
-            "line_demo": ("line_id int, invoice_id int, quantity int, amount double", [(1, 1, 2, 30.0), (2, 1, 5, 8.0), (3, 2, 3, 30.0), (4, 2, 10, 6.0), (5, 3, 1, 50.0), (6, 4, 4, 25.0), (7, 4, 10, 10.0)]),
+            "customer_demo": ("customer_id int, name string", [(1, "Noor"), (2, "Tove")]),
+            "invoice_demo": ("invoice_id int, customer_id int, total double", [(1, 1, 84.0), (2, 1, 126.0), (3, 2, 40.0), (4, 2, 210.0)]),
+            "line_demo": ("line_id int, invoice_id int, quantity int, amount double", [(1, 1, 3, 20.0), (2, 1, 4, 6.0), (3, 2, 2, 33.0), (4, 2, 12, 5.0), (5, 3, 1, 40.0), (6, 4, 6, 20.0), (7, 4, 9, 10.0)]),
         },
         {"customer_demo": ("customer_id",), "invoice_demo": ("invoice_id",), "line_demo": ("line_id",)},
         [("invoice_demo", "customer_id", "customer_demo", "customer_id"), ("line_demo", "invoice_id", "invoice_demo", "invoice_id")],
@@ -83,10 +83,10 @@ def test_fanout_is_found_whatever_the_root(invoices):
     validate.fanout(replace(NAIVE, select=((Agg("MAX", C("i", "total")), "t"),)), c)
     validate.fanout(replace(NAIVE, select=((Agg("SUM", C("l", "amount")), "t"),)), c)
     validate.fanout(replace(NAIVE, select=((Agg("COUNT", Star()), "t"),)), c)
-    assert NAIVE.frame(invoices).first()[0] == 950.0
+    assert NAIVE.frame(invoices).first()[0] == 880.0
     fixed = repair.drop_fanout(NAIVE, c)
-    assert fixed.frame(invoices).first()[0] == 500.0 and "line_demo" in fixed.notes[0]
-    assert repair.drop_fanout(NAIVE, c, "semi").frame(invoices).first()[0] == 500.0
+    assert fixed.frame(invoices).first()[0] == 460.0 and "line_demo" in fixed.notes[0]
+    assert repair.drop_fanout(NAIVE, c, "semi").frame(invoices).first()[0] == 460.0
 
 
 def test_measure_learning_and_optimiser(invoices):
@@ -95,10 +95,10 @@ def test_measure_learning_and_optimiser(invoices):
     assert measures.learn_equivalence(invoices, "line_demo", C(None, "amount"), "invoice_demo", "total") is None
     spec = QuerySpec((("l", "line_demo"),), ((Agg("SUM", Bin("*", C("l", "quantity"), C("l", "amount"))), "t"),))
     better = repair.optimise_measure(spec, [q], invoices.catalog)
-    assert [t for _, t in better.relations] == ["invoice_demo"] and better.frame(invoices).first()[0] == 500.0
+    assert [t for _, t in better.relations] == ["invoice_demo"] and better.frame(invoices).first()[0] == 460.0
     kept = repair.optimise_measure(replace(spec, where=(Bin(">", C("l", "quantity"), Lit(2)),)), [q], invoices.catalog)
     assert kept.relations == spec.relations
-    assert measures.cross_check(500.0, invoices, q) is None and measures.cross_check(900.0, invoices, q)
+    assert measures.cross_check(460.0, invoices, q) is None and measures.cross_check(880.0, invoices, q)
     fails(Failure.SEMANTIC, validate.measure_expression, replace(NAIVE, select=((Agg("SUM", Bin("*", C("i", "total"), C("l", "quantity"))), "t"),)), invoices.catalog)
 
 
@@ -121,7 +121,7 @@ def test_joins_are_repaired(sales):
     fails(Failure.BAD_JOIN, validate.join_semantics, spec, c)
     good = repair.join_path(spec, c)
     validate.validate(good, c)
-    assert sorted(map(tuple, good.frame(sales).collect())) == [("Alice", "FedEx"), ("Alice", "UPS"), ("Bob", "UPS")]
+    assert sorted(map(tuple, good.frame(sales).collect())) == [("Noor", "rail"), ("Noor", "rail"), ("Tove", "road")]
     assert c.bridge(["customers", "shipments"]) == ["customers", "orders", "shipments"]
     loose = QuerySpec((("c", "customers"), ("o", "orders")), ((C("c", "name"), "name"),))
     fails(Failure.MISSING_JOIN, validate.connectivity, loose, c)
@@ -143,10 +143,10 @@ def test_cyclic_keys_are_ambiguous(spark):
 
 
 def test_ties(spark):
-    e = engine_of(spark, {"product_sales": ("product string, revenue int", [("Widget", 500), ("Gadget", 400), ("Gizmo", 300), ("Doohickey", 200), ("Thingamajig", 100), ("Contraption", 100)])}, {}, [])
+    e = engine_of(spark, {"product_sales": ("product string, revenue int", [("Lamp", 910), ("Desk", 640), ("Chair", 515), ("Shelf", 270), ("Stool", 85), ("Bench", 85)])}, {}, [])
     spec = QuerySpec((("p", "product_sales"),), ((C("p", "product"), "product"), (C("p", "revenue"), "revenue")), order_by=((C(None, "revenue"), True),), limit=5)
     got = [r["product"] for r in repair.keep_ties(spec).frame(e).collect()]
-    assert len(got) == 6 and got[:4] == ["Widget", "Gadget", "Gizmo", "Doohickey"]
+    assert len(got) == 6 and got[:4] == ["Lamp", "Desk", "Chair", "Shelf"]
 
 
 def test_profile(sales):
@@ -199,7 +199,7 @@ def test_loop_retries_and_reports(sales):
     agent = Agent(sales, ScriptedPlanner(bad, good), Profile.build(sales))
     r = agent.run("What is the total revenue?")
     assert r.attempts == 2 and r.failures == [Failure.METRIC] and "AGGREGATE_CHANGE" in r.diff
-    assert float(r.rows[0][0]) == 219.88 and "execute" in agent.metrics.summary()
+    assert float(r.rows[0][0]) == 390.65 and "execute" in agent.metrics.summary()
     lost = Agent(sales, ScriptedPlanner(bad)).run("What is the total revenue?")
     assert lost.attempts == 3 and lost.spec is None and len(lost.failures) == 3
     made_up = Agent(sales, ScriptedPlanner(good), answer=lambda c, r, n: "The revenue is 999.99.").run("What is the total revenue?")
@@ -209,26 +209,26 @@ def test_loop_retries_and_reports(sales):
 def test_lexicon_planner(sales):
     agent = Agent(sales)
     r = agent.run("How many orders per customer?")
-    assert sorted((x[1], x[-1]) for x in r.rows) == [("Alice", 2), ("Bob", 2), ("Carol", 1)]
+    assert sorted((x[1], x[-1]) for x in r.rows) == [("Imani", 1), ("Noor", 2), ("Tove", 2)]
     fails(Failure.NO_PLAN, LexiconPlanner().plan, "What is the meaning of it?", sales.catalog)
     report = Report()
-    report.add(Case("How many orders per customer?", "rows_contains", [("Alice", 2), ("Carol", 1)]), r)
+    report.add(Case("How many orders per customer?", "rows_contains", [("Noor", 2), ("Imani", 1)]), r)
     got = report.aggregate()
     assert got["execution_accuracy"] == got["exact_match"] == 1.0 and report.compare({"retry_rate": 0.5})["retry_rate"] == -0.5
     assert score_case(Case("q", "rows_prefix", [("b", 2), ("a", 1)]), "b 2, a 1", [["a", 1], ["b", 2]]) == (True, False)
 
 
 def test_answers_are_verified():
-    rows = [["Widget", 500], ["Gadget", 400]]
-    assert verify.verify("Widget made 500 and Gadget made 400.", ["p", "v"], rows) == []
-    assert verify.verify("Widget made 501.", ["p", "v"], rows) == ["501 is not in the result"]
-    assert "400 is not in the row of widget" in verify.verify("Widget made 400.", ["p", "v"], rows)
-    assert verify.verify("1. Widget: 500\n2. Gadget: 400", ["p", "v"], rows) == []
+    rows = [["Lamp", 720], ["Desk", 355]]
+    assert verify.verify("Lamp made 720 and Desk made 355.", ["p", "v"], rows) == []
+    assert verify.verify("Lamp made 721.", ["p", "v"], rows) == ["721 is not in the result"]
+    assert "355 is not in the row of lamp" in verify.verify("Lamp made 355.", ["p", "v"], rows)
+    assert verify.verify("1. Lamp: 720\n2. Desk: 355", ["p", "v"], rows) == []
     assert verify.grounded("3.14", [3.14159]) and not verify.grounded("3", [3.14159]) and verify.figures("1,234.5 and x12") == [1234.5]
     ties = [["Ann", 9, 1], ["Bob", 9, 1]]
     assert verify.attribution("Ann leads with 9.", ["n", "v", "__rnk"], ties) and not verify.attribution("Ann and Bob tie with 9.", ["n", "v", "__rnk"], ties)
-    assert verify.attribution("Charlie Brown has 500.", ["p", "v"], rows) == ["Charlie Brown is in no row"]
-    assert verify.touches("the widget", ["p"], rows) and not verify.touches("nothing", ["p"], rows)
+    assert verify.attribution("Vera Long has 720.", ["p", "v"], rows) == ["Vera Long is in no row"]
+    assert verify.touches("the lamp", ["p"], rows) and not verify.touches("nothing", ["p"], rows)
     text = verify.preview(["a"], [[i] for i in range(60)], 60)
     assert text.startswith("60 rows") and text.endswith("... and 40 more") and told(["a"], [[3]], 1) == "a: 3"
     assert verify.same_figures("5 of 7", "5 von 8") == {7.0, 8.0}
@@ -310,7 +310,7 @@ def test_catalog_gate_and_store(sales, tmp_path):
     assert sales.catalog.describe("orders")[0] == {"name": "order_id", "type": "int", "nullable": True, "primary_key": True}
     assert len(sales.catalog.list_foreign_keys("orders")) == 3 and "orders" in sales.catalog.subset(["orders", "customers"]).context()
     got = sales.run_query("SELECT name FROM customers ORDER BY name", most=2)
-    assert got == {"columns": ["name"], "rows": [["Alice"], ["Bob"]], "row_count": 2, "truncated": True}
+    assert got == {"columns": ["name"], "rows": [["Imani"], ["Noor"]], "row_count": 2, "truncated": True}
     for text in ("DROP TABLE orders", "SELECT * FROM nowhere", "SELECT 1; SELECT 2", "SET x = 1", "INSERT INTO orders VALUES (1, 1, 'x')"):
         with pytest.raises(ValidationError):
             sales.run_query(text)
@@ -397,3 +397,24 @@ def test_vocabulary_of_grouping_money_and_markers():
     assert intent.asks_money("What is the total?") and not intent.asks_money("the total number of orders") and intent.asks_money("Sales in May")
     assert verify.figures("1. Ann: 5\n2) Bob: 1,234.5\n3.") == [5.0, 1234.5]
 
+
+def test_the_loop_learns_once_and_remembers(invoices, tmp_path):
+    stored = replace(invoices.catalog.tables["invoice_demo"], stored_measures=frozenset({"total"}))
+    engine = Engine(invoices.spark, invoices.frames, Catalog(invoices.catalog.tables | {"invoice_demo": stored}, invoices.catalog.foreign_keys))
+    line = Bin("*", C("l", "quantity"), C("l", "amount"))
+    spec = QuerySpec((("l", "line_demo"),), ((Agg("SUM", line), "t"),))
+    store = MetadataStore(str(tmp_path / "facts.json"))
+    first = Agent(engine, ScriptedPlanner(spec), store=store)
+    assert first.run("What is the total revenue?").rows == [[460.0]] and len(first.equivalences) == 1 and first.metrics.counts["learn"] == 1
+    again = Agent(engine, ScriptedPlanner(spec), store=MetadataStore(str(tmp_path / "facts.json")))
+    got = again.run("What is the total revenue?")
+    assert got.rows == [[460.0]] and [t for _, t in got.spec.relations] == ["invoice_demo"]
+    assert again.learn(spec) == [] and len(again.equivalences) == 1
+
+
+def test_an_answer_has_to_speak_of_the_result(sales):
+    spec = QuerySpec((("c", "customers"),), ((C("c", "name"), "name"),))
+    off = Agent(sales, ScriptedPlanner((Intent(shape="list"), spec)), answer=lambda c, r, n: "All is well.").run("List the customers")
+    assert off.answer.startswith("NOT VERIFIED") and Failure.UNGROUNDED in off.failures
+    fine = Agent(sales, ScriptedPlanner((Intent(shape="list"), spec))).run("List the customers")
+    assert not fine.warnings and "Imani" in fine.answer
