@@ -20,6 +20,9 @@ bound per range partition, and about 32 sampled keys to draw each bound from. Ea
 the shared folder. Neighbours' prefixes are compared by 128 bits of hash of their ``size`` bytes, which
 travel with each suffix in place of the bytes. A suffix's place is its bundle and its position there.
 
+A row holds what one bundle has in one range partition. These rows grow with the square of the
+input, so Python reads and makes them by whole columns, and never one by one.
+
 Nothing goes in: nothing comes out. Strings that repeat an (id, mark, at) count as one.
 """
 
@@ -33,38 +36,77 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, kinds, map_rows, written
+from .common import forget, kinds, written
 from .jaccard import _mix
 
 #: Bytes of one bundle, and suffixes of one range partition.
 BUNDLE, PART = 1 << 19, 1 << 19
+#: Bytes that go from Python to Spark at once.
+SENT = 1 << 22
 #: Bounds are drawn from this many suffixes of each of at least this many bundles.
 DRAW, DRAWN = 256, 32
 
 
-def _stream(df: DataFrame, fn, schema: str) -> DataFrame:
-    """``fn`` (row as dict -> dicts) over rows, with binary columns passed on as they are."""
+def _schema(text: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
-    arrow = to_arrow_schema(_parse_datatype_string(schema))
+    return to_arrow_schema(_parse_datatype_string(text))
+
+
+def _stream(df: DataFrame, fn, schema: str) -> DataFrame:
+    """``fn`` (row as dict -> lists of columns) over rows, with binary columns passed on as they are."""
+    arrow = _schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(b.num_rows):
-                for out in fn(b.slice(k, 1).to_pylist()[0]):
-                    yield pa.RecordBatch.from_pylist([out], schema=arrow)
+                for columns in fn(b.slice(k, 1).to_pylist()[0]):
+                    out = pa.RecordBatch.from_arrays([_column(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+                    step = max(1, out.num_rows * SENT // max(1, out.nbytes))
+                    for at in range(0, out.num_rows, step):
+                        yield out.slice(at, step)
 
     return df.mapInArrow(run, schema)
 
 
 def _grouped(df: DataFrame, fn, schema: str) -> DataFrame:
-    """``fn`` (rows of one range partition -> dicts)."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
+    """``fn`` (rows of one range partition -> columns)."""
+    arrow = _schema(schema)
+    return df.groupBy("p").applyInArrow(lambda t: pa.Table.from_arrays([_column(c, f.type) for c, f in zip(fn(t), arrow, strict=True)], schema=arrow), schema)
+
+
+def _bundled(base: DataFrame, lists: DataFrame, fn, schema: str) -> DataFrame:
+    """``fn`` (a bundle's row of ``base`` as dict, the bundle's rows of ``lists`` -> columns): no rows where it gives None."""
+    arrow = _schema(schema)
+
+    def run(own: pa.Table, found: pa.Table) -> pa.Table:
+        columns = fn(own.to_pylist()[0], found) if own.num_rows else None
+        return arrow.empty_table() if columns is None else pa.Table.from_arrays([_column(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+
+    return base.groupBy("bundle").cogroup(lists.groupBy("bundle")).applyInArrow(run, schema)
+
 
-    arrow = to_arrow_schema(_parse_datatype_string(schema))
-    return df.groupBy("p").applyInArrow(lambda t: pa.Table.from_pylist(fn(t.to_pylist()), schema=arrow), schema)
+def _column(values, kind: pa.DataType) -> pa.Array:
+    values = values.combine_chunks() if isinstance(values, pa.ChunkedArray) else values
+    return values if isinstance(values, pa.Array) else pa.array(values, kind)
+
+
+def _values(column: pa.ChunkedArray, dtype: str) -> tuple[np.ndarray, np.ndarray]:
+    """What all rows of a column of packed numbers hold, in one array, and how many each row has; no row is touched by itself."""
+    column = column.combine_chunks()
+    if not len(column):
+        return np.zeros(0, dtype), np.zeros(0, np.int64)
+    _, offsets, data = column.buffers()
+    edge = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    values = np.frombuffer(data, np.uint8)[edge[0] : edge[-1]] if edge[-1] > edge[0] else np.zeros(0, np.uint8)
+    return values.view(dtype), np.diff(edge) // np.dtype(dtype).itemsize
+
+
+def _packed(values: np.ndarray, edge: np.ndarray) -> pa.Array:
+    """A binary column with ``values`` from each of ``edge`` to the next."""
+    values = np.ascontiguousarray(values)
+    return pa.Array.from_buffers(pa.binary(), len(edge) - 1, [None, pa.py_buffer((edge * values.itemsize).astype(np.int32)), pa.py_buffer(values)])
 
 
 def bundles(strings: DataFrame) -> DataFrame:
@@ -72,11 +114,8 @@ def bundles(strings: DataFrame) -> DataFrame:
 
     ``seg`` holds (id, mark, at, length) of each string, ``sym`` the bytes plus one with a 0 after each string.
     """
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-
     schema = "bundle long, seg binary, sym binary"
-    arrow = to_arrow_schema(_parse_datatype_string(schema))
+    arrow = _schema(schema)
 
     def pack(number: int, held: list) -> pa.RecordBatch:
         seg = np.array([(i, m, a, len(d)) for i, m, a, d in held], np.int64)
@@ -224,46 +263,47 @@ def _named(level: DataFrame, dtype: str, count: int, total: int) -> tuple[DataFr
         at = _sampled(len(sym) - 3)
         if len(at):
             at = at[np.linspace(0, len(at) - 1, DRAW).astype(int)]
-            yield {"keys": np.stack([sym[at], sym[at + 1], sym[at + 2]], axis=1).tobytes()}
+            yield [[np.stack([sym[at], sym[at + 1], sym[at + 2]], axis=1).tobytes()]]
 
     parts = -(-total // PART)
     bounds = _bounds(_draw(level.select("bundle", "sym"), count, parts, draw), parts)
 
-    def emit(r: dict) -> Iterator[dict]:
+    def emit(r: dict) -> Iterator[list]:
         keys, _ = _triples(r["sym"], dtype)
-        part = np.r_[0, _below(keys, list(bounds.T)), len(keys[0])] if len(bounds) else np.array([0, len(keys[0])])
-        for p, (lo, hi) in enumerate(zip(part[:-1], part[1:], strict=True)):
-            if hi > lo:
-                yield {"p": p, "bundle": r["bundle"]} | {k: v[lo:hi].astype(dtype).tobytes() for k, v in zip("abc", keys, strict=True)}
-
-    def rank(rows: list[dict]) -> list[dict]:
-        a, b, c = (np.concatenate([np.frombuffer(r[k], dtype) for r in rows]).astype(np.int64) for k in "abc")
+        edge = np.r_[0, _below(keys, list(bounds.T)), len(keys[0])] if len(bounds) else np.array([0, len(keys[0])])
+        own = np.flatnonzero(np.diff(edge))
+        edge = np.r_[edge[own], len(keys[0])]  # range partitions without a triple take no room
+        yield [own, np.full(len(own), r["bundle"]), *(_packed(k.astype(dtype), edge) for k in keys)]
+
+    def rank(t: pa.Table) -> list:
+        (a, n), (b, _), (c, _) = (_values(t[k], dtype) for k in "abc")
+        a, b, c = (x.astype(np.int64) for x in (a, b, c))
         order = _order(a, b, c)
         a, b, c = a[order], b[order], c[order]
         new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1])]
-        name = np.empty(len(a), np.int64)
+        name = np.empty(len(a), np.int32)
         name[order] = np.cumsum(new)
-        cuts = np.cumsum([len(r["a"]) // np.dtype(dtype).itemsize for r in rows])[:-1]
-        return [{"p": r["p"], "bundle": r["bundle"], "name": x.astype(np.int32).tobytes(), "n": int(new.sum())} for r, x in zip(rows, np.split(name, cuts), strict=True)]
+        return [t["p"], t["bundle"], _packed(name, np.r_[0, np.cumsum(n)]), np.full(len(n), new.sum())]
 
     ranks = written(_grouped(_stream(level.select("bundle", "sym"), emit, "p int, bundle long, a binary, b binary, c binary"), rank, "p int, bundle long, name binary, n long"), "names")
     offsets, distinct = _offsets(ranks)
     kind = _kind(distinct)
 
-    def follow(r: dict) -> Iterator[dict]:
+    def follow(r: dict, found: pa.Table) -> list:
         _, which = _triples(r["sym"], dtype)
-        names = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x["name"], np.int32).astype(np.int64) + offsets[x["p"]] for x in r["names"] or [])])[which]
+        found = found.sort_by("p")
+        names, n = _values(found["name"], "<i4")
+        names = (names + np.repeat(np.array([offsets[p] for p in found["p"].to_pylist()], np.int64), n))[which]
         ones = len(range(1, len(r["sym"]) // np.dtype(dtype).itemsize, 3))
-        yield {"bundle": r["bundle"], "sym": np.r_[names[:ones], 0, names[ones:]].astype(kind).tobytes(), "n": len(names)}
+        return [[r["bundle"]], [np.r_[names[:ones], 0, names[ones:]].astype(kind).tobytes()], [len(names)]]
 
-    lists = ranks.groupBy("bundle").agg(F.array_sort(F.collect_list(F.struct("p", "name"))).alias("names"))  # one bundle's names
-    out = written(_stream(level.select("bundle", "sym").join(lists, "bundle", "left"), follow, "bundle long, sym binary, n long"), "level")
+    out = written(_bundled(level.select("bundle", "sym"), ranks.select("bundle", "p", "name"), follow, "bundle long, sym binary, n long"), "level")
     forget(level.sparkSession, ranks)
     return out, kind, distinct == out.agg(F.sum("n")).first()[0]
 
 
 def _suffixes(rows: DataFrame, dtype: str, kind: str, count: int, total: int, fn, extra: dict[str, str], more, schema: str) -> DataFrame:
-    """Range partitions of all suffixes, each merged and given to ``fn``.
+    """Range partitions of all suffixes, each merged and given to ``fn`` (rows, suffixes of each, further columns, order -> columns).
 
     ``rows`` hold the ranks of the samples, as in ``_sampled``, with one more between the residues.
     ``more`` (row) gives further columns of the suffixes and which of them are needed.
@@ -281,37 +321,44 @@ def _suffixes(rows: DataFrame, dtype: str, kind: str, count: int, total: int, fn
         at = np.arange(1, len(sym) - 3, 3)
         if len(at):
             at = at[np.linspace(0, len(at) - 1, DRAW).astype(int)]
-            yield {"keys": np.stack([rank[at], sym[at], rank[at + 1]], axis=1).tobytes()}
+            yield [[np.stack([rank[at], sym[at], rank[at + 1]], axis=1).tobytes()]]
 
     parts = -(-total // PART)
     bounds = _bounds(_draw(rows.select("bundle", "sym", "rank"), count, parts, draw), parts)
     columns = {"t0": dtype, "t1": dtype, "ra": kind, "rb": kind} | extra
 
-    def emit(r: dict) -> Iterator[dict]:
+    def emit(r: dict) -> Iterator[list]:
         sym, rank = spread(r)
         added, needed = more(r)
+        parts_, held = [], {k: [] for k in columns}
         for residue in range(3):
             at = np.arange(residue, len(sym) - 3, 3)
             at = at[needed[at]]
-            held = {"t0": sym[at], "t1": sym[at + 1] if residue != 1 else at * 0, "ra": rank[at + (residue == 0)], "rb": rank[at + (1 if residue == 1 else 2)]}
-            held |= {k: v[at] for k, v in added.items()}
+            own = {"t0": sym[at], "t1": sym[at + 1] if residue != 1 else at * 0, "ra": rank[at + (residue == 0)], "rb": rank[at + (1 if residue == 1 else 2)]}
+            own |= {k: v[at] for k, v in added.items()}
             if residue:
-                part = np.searchsorted(bounds[:, 0], held["ra"], side="right")
+                part = np.searchsorted(bounds[:, 0], own["ra"], side="right")
             else:
-                part = _below([bounds[:, 1], bounds[:, 2]], [held["t0"], held["ra"]], equal=True)
-            order = _order(part)
-            edge = np.searchsorted(part[order], np.arange(len(bounds) + 2))
-            for p, (lo, hi) in enumerate(zip(edge[:-1], edge[1:], strict=True)):
-                if hi > lo:
-                    yield {"p": p, "bundle": r["bundle"], "residue": residue} | {k: held[k][order[lo:hi]].astype(t).tobytes() for k, t in columns.items()}
-
-    def merge(found: list[dict]) -> list[dict]:
-        found.sort(key=lambda r: (r["residue"], r["bundle"]))
-        have = {q: {k: np.concatenate([np.zeros(0, t), *(np.frombuffer(r[k], t) for r in found if r["residue"] == q)]).astype(np.int64) for k, t in columns.items()} for q in range(3)}
-        order = merged(have)
-        return fn(found, {k: np.concatenate([have[q][k] for q in range(3)]) for k in extra}, order)
-
-    return _grouped(_stream(rows, emit, "p int, bundle long, residue int, " + ", ".join(f"{k} binary" for k in columns)), merge, schema)
+                part = _below([bounds[:, 1], bounds[:, 2]], [own["t0"], own["ra"]], equal=True)
+            parts_.append(part * 3 + residue)
+            for k, kind_ in columns.items():
+                held[k].append(own[k].astype(kind_))
+        part = np.concatenate(parts_)
+        order, n = _order(part), np.bincount(part, minlength=3 * len(bounds) + 3).reshape(-1, 3)
+        own = np.flatnonzero(n.sum(1))
+        n = n[own].astype(np.int32)
+        edge = np.r_[0, np.cumsum(n.sum(1))]
+        yield [own, np.full(len(own), r["bundle"]), *n.T, *(_packed(np.concatenate(held.pop(k))[order], edge) for k in columns)]
+
+    def merge(t: pa.Table) -> list:
+        n = np.stack([t[f"n{q}"].to_numpy() for q in range(3)], axis=1)
+        residue = np.repeat(np.tile(np.arange(3, dtype=np.int8), len(n)), n.ravel())
+        held = {k: _values(t[k], kind_)[0] for k, kind_ in columns.items()}
+        where = [np.flatnonzero(residue == q) for q in range(3)]
+        order = merged({q: {k: held[k][w].astype(np.int64) for k in ("t0", "t1", "ra", "rb")} for q, w in enumerate(where)})
+        return fn(t, n.sum(1), {k: held[k] for k in extra}, np.concatenate(where)[order])
+
+    return _grouped(_stream(rows, emit, "p int, bundle long, n0 int, n1 int, n2 int, " + ", ".join(f"{k} binary" for k in columns)), merge, schema)
 
 
 def _ranked(level: DataFrame, dtype: str, reach: int, size: int, base: DataFrame) -> tuple[DataFrame, str]:
@@ -324,25 +371,24 @@ def _ranked(level: DataFrame, dtype: str, reach: int, size: int, base: DataFrame
         n = len(r["sym"]) // np.dtype(dtype).itemsize
         return {"at": np.arange(n)}, np.ones(n, bool)
 
-    def place(found: list[dict], held: dict[str, np.ndarray], order: np.ndarray) -> list[dict]:
-        rank = np.empty(len(order), np.int64)
+    def place(t: pa.Table, n: np.ndarray, held: dict[str, np.ndarray], order: np.ndarray) -> list:
+        rank = np.empty(len(order), np.int32)
         rank[order] = np.arange(1, len(order) + 1)
-        cuts = np.cumsum([len(r["at"]) // 4 for r in found])[:-1]
-        return [{"p": r["p"], "bundle": r["bundle"], "at": r["at"], "rank": x.astype(np.int32).tobytes(), "n": len(order)} for r, x in zip(found, np.split(rank, cuts), strict=True)]
+        return [t["p"], t["bundle"], t["at"], _packed(rank, np.r_[0, np.cumsum(n)]), np.full(len(n), len(order))]
 
     out = written(_suffixes(samples, dtype, kind, count, total, place, {"at": "<i4"}, more, "p int, bundle long, at binary, rank binary, n long"), "ranks")
     forget(level.sparkSession, samples)
     offsets, number = _offsets(out)
     wide, columns = _kind(number), base.columns
 
-    def gather(r: dict) -> Iterator[dict]:
-        at = np.concatenate([np.frombuffer(x["at"], "<i4") for x in r["parts"]])
+    def gather(r: dict, found: pa.Table) -> list:
+        at, n = _values(found["at"], "<i4")
+        own, _ = _values(found["rank"], "<i4")
         rank = np.empty(len(at), np.int64)
-        rank[at] = np.concatenate([np.frombuffer(x["rank"], np.int32).astype(np.int64) + offsets[x["p"]] for x in r["parts"]])
-        yield {c: r[c] for c in columns} | {"rank": rank.astype(wide).tobytes()}
+        rank[at] = own + np.repeat(np.array([offsets[p] for p in found["p"].to_pylist()], np.int64), n)
+        return [*([r[c]] for c in columns), [rank.astype(wide).tobytes()]]
 
-    lists = out.groupBy("bundle").agg(F.collect_list(F.struct("p", "at", "rank")).alias("parts"))  # one bundle's suffixes
-    ranks = written(_stream(base.join(lists, "bundle"), gather, kinds(base) + ", rank binary"), "ranked")
+    ranks = written(_bundled(base, out.select("bundle", "p", "at", "rank"), gather, kinds(base) + ", rank binary"), "ranked")
     forget(level.sparkSession, out)
     return ranks, wide
 
@@ -372,6 +418,11 @@ def _hashes(sym: np.ndarray, size: int, salt: int) -> np.ndarray:
     return full.view(np.int64)
 
 
+def _new(numbers: np.ndarray) -> np.ndarray:
+    """Where a sorted array has a number for the first time."""
+    return np.r_[True, numbers[1:] != numbers[:-1]][: len(numbers)]
+
+
 def _runs(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First and last of the runs of consecutive numbers in a sorted array."""
     new = np.flatnonzero(np.r_[True, np.diff(at) != 1])
@@ -400,27 +451,28 @@ def repeated(strings: DataFrame, size: int, keep: bool = True) -> DataFrame:
         # more than the symbols that are there are never needed: a window ends within its string
         return {"at": np.arange(len(sym)), "h1": _hashes(sym, size, 0), "h2": _hashes(sym, size, 1)}, within + size <= np.repeat(length, n)
 
-    def compare(found: list[dict], held: dict[str, np.ndarray], order: np.ndarray) -> list[dict]:
-        numbers = np.unique([r["bundle"] for r in found])
-        whose = np.searchsorted(numbers, np.repeat([r["bundle"] for r in found], [len(r["at"]) // 4 for r in found]))
-        place = (whose << 32 | held["at"])[order]
+    def compare(t: pa.Table, n: np.ndarray, held: dict[str, np.ndarray], order: np.ndarray) -> list:
+        numbers, whose = np.unique(t["bundle"].to_numpy(), return_inverse=True)
+        place = (np.repeat(whose, n) << 32 | held["at"])[order]
         h1, h2 = held["h1"][order], held["h2"][order]
         run = np.cumsum(np.r_[False, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])])
         first = np.flatnonzero(np.r_[True, np.diff(run) > 0])
         low = np.minimum.reduceat(place, first)
         edge = (run == 0) | (run == run[-1])  # may go on in the neighbouring partitions
-        p, out = found[0]["p"], []
+        runs, owns, starts = [], [], []
         for which, chosen in ((-1, ~edge & (place > low[run])), (0, run == 0), (int(run[-1]), (run == run[-1]) & (run > 0))):
             own = np.sort(place[chosen])
-            if not len(own):
-                continue
-            cuts = np.flatnonzero(np.r_[True, np.diff(own >> 32) > 0]).tolist()
-            for a, z in zip(cuts, [*cuts[1:], len(own)], strict=True):
-                out.append({"p": p, "run": which, "bundle": int(numbers[own[a] >> 32]), "at": (own[a:z] & 0xFFFFFFFF).astype("<i4").tobytes()})
-        for which in {0, int(run[-1])}:
-            k, head = first[which], int(low[which])
-            out.append({"p": p, "run": which, "head": {"h1": int(h1[k]), "h2": int(h2[k]), "bundle": int(numbers[head >> 32]), "at": head & 0xFFFFFFFF}})
-        return out
+            starts.append(np.flatnonzero(_new(own >> 32)) + sum(map(len, owns)))
+            owns.append(own)
+            runs.append(np.full(len(starts[-1]), which))
+        own, start, ends = np.concatenate(owns), np.concatenate(starts), sorted({0, int(run[-1])})
+        heads = [{"h1": int(h1[k]), "h2": int(h2[k]), "bundle": int(numbers[head >> 32]), "at": head & 0xFFFFFFFF} for k, head in ((first[w], int(low[w])) for w in ends)]
+        return [
+            np.full(len(start) + len(ends), t["p"][0].as_py()), np.concatenate([*runs, ends]),
+            pa.concat_arrays([pa.array(numbers[own[start] >> 32], pa.int64()), pa.nulls(len(ends), pa.int64())]),
+            pa.concat_arrays([_packed((own & 0xFFFFFFFF).astype("<i4"), np.r_[start, len(own)]), pa.nulls(len(ends), pa.binary())]),
+            [None] * len(start) + heads,
+        ]
 
     schema = "p int, run int, bundle long, at binary, head struct<h1:long,h2:long,bundle:long,at:long>"
     out = written(_suffixes(samples, "<i2", kind, count, total, compare, {"at": "<i4", "h1": "<i8", "h2": "<i8"}, more, schema), "compared")
@@ -428,29 +480,24 @@ def repeated(strings: DataFrame, size: int, keep: bool = True) -> DataFrame:
     # two runs of each range partition at most; a run over many partitions comes down to its earliest member
     ends = out.where("head is not null").select("p", "run", "head.h1", "head.h2", F.struct("head.bundle", "head.at").alias("own"))
     heads = ends.join(ends.groupBy("h1", "h2").agg(F.min("own").alias("first")), ["h1", "h2"]).select("p", "run", "first")
-    inner = out.where("head is null and run = -1").select("bundle", "at", F.lit(None).cast("struct<bundle:long,at:long>").alias("first"))
-    outer = out.where("head is null and run >= 0").join(heads, ["p", "run"]).select("bundle", "at", "first")
-    lists = inner.unionByName(outer).groupBy("bundle").agg(F.collect_list(F.struct("at", "first")).alias("lists"))  # one bundle's suffixes
-
-    def spread(numbers: list, segs: list, groups: list) -> list[tuple]:
-        rows = []
-        for number, seg, group in zip(numbers, segs, groups, strict=True):
-            seg, parts = np.frombuffer(seg, np.int64).reshape(-1, 4), []
-            for x in group:
-                at = np.frombuffer(x["at"], "<i4").astype(np.int64)
-                parts.append(at[at != x["first"]["at"]] if x["first"] and x["first"]["bundle"] == number else at)
-            begin = np.cumsum(seg[:, 3] + 1) - (seg[:, 3] + 1)
-            own = np.sort(np.concatenate(parts))
-            if not len(own):
-                continue
-            a, z = _runs(own)
-            which = np.searchsorted(begin, a, side="right") - 1  # a window ends within its string: so does a run of starts
-            shift = seg[which, 2] - begin[which]
-            cuts = np.flatnonzero(np.r_[True, np.diff(which) > 0]).tolist()
-            for lo, hi in zip(cuts, [*cuts[1:], len(a)], strict=True):
-                rows.append((int(seg[which[lo], 0]), int(seg[which[lo], 1]), (a + shift)[lo:hi] << 32 | (z + shift)[lo:hi]))
-        return rows
-
-    found = written(map_rows(places.join(lists, "bundle"), spread, spans), "sorted")
+    inner = out.where("head is null and run = -1").select("bundle", "at", F.lit(-1).cast("long").alias("number"), F.lit(-1).cast("long").alias("head"))
+    outer = out.where("head is null and run >= 0").join(heads, ["p", "run"]).select("bundle", "at", F.col("first.bundle").alias("number"), F.col("first.at").alias("head"))
+
+    def spread(r: dict, lists: pa.Table) -> list | None:
+        seg = np.frombuffer(r["seg"], np.int64).reshape(-1, 4)
+        own, n = _values(lists["at"], "<i4")
+        number, at = (np.repeat(lists[c].to_numpy(), n) for c in ("number", "head"))  # of the run's earliest member, where that isn't known to be another
+        own = np.sort(own[(number != r["bundle"]) | (at != own)].astype(np.int64))
+        if not len(own):
+            return None
+        begin = np.cumsum(seg[:, 3] + 1) - (seg[:, 3] + 1)
+        a, z = _runs(own)
+        which = np.searchsorted(begin, a, side="right") - 1  # a window ends within its string: so does a run of starts
+        shift = seg[which, 2] - begin[which]
+        rows, start = which[new := _new(which)], np.flatnonzero(new)
+        runs = pa.ListArray.from_arrays(np.r_[start, len(a)].astype(np.int32), pa.array((a + shift) << 32 | (z + shift), pa.int64()))
+        return [seg[rows, 0], seg[rows, 1], runs]
+
+    found = written(_bundled(places, inner.unionByName(outer), spread, spans), "sorted")
     forget(spark, out, places)
     return found

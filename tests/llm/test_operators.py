@@ -14,6 +14,7 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -770,6 +771,34 @@ def test_suffix_ranks_past_32_bits(spark, monkeypatch, start):
     assert want and starts(suffix.repeated(bundled(df), 100)) == want
 
 
+def test_suffixes_of_a_bundle_go_out_together(monkeypatch):
+    """A bundle's suffixes go to many range partitions in few Arrow batches: one for each partition costs the square of the input."""
+    rng = np.random.default_rng(3)
+    sym = rng.integers(1, 250, 6000).astype("<i2")
+    names = rng.permutation(4000) + 1
+    row = {"bundle": 7, "sym": sym.tobytes(), "rank": np.r_[names[:2000], 0, names[2000:]].astype("<i4").tobytes()}
+    bounds = np.stack([np.arange(5, 4000, 8), np.linspace(1, 249, 500).astype(int), np.arange(500)], axis=1)
+
+    class Frame:
+        def mapInArrow(self, run, schema):  # noqa: N802
+            self.sent = list(run(iter([pa.RecordBatch.from_pylist([row])])))
+            return self
+
+        def applyInArrow(self, fn, schema):  # noqa: N802
+            return self
+
+        def select(self, *names):
+            return self
+
+        groupBy = select  # noqa: N815
+
+    monkeypatch.setattr(suffix, "_draw", lambda *a: bounds)
+    monkeypatch.setattr(suffix, "_bounds", lambda keys, parts: keys)
+    frame = suffix._suffixes(Frame(), "<i2", "<i4", 1, len(sym), None, {}, lambda r: ({}, np.ones(len(sym), bool)), "p int")
+    assert len({p for b in frame.sent for p in b["p"].to_pylist()}) > 450 and len(frame.sent) <= 3
+    assert sum(len(x) for b in frame.sent for x in b["t0"].to_pylist()) == 2 * len(sym)
+
+
 def test_repeats_across_chunks(monkeypatch):
     rng = random.Random(9)
     words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(40)]
