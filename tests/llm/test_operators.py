@@ -771,7 +771,7 @@ def test_suffix_ranks_past_32_bits(spark, monkeypatch, start):
     assert want and starts(suffix.repeated(bundled(df), 100)) == want
 
 
-def test_suffixes_of_a_bundle_go_out_together(monkeypatch):
+def test_suffixes_of_a_bundle_go_out_together(spark, monkeypatch):
     """A bundle's suffixes go to many range partitions in few Arrow batches: one for each partition costs the square of the input."""
     rng = np.random.default_rng(3)
     sym = rng.integers(1, 250, 6000).astype("<i2")
